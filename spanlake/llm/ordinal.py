@@ -2,8 +2,7 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector over hashed text features is shared by
 all grades, ordered thresholds cut its line. The model is fitted on a bounded sample of rated texts
-(``SAMPLE`` rows, those of smallest id hash; a documented bound, as the model has a fixed number of
-weights), by proximal gradient steps with an L1 penalty, so words that say nothing weigh nothing. Scoring
+(``SAMPLE`` rows, those of smallest id hash; a model has a fixed number of weights), by proximal gradient steps with an L1 penalty, so words that say nothing weigh nothing. Scoring
 reads every whole text once.
 """
 
@@ -24,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .stage import arrow_map, text_or_empty
 
-SAMPLE = 6_000
+SAMPLE = 10_000
 DIMS = 1 << 17
-STEPS = 300
-L1 = 4e-4
+STEPS = 500
+L1 = 1e-4
+#: Share of the sample that a feature must occur in to get a weight: a rarer one only fits noise.
+SUPPORT = 0.0015
+#: Tail probability from which a text is selected; grades count alike in the fit, though the best one is the most common.
+LEAST = 0.3
 #: Tokens whose bucket a worker remembers.
 MEMORY = 200_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
@@ -104,7 +107,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE,
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at = np.concatenate([np.array(r[1], np.int64) for r in rows])
     value = np.concatenate([np.array(r[2], np.float64) for r in rows])
-    used, col = np.unique(at, return_inverse=True)
+    used, col, held = np.unique(at, return_inverse=True, return_counts=True)
+    often = held >= max(3, SUPPORT * len(rows))
+    used, keep = used[often], often[col]
+    row, value, col = row[keep], value[keep], (np.cumsum(often) - 1)[col[keep]]
     balance = len(y) / (grades * np.maximum(1, np.bincount(y, minlength=grades)))[y]
     balance = np.minimum(balance, 10.0)
     w, second, gaps = np.zeros(len(used)), np.full(len(used), 1e-8), np.diff(cuts)
@@ -165,7 +171,7 @@ def score(docs: DataFrame, model: Model, tail: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, score double, expected_grade double, tail_probability double")
 
 
-def select(docs: DataFrame, ratings: DataFrame, grades: int = 3, tail: int | None = None, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def select(docs: DataFrame, ratings: DataFrame, grades: int = 3, tail: int | None = None, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     """Fit on the rated texts, score all, and mark as ``kept`` those whose tail probability is at least ``least``."""
     tail = grades - 1 if tail is None else tail
     return score(docs, fit(docs, ratings, grades, sample), tail).withColumn("kept", F.col("tail_probability") >= least)

@@ -11,6 +11,8 @@ or shard: a row's place is its range's offset plus its place in the range.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +105,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, partitions: int = PARTITIONS,
     ranges = lambda groups: int(min(RANGES, max(1, -(-total // (groups * ROWS_PER_RANGE)))))
     matrix = communication(counts, shard_sizes(total, shards), seed)
     upto = [[int(x) for x in np.cumsum(row)] for row in matrix]
-    bounds = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in upto])
+    bounds = F.from_json(F.lit(json.dumps(upto)), "array<array<bigint>>")  # a constant of fixed size
     placed = _places(rows.withColumn("__first", _unit(F.lit(1), "__h")), "__part", "__first", ranges(partitions), "__rank")
     shard = F.size(F.filter(F.get(bounds, F.col("__part")), lambda x: x <= F.col("__rank")))
     dealt = stage(placed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), _unit(F.lit(2), "__h", "__rank").alias("__second")), "dealt")
