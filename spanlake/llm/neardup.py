@@ -8,10 +8,10 @@ high chance too: at a similarity of exactly 0.85 a pair is missed with probabili
 are confirmed on the full shingle sets (64-bit fingerprints of the shingles).
 
 Groups never expand into all their pairs. Equal sets are one node. A bucket of more than ``HOT``
-nodes is joined as a star around its most central node; only nodes that the star leaves outside its
-component, and whose shingles found nowhere else still allow the similarity with some other node of
-the bucket, are paired with the rest. That bound is exact, so no link between different texts is
-lost: a pair is skipped only where it can't be a link or both ends are already in one component.
+nodes is joined as a star around its most central node, its hub. Nodes that the star leaves in other
+components are compared by their differences from the hub (see ``apart``): these are short, and two
+nodes can only be linked where they overlap. The bounds are exact, so no link between different texts
+is lost: a pair is skipped only where it can't be a link or both ends are already in one component.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -177,20 +177,51 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, hot: int =
         return nodes.select("sid", "rep"), components(first)
     found = components(first)
     # what the stars left: members in other components of the bucket that could still have a partner there
-    placed = big.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = placed.join(hubs, "key").filter(able * 100 >= (F.col("size") + F.greatest(F.col("least"), able) - able) * ratio).select("key", "rep", "size", "own", "root")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stage(placed.join(mixed, "key", "left_semi"), "open")
-    left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "size", "own", "root")])
-    right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", "own", "root")])
-    best = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
-    rest = left.join(right, (left.key == right.key) & (left.rep_a < right.rep_b) & (left.root_a != right.root_b) & _enough(best, F.col("size_a"), F.col("size_b"), percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    placed = big.join(hubs, "key").filter("rep <> hub").filter(able * 100 >= (F.col("size") + F.greatest(F.col("least"), able) - able) * ratio)
+    rest = apart(placed.select("hub", "rep", "size").distinct(), found, sets, percent)
     more = stage(confirm(near(rest), sets, percent), "links")
     if more.take(1):
         found = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return nodes.select("sid", "rep"), found
 
 
+def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (hub, rep, size) of one hub that lie in different components and may yet be links.
+
+    With D(x) the symmetric difference of x and the hub, that of a and b has |D(a)| + |D(b)| - 2 o
+    elements, o being the overlap of D(a) and D(b). A link needs it to be at most
+    (|a| + |b|) (100 - percent) / (100 + percent), so it needs a least overlap, which is at least 1 as both
+    would be links of the hub otherwise. Members that can't reach it with any member of another
+    component go; the others are joined on the rarest elements of their D, as many as a prefix filter takes.
+    """
+    roots = found.select(F.col("node"), F.col("root"))
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("middle")), "hub", "left").withColumn("inside", F.col("root") == F.coalesce("middle", "hub")).drop("middle")
+    mixed = placed.filter("not inside").select("hub").distinct()
+    own = sets.select("rep", F.col("shingles").alias("sr"))
+    hub = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("sh"))
+    differing = F.concat(F.array_except("sh", "sr"), F.array_except("sr", "sh"))
+    told = placed.join(mixed, "hub", "left_semi").join(own, "rep").join(hub, "hub").select("hub", "rep", "size", "root", "inside", differing.alias("differ"))
+    told = stage(told, "apart")
+    each = told.select("hub", "rep", F.explode("differ").alias("s"))
+    common = each.groupBy("hub", "s").agg(F.count("*").alias("n")).filter("n > 1")
+    each = stage(each.join(common, ["hub", "s"]), "differ")  # an element of one member's alone adds to no overlap
+    facts = told.select("hub", "rep", "size", "root", "inside", F.size("differ").alias("d")).join(each.groupBy("hub", "rep").agg(F.count("*").alias("e")), ["hub", "rep"])
+    limit = (F.col("size") + F.least(F.col("most"), F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent)
+    need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("d") + other - limit) / 2 - 1e-9))
+    groups = told.groupBy("hub").agg(F.min(F.when(~F.col("inside"), F.size("differ"))).alias("out"), F.max("size").alias("most"))
+    facts = stage(facts.join(groups, "hub"), "facts")
+    inner = facts.filter("inside").withColumn("need", need(F.col("out"))).filter("e >= need")
+    nearest = inner.groupBy("hub").agg(F.min("d").alias("in"))
+    outer = facts.filter("not inside").join(nearest, "hub", "left").withColumn("need", need(F.least("out", "in"))).filter("e >= need").drop("in")
+    able = inner.unionByName(outer).select("hub", "rep", "root", (F.col("e") - F.col("need") + 1).alias("take"))
+    order = Window.partitionBy("hub", "rep").orderBy("n", "s")
+    prefix = stage(each.join(able, ["hub", "rep"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "rep", "root"), "prefix")
+    left = prefix.select("hub", "s", F.col("rep").alias("a"), F.col("root").alias("ra"))
+    right = prefix.select("hub", "s", F.col("rep").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, ["hub", "s"]).filter("a < b and ra <> rb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
