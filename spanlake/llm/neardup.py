@@ -170,13 +170,17 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, hot: int =
     crowd = stage(facts.join(crowd, "rep", "left_semi").join(alone, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")), "crowd")
     big = stage(big.join(crowd, "rep"), "big")
     able = F.col("size") - F.col("own")  # shingles that may be shared
-    hubs = big.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), F.col("rep").alias("hub"))).alias("x"), F.min("size").alias("least")).select("key", "x.hub", "least")
+    hubs = big.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), F.col("rep").alias("hub"))).alias("x"), F.min("size").alias("least")).select("key", "x.hub", "x.part", "least")
     stars = big.join(hubs, "key").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     first = stage(confirm(near(pairs.union(stars).distinct()), sets, percent), "links")
     if not big.take(1):
         return nodes.select("sid", "rep"), components(first)
     found = components(first)
     # what the stars left: members in other components of the bucket that could still have a partner there
+    # buckets whose hubs are in one component share the most central of these
+    middle = hubs.join(found.withColumnRenamed("node", "hub"), "hub", "left").withColumn("root", F.coalesce("root", "hub"))
+    centres = middle.groupBy("root").agg(F.min(F.struct("part", "hub")).alias("x")).select("root", F.col("x.hub").alias("centre"))
+    hubs = stage(middle.join(centres, "root").select("key", F.col("centre").alias("hub"), "least"), "hubs")
     placed = big.join(hubs, "key").filter("rep <> hub").filter(able * 100 >= (F.col("size") + F.greatest(F.col("least"), able) - able) * ratio)
     rest = apart(placed.select("hub", "rep", "size").distinct(), found, sets, percent)
     more = stage(confirm(near(rest), sets, percent), "links")
@@ -191,17 +195,19 @@ def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     With D(x) the symmetric difference of x and the hub, that of a and b has |D(a)| + |D(b)| - 2 o
     elements, o being the overlap of D(a) and D(b). A link needs it to be at most
     (|a| + |b|) (100 - percent) / (100 + percent), so it needs a least overlap, which is at least 1 as both
-    would be links of the hub otherwise. Members that can't reach it with any member of another
+    are links of the hub otherwise (those links are given too). Members that can't reach it with any member of another
     component go; the others are joined on the rarest elements of their D, as many as a prefix filter takes.
     """
     roots = found.select(F.col("node"), F.col("root"))
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("middle")), "hub", "left").withColumn("inside", F.col("root") == F.coalesce("middle", "hub")).drop("middle")
-    mixed = placed.filter("not inside").select("hub").distinct()
+    placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("middle")), "hub", "left").withColumn("middle", F.coalesce("middle", "hub"))
+    mixed = placed.filter("root <> middle").select("hub").distinct()
     own = sets.select("rep", F.col("shingles").alias("sr"))
     hub = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("sh"))
     differing = F.concat(F.array_except("sh", "sr"), F.array_except("sr", "sh"))
-    told = placed.join(mixed, "hub", "left_semi").join(own, "rep").join(hub, "hub").select("hub", "rep", "size", "root", "inside", differing.alias("differ"))
+    linked = F.size("differ") * (100 + percent) <= (F.size("sh") + F.col("size")) * (100 - percent)
+    told = placed.join(mixed, "hub", "left_semi").join(own, "rep").join(hub, "hub").withColumn("differ", differing).withColumn("link", linked)
+    told = told.select("hub", "rep", "size", F.when(F.col("link"), F.col("middle")).otherwise(F.col("root")).alias("root"), ((F.col("root") == F.col("middle")) | F.col("link")).alias("inside"), (F.col("link") & (F.col("root") != F.col("middle"))).alias("new"), "differ")
     told = stage(told, "apart")
     each = told.select("hub", "rep", F.explode("differ").alias("s"))
     common = each.groupBy("hub", "s").agg(F.count("*").alias("n")).filter("n > 1")
@@ -219,7 +225,8 @@ def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     prefix = stage(each.join(able, ["hub", "rep"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "rep", "root"), "prefix")
     left = prefix.select("hub", "s", F.col("rep").alias("a"), F.col("root").alias("ra"))
     right = prefix.select("hub", "s", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, ["hub", "s"]).filter("a < b and ra <> rb").select("a", "b").distinct()
+    pairs = left.join(right, ["hub", "s"]).filter("a < b and ra <> rb").select("a", "b")
+    return pairs.union(told.filter("new").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:

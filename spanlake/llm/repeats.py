@@ -213,11 +213,11 @@ def strings(wanted: DataFrame) -> DataFrame:
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans from text, ``once`` (cores that stand once), ``alone`` (phrases that stand once) and ``found`` (ord, near, far)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans from text, ``once`` (cores that stand once), ``alone`` (phrases that stand once), ``found`` (ord, near, far), ``large`` (those of large cores) and their ``lone`` strings (ord, far)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            once, alone, found = _lists(batch, 3), _lists(batch, 4), batch.column(5).to_pylist()
+            once, alone, found, large, lone = _lists(batch, 3), _lists(batch, 4), batch.column(5).to_pylist(), _lists(batch, 6), batch.column(7).to_pylist()
             out = [[] for _ in range(5)]
             for a, b, chunk in _parsed(batch, 2):
                 keep = np.ones(len(chunk.doc), bool)
@@ -232,6 +232,13 @@ def _removed(rows: DataFrame) -> DataFrame:
                         anchor = chunk.anchor[first[d - a] + own[:, 0]]
                         lo.append(anchor - own[:, 2])
                         hi.append(anchor - own[:, 1])
+                    if len(large[d]):  # every string of these phrases but the lone ones
+                        at = chunk.starts(first[d - a] + large[d])
+                        if lone[d]:
+                            own = np.array([(x["ord"], x["far"]) for x in lone[d]], np.int64)
+                            at = np.setdiff1d(at, chunk.anchor[first[d - a] + own[:, 0]] - own[:, 1])
+                        lo.append(at)
+                        hi.append(at)
                 cover = np.zeros(len(chunk.buffer) + 1, np.int32)
                 np.add.at(cover, np.concatenate(lo), 1)
                 np.add.at(cover, np.concatenate(hi) + LENGTH, -1)
@@ -244,9 +251,9 @@ def _removed(rows: DataFrame) -> DataFrame:
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.record_batch([batch.column(6), *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.record_batch([batch.column(8), *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return arrow_map(rows.select("id", "crc", "text", "once", "alone", "found", "doc_id"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return arrow_map(rows.select("id", "crc", "text", "once", "alone", "found", "large", "lone", "doc_id"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def remove_repeats(docs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -257,33 +264,51 @@ def remove_repeats(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text")).select(_id().alias("id"), F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("crc"), "text", "doc_id")
-    # 1. cores that stand once
-    each = cores(rows).select("id", "crc", F.posexplode("cores").alias("ord", "core"))
-    lone = each.select("core", "id", _tag(F.col("crc"), F.col("ord")).alias("tag")).groupBy("core").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag")).filter("n = 1")
-    once = _by_row(lone, "once")
-    counted = F.greatest(F.octet_length("text") - (LENGTH - 1), F.lit(0))
-    joined = rows.join(once, ["id", "crc"], "left")
-    held = stage(joined.select("id", "crc", "text", "doc_id", F.coalesce("once", F.expr("cast(array() as array<bigint>)")).alias("once"), (counted > 0).alias("long")), "held")
+    held = _with_lone_cores(rows)
     release(spark)
-    # 2. the dictionary: distinct phrases, how often each stands, and one place of each
-    listed = phrases(held.filter("long"))
-    book = listed.groupBy("u", "w").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("id", "tag")).alias("at")).select("core", F.col("at.id").alias("id"), F.col("at.tag").alias("tag"), (F.col("n") == 1).alias("single"))
-    book = stage(book, "book")
-    # 3. phrases that stand once, beside the others of their core
-    mixed = book.groupBy("core").agg(F.count("*").alias("members"), F.max("single").alias("open")).filter("members > 1 and open")
-    open_ = stage(book.join(mixed.select("core", "members"), "core"), "open")
+    book = _dictionary(held)
     release(spark)
-    small_ = _by_row(open_.filter(F.col("members") <= small), "small", F.col("single"))
+    open_ = _open_phrases(book)
     texts = held.filter("long").select("id", "crc", "text")
-    pairs = compare(contexts(texts.join(small_, ["id", "crc"])))
-    large_ = _by_row(open_.filter(F.col("members") > small), "large")
-    each_string = strings(texts.join(large_, ["id", "crc"]))
-    twice = each_string.groupBy("u", "w").agg(F.count("*").alias("n")).filter("n > 1")
-    counted_ = each_string.join(twice.select("u", "w"), ["u", "w"]).select("id", "tag", F.col("far").alias("near"), "far")
-    found = stage(pairs.union(counted_), "found")
+    pairs = _small_cores(texts, open_, small)
+    release(spark)
+    lone = _large_cores(texts, open_, small)
     release(spark)
-    found = _by_row(found.join(open_.filter("single").select("id", "tag"), ["id", "tag"], "left_semi"), "found", F.col("near"), F.col("far"))
+    large = _by_row(open_.filter((F.col("members") > small) & F.col("single")), "large")
     alone = _by_row(book.filter("single"), "alone")
-    none = "cast(array() as array<{}>)"
-    full = held.join(alone, ["id", "crc"], "left").join(found, ["id", "crc"], "left")
-    return _removed(full.select("id", "crc", "text", "doc_id", "once", F.coalesce("alone", F.expr(none.format("bigint"))).alias("alone"), F.coalesce("found", F.expr(none.format("struct<ord:bigint,near:bigint,far:bigint>"))).alias("found")))
+    full = held.join(alone, ["id", "crc"], "left").join(_by_row(pairs, "found", F.col("near"), F.col("far")), ["id", "crc"], "left").join(large, ["id", "crc"], "left").join(_by_row(lone, "lone", F.col("far")), ["id", "crc"], "left")
+    none = lambda name, kind: F.coalesce(name, F.expr(f"cast(array() as array<{kind}>)")).alias(name)
+    return _removed(full.select("id", "crc", "text", "doc_id", "once", none("alone", "bigint"), none("found", "struct<ord:bigint,near:bigint,far:bigint>"), none("large", "bigint"), none("lone", "struct<ord:bigint,far:bigint>")))
+
+
+def _with_lone_cores(rows: DataFrame) -> DataFrame:
+    """Step 1: each row with ``once``, its triggers whose core stands once, and whether it is ``long`` enough for any string."""
+    each = cores(rows).select("id", "crc", F.posexplode("cores").alias("ord", "core"))
+    lone = each.select("core", "id", _tag(F.col("crc"), F.col("ord")).alias("tag")).groupBy("core").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag")).filter("n = 1")
+    joined = rows.join(_by_row(lone, "once"), ["id", "crc"], "left")
+    return stage(joined.select("id", "crc", "text", "doc_id", F.coalesce("once", F.expr("cast(array() as array<bigint>)")).alias("once"), (F.octet_length("text") >= LENGTH).alias("long")), "held")
+
+
+def _dictionary(held: DataFrame) -> DataFrame:
+    """Step 2: distinct phrases, whether each stands once, and one place of each."""
+    listed = phrases(held.filter("long"))
+    book = listed.groupBy("u", "w").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("id", "tag")).alias("at"))
+    return stage(book.select("core", F.col("at.id").alias("id"), F.col("at.tag").alias("tag"), (F.col("n") == 1).alias("single")), "book")
+
+
+def _open_phrases(book: DataFrame) -> DataFrame:
+    """Step 3: phrases of cores that have more than one, one of which stands once."""
+    mixed = book.groupBy("core").agg(F.count("*").alias("members"), F.max("single").alias("open")).filter("members > 1 and open")
+    return stage(book.join(mixed.select("core", "members"), "core"), "open")
+
+
+def _small_cores(texts: DataFrame, open_: DataFrame, small: int) -> DataFrame:
+    wanted = _by_row(open_.filter(F.col("members") <= small), "small", F.col("single"))
+    return stage(compare(contexts(texts.join(wanted, ["id", "crc"]))), "found")
+
+
+def _large_cores(texts: DataFrame, open_: DataFrame, small: int) -> DataFrame:
+    """Strings of large cores' phrases that stand in no other phrase."""
+    wanted = _by_row(open_.filter(F.col("members") > small), "large")
+    each = strings(texts.join(wanted, ["id", "crc"]))
+    return stage(each.groupBy("u", "w").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag"), F.min("far").alias("far")).filter("n = 1").select("id", "tag", "far"), "lone")
