@@ -220,12 +220,12 @@ def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     inner = facts.filter("inside").withColumn("need", need(F.col("out"))).filter("e >= need")
     nearest = inner.groupBy("hub").agg(F.min("d").alias("in"))
     outer = facts.filter("not inside").join(nearest, "hub", "left").withColumn("need", need(F.least("out", "in"))).filter("e >= need").drop("in")
-    able = inner.unionByName(outer).select("hub", "rep", "root", (F.col("e") - F.col("need") + 1).alias("take"))
+    able = inner.unionByName(outer).select("hub", "rep", "root", "size", "d", "e", (F.col("e") - F.col("need") + 1).alias("take"))
     order = Window.partitionBy("hub", "rep").orderBy("n", "s")
-    prefix = stage(each.join(able, ["hub", "rep"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "rep", "root"), "prefix")
-    left = prefix.select("hub", "s", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    right = prefix.select("hub", "s", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    pairs = left.join(right, ["hub", "s"]).filter("a < b and ra <> rb").select("a", "b")
+    prefix = stage(each.join(able, ["hub", "rep"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "rep", "root", "size", "d", "e"), "prefix")
+    left, right = (prefix.select("hub", "s", F.col("rep").alias(n), *[F.col(c).alias(c + n) for c in ("root", "size", "d", "e")]) for n in ("a", "b"))
+    overlap = (F.col("da") + F.col("db") - (F.col("sizea") + F.col("sizeb")) * (100 - percent) / (100 + percent)) / 2 - 1e-9  # the least that this pair needs
+    pairs = left.join(right, ["hub", "s"]).filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & (overlap <= F.least("ea", "eb"))).select("a", "b")
     return pairs.union(told.filter("new").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))).distinct()
 
 
