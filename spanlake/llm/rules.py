@@ -28,6 +28,8 @@ CUTOFF = 30.0
 FLOOR = (0.15, 0.05, 0.30, 0.30)
 #: Groups below this many rows are judged by the pooled estimate of their language.
 LEAST = 50
+#: Languages and sources whose estimates (about 150 bytes each) are broadcast.
+GROUPS = 50_000
 BINS_PER_UNIT = 32
 SPACE = " \t\n\x0b\f\r"
 DIM = ("x0", "x1", "x2", "x3")
@@ -111,15 +113,20 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in y])
 
 
+def _beside(frame: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``frame`` joined with staged rows of its groups: broadcast while they are at most ``GROUPS``, shuffled beyond."""
+    return frame.join(F.broadcast(groups) if groups.count() <= GROUPS else groups, key, how)
+
+
 def estimates(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
     """Centre and scatter factor by group: columns g, m*, l*. ``vectors`` has g and the coordinates."""
     mid = reduce(lambda a, b: a.join(b, "g"), [_quantile(vectors, F.col(x), 0.5, f"q{i}") for i, x in enumerate(DIM)])
-    start = vectors.join(mid, "g").withColumn("d2", reduce(lambda a, b: a + b, [F.pow((F.col(x) - F.col(f"q{i}")) / FLOOR[i], 2) for i, x in enumerate(DIM)]))
+    start = _beside(vectors, stage(mid, "medians"), "g").withColumn("d2", reduce(lambda a, b: a + b, [F.pow((F.col(x) - F.col(f"q{i}")) / FLOOR[i], 2) for i, x in enumerate(DIM)]))
     # later steps start from the staged estimate of the step before
     for step in range(steps):
-        cut = _quantile(start, F.col("d2"), core, "cut")
-        found = stage(_moments(start.join(cut, "g"), _bin(F.col("d2")) < _bin(F.col("cut") * 0.999)), f"mcd{step}")
-        start = vectors.join(found, "g").withColumn("d2", _distance())
+        cut = stage(_quantile(start, F.col("d2"), core, "cut"), "cut")
+        found = stage(_moments(_beside(start, cut, "g"), _bin(F.col("d2")) < _bin(F.col("cut") * 0.999)), f"mcd{step}")
+        start = _beside(vectors, found, "g").withColumn("d2", _distance())
     return found
 
 
@@ -149,7 +156,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry_tex
     vectors = stage(good.select(F.explode(F.array("__own", "__wide")).alias("g"), *DIM), "vectors")
     large = estimates(vectors).join(vectors.groupBy("g").agg(F.count("*").alias("size")), "g").filter(F.col("size") >= least).drop("size")
     use = sizes.select("__own", F.when(F.col("n") >= least, F.col("__own")).otherwise(F.col("__wide")).alias("g")).join(large, "g", "left").drop("g")
-    out = held.join(use, "__own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = _beside(held, stage(use, "estimates"), "__own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
