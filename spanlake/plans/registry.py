@@ -99,7 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_ngrams": f"WITH {_TOK}, x AS ({grams}) SELECT CAST(n AS INTEGER) AS n, count(DISTINCT g) AS distinct_grams, count(*) AS total_grams FROM x GROUP BY n",
         "cosine_diversity": "WITH u AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM u), p AS (SELECT generate_subscripts(v, 1) AS i, unnest(v) / l AS x FROM n), s AS (SELECT i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM p GROUP BY i) SELECT round(1 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)), 6) AS mean_distance, max(n) AS n_vectors FROM s",
         "exact_duplicates": "WITH h AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS t FROM documents), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, t) AS first_id FROM h) SELECT doc_id, first_id FROM f WHERE doc_id <> first_id",
-        "span_match_exact": f'WITH {_GP}, g AS (SELECT entity_type, record_id, start, "end", count(*) AS g FROM gold GROUP BY ALL), p AS (SELECT entity_type, record_id, start, "end", count(*) AS p FROM pred GROUP BY ALL), b AS (SELECT entity_type, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p USING (entity_type, record_id, start, "end")), s AS (SELECT entity_type, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(p) - sum(least(g, p)) AS BIGINT) AS fp, CAST(sum(g) - sum(least(g, p)) AS BIGINT) AS fn FROM b GROUP BY entity_type) SELECT *, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s',
+        "span_match_exact": f'WITH {_GP}, gc AS (SELECT entity_type, record_id, start, "end", count(*) AS g FROM gold GROUP BY ALL), pc AS (SELECT entity_type, record_id, start, "end", count(*) AS p FROM pred GROUP BY ALL), b AS (SELECT entity_type, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM gc FULL JOIN pc USING (entity_type, record_id, start, "end")), s AS (SELECT entity_type, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(p) - sum(least(g, p)) AS BIGINT) AS fp, CAST(sum(g) - sum(least(g, p)) AS BIGINT) AS fn FROM b GROUP BY entity_type) SELECT *, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s',
         "rank_correlation": "SELECT round(avg(sign((x.n_regionkey - y.n_regionkey) * (x.n_nationkey % 7 - y.n_nationkey % 7))), 9) AS tau, count(*) AS n_pairs FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey",
         "cohen_kappa": kappa,
         "krippendorff_alpha": "SELECT round(1 - avg(1.0 * (quality - toxic) * (quality - toxic)) / (2 * (avg((quality + toxic) / 2.0) - avg((quality + toxic) / 2.0) * avg((quality + toxic) / 2.0))), 9) AS alpha, count(*) AS n FROM labels",
