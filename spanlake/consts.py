@@ -16,3 +16,151 @@ SSN = r"^(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
 IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"
 #: Patterns that propose entities in plain text, by type.
 PROPOSALS = {"Work_Email_Address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]", "Static_IP_Address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "Credit_Card_Numbers": r"[0-9]{16}", "Password": r"[0-9a-f]{40}"}
+
+#: Fields a record, its axes and its entities must have. Fixed values.
+RECORD_FIELDS = "record_id mode axes target_entity_type target_pattern_id behavioral_frame text entities entity_count generation_status".split()
+AXIS_FIELDS = "domain format difficulty length density code_switching language adjacency co_occurrence_pattern".split()
+ENTITY_FIELDS = "entity_type entity_string mention_index disclosed disclosure_form sensitivity_tier".split()
+ADJACENCY = ("none", "loose", "tight")
+#: Types that identify directly, and those never to be disclosed. Fixed values.
+DIRECT = "Full_Name First_Given_Name Last_Family_Name Preferred_Name Work_Email_Address Personal_Email_Address Telephone_Numbers_Work Telephone_Numbers_Personal National_Identification_Number Passport_Number Driving_License_Number Credit_Card_Numbers Password".split()
+MUST_HIDE = "National_Identification_Number Passport_Number Driving_License_Number Credit_Card_Numbers Password Medical_Information Sex_Orientation Religion Crime".split()
+#: Behavioural frames and their weights. Fixed values.
+FRAMES = (("isolation", 0.40), ("co_occurrence", 0.15), ("hypothetical", 0.10), ("negation", 0.10), ("partial", 0.10), ("instructional", 0.08), ("cross_sentence", 0.07))
+#: Other names of types; None drops the entity. Fixed values.
+REMAP = {
+    "Drivers_License_Number": "Driving_License_Number",
+    "IP_Address": "Static_IP_Address",
+    "IPv4_Address": "Static_IP_Address",
+    "IPv6_Address": "Static_IP_Address",
+    "Bank_Account_Number": "Account_Statements",
+    "Financial_Account_Number": "Account_Statements",
+    "IBAN_Code": "Account_Statements",
+    "IBAN": "Account_Statements",
+    "BIC": "Account_Statements",
+    "Swift_Code": "Account_Statements",
+    "VIN": "Customer_Reference_Number",
+    "Postal_Code": "Location",
+    "Zip_Code": "Location",
+    "SSN": "National_Identification_Number",
+    "ID_Card": "National_Identification_Number",
+    "Tax_ID": "Tax_Reference_Number",
+    "Phone_Number": "Telephone_Numbers_Personal",
+    "Phone_Mobile": "Telephone_Numbers_Personal",
+    "Mobile_Phone": "Telephone_Numbers_Personal",
+    "Email_Address": "Personal_Email_Address",
+    "Email_Personal": "Personal_Email_Address",
+    "Email_Work": "Work_Email_Address",
+    "Username": "Social_Media_Identifiers",
+    "User_ID": "Social_Media_Identifiers",
+    "Handle": "Social_Media_Identifiers",
+    "Username_Handle": "Social_Media_Identifiers",
+    "Online_Username": "Social_Media_Identifiers",
+    "Online_Username_Handle": "Social_Media_Identifiers",
+    "Online_Username_or_Handle": "Social_Media_Identifiers",
+    "Username_or_Handle": "Social_Media_Identifiers",
+    "Social_Media_Handle": "Social_Media_Identifiers",
+    "Alias": "Social_Media_Identifiers",
+    "Nickname": "Preferred_Name",
+    "Middle_Name": "Full_Name",
+    "Tax_Identification_Number": "Tax_Reference_Number",
+    "Tax_ID_Number": "Tax_Reference_Number",
+    "Tax_Number": "Tax_Reference_Number",
+    "National_ID_Card_Number": "National_Identification_Number",
+    "National_ID_Document_Number": "National_Identification_Number",
+    "Drivers_Licence_Number": "Driving_License_Number",
+    "Driver_License_Number": "Driving_License_Number",
+    "License_Plate": "Driving_License_Number",
+    "License_Plate_Number": "Driving_License_Number",
+    "Vehicle_Registration_Number": "Driving_License_Number",
+    "Vehicle_Registration": "Driving_License_Number",
+    "Vehicle_Registration_Plate": "Driving_License_Number",
+    "Vehicle_Plate_Number": "Driving_License_Number",
+    "Vehicle_Plate": "Driving_License_Number",
+    "Vehicle_License_Plate": "Driving_License_Number",
+    "Vehicle_ID_Number": "Driving_License_Number",
+    "Vehicle_ID": "Driving_License_Number",
+    "Vehicle_Identifier": "Driving_License_Number",
+    "Vehicle_Identification_Number": "Driving_License_Number",
+    "Vehicle_Info": "Driving_License_Number",
+    "Vehicle_Information": "Driving_License_Number",
+    "Financial_Amount": "Compensation_and_Salary",
+    "Financial_Transaction_Amount": "Compensation_and_Salary",
+    "Financial_Transaction": "Account_Statements",
+    "Financial_Information": "Account_Statements",
+    "Financial_Account_Balance": "Account_Statements",
+    "Bank_Account_Numbers": "Account_Statements",
+    "Banking_Information": "Account_Statements",
+    "Bank_Routing_Number": "Account_Statements",
+    "Bank_Routing_Code": "Account_Statements",
+    "IBAN_Number": "Account_Statements",
+    "SWIFT_BIC_Code": "Account_Statements",
+    "Cryptocurrency_Wallet": "Account_Statements",
+    "Digital_Wallet_ID": "Account_Statements",
+    "Credit_Card_CVV": "Credit_Card_Numbers",
+    "Credit_Card_Expiry": "Credit_Card_Numbers",
+    "Credit_Card_Expiration": "Credit_Card_Numbers",
+    "PIN_Code": "Password",
+    "PIN": "Password",
+    "Password_or_PIN": "Password",
+    "Password_or_Key": "Password",
+    "API_Key": "Password",
+    "API_Key_or_Secret": "Password",
+    "Security_Question_Answer": "Password",
+    "Country": "Country_of_Residence",
+    "Country_of_Birth": "Place_of_Birth",
+    "Zip_Postal_Code": "Address_Personal",
+    "Address": "Address_Personal",
+    "GPS_Coordinates": "Geolocation_Data",
+    "Blood_Type": "Medical_Information",
+    "Medical_Insurance_Number": "Medical_Information",
+    "Medical_License_Number": "Medical_Information",
+    "Allergy_Severity": "Allergy_Information",
+    "Disability_Status": "Medical_Information",
+    "Performance_Review": "Performance_Assessment",
+    "Performance_Rating": "Performance_Assessment",
+    "Professional_License_Number": "Professional_Background",
+    "Educational_Record": "Professional_Background",
+    "Education": "Professional_Background",
+    "Test_Score": "Professional_Background",
+    "Security_Clearance": "Professional_Background",
+    "Org_Registration_Number": "Org_Name",
+    "Org_Reference_Number": "Org_Name",
+    "Device_ID": "Static_IP_Address",
+    "Device_Identifier": "Static_IP_Address",
+    "Device_ID_Number": "Static_IP_Address",
+    "MAC_Address": "Static_IP_Address",
+    "IMEI": "Static_IP_Address",
+    "IMEI_Number": "Static_IP_Address",
+    "Server_Name": "Static_IP_Address",
+    "Server_IP_or_Hostname": "Static_IP_Address",
+    "Port_Number": "Static_IP_Address",
+    "Serial_Number": "Static_IP_Address",
+    "Unique_Identifier": "Static_IP_Address",
+    "Digital_Identifier": "Static_IP_Address",
+    "Tracking_Number": "Customer_Reference_Number",
+    "URL": "Social_Media_Identifiers",
+    "Sexual_Orientation": "Sex_Orientation",
+    "Gender_Identity": "Gender",
+    "Gender_Sexuality": "Sex_Orientation",
+    "Gender_and_Sexuality": "Sex_Orientation",
+    "Political_Affiliation": "Political_Party",
+    "Political_Opinion": "Political_Party",
+    "Union_Membership": "Trade_Union_Membership",
+    "Caste": "Religion",
+    "Ethnic_Origin": None,
+    "Physical_Description": None,
+    "Physical_Characteristics": None,
+    "Physical_Attribute": None,
+    "Physical_Characteristic": None,
+    "Physical_Identifying_Characteristic": None,
+    "Family_Relationship": "Emergency_Contact_Details",
+    "Number_of_Children": None,
+    "Dietary_Restriction": None,
+    "Ethnicity": None,
+    "Race_Ethnicity": None,
+    "Race": None,
+    "Financial_Loss": None,
+    "Currency_Amount": None,
+    "Branch_Code": None,
+}

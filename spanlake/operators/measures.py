@@ -95,3 +95,82 @@ def stratified(frame: DataFrame, key: str, stratum: str, each: int, seed: str) -
     """The ``each`` rows of every stratum of smallest seeded digest: exact sizes, the same on every run."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary")), key)
     return frame.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= each).drop("__rank")
+
+
+def spearman(pairs: DataFrame) -> DataFrame:
+    """Spearman's rho of (k, a, b), a small table of systems, by 6 sum d^2; rows that tie share the last rank of theirs."""
+
+    def rank(c: str) -> Column:
+        return F.count("*").over(Window.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    gap = rank("a") - rank("b")
+    each = pairs.select(gap.alias("d"))
+    n = F.count("*")
+    return each.agg(F.round(1 - F.try_divide(6.0 * F.sum(F.col("d") * F.col("d")), (n * (n * n - 1)).cast("double")), 9).alias("rho"), n.alias("n"))
+
+
+def mean_delta(pairs: DataFrame) -> DataFrame:
+    """Mean absolute difference of a and b."""
+    return pairs.agg(F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 9).alias("delta"), F.count("*").alias("n"))
+
+
+def bootstrap_kendall(pairs: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """2.5 and 97.5 % percentiles (index int(q n)) of tau over resamples of (k, a, b), a small table; null below three rows.
+
+    Each round draws n rows by hashes of (seed, round, draw); rounds run in parallel.
+    """
+    rows = pairs.agg(F.array_sort(F.collect_list(F.struct("k", "a", "b"))).alias("r"), F.count("*").alias("n"))  # one row
+    drawn = pairs.sparkSession.range(rounds).crossJoin(F.broadcast(rows)).filter("n >= 3")
+    nth = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.element_at("r", (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.col("n")) + 1).cast("int")))
+    drawn = drawn.select("id", "n", F.posexplode(nth).alias("i", "x"))
+    x, y = drawn.alias("x"), drawn.alias("y")
+    sign = F.signum((F.col("x.x.a") - F.col("y.x.a")) * (F.col("x.x.b") - F.col("y.x.b")))
+    taus = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.i") < F.col("y.i"))).groupBy("x.id").agg(F.avg(sign).alias("tau"))
+    ordered = taus.agg(F.array_sort(F.collect_list("tau")).alias("t"))  # ``rounds`` values
+    at = lambda q: F.round(F.get("t", F.floor(F.size("t") * q).cast("int")), 9)
+    return ordered.select(at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def type_token_ratio(docs: DataFrame) -> DataFrame:
+    """Distinct words over words of the corpus, and Yule's K, from one count of words."""
+    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    n = F.sum("c")
+    return words.agg(F.round(F.try_divide(F.count("*").cast("double"), n), 9).alias("ttr"), F.round(F.try_divide(1e4 * (F.sum(F.col("c") * F.col("c")) - n), n.cast("double") * n), 6).alias("yule_k"), n.alias("n_words"))
+
+
+def density(entities: DataFrame, language: str, kind: str, pattern: str) -> DataFrame:
+    """Distinct patterns summed over types, and types, of each language."""
+    each = entities.groupBy(language, kind).agg(F.countDistinct(pattern).alias("p"))
+    return each.groupBy(language).agg(F.sum("p").alias("n_patterns"), F.count("*").alias("n_types"))
+
+
+def match_by_field(gold: DataFrame, predicted: DataFrame, field: str) -> DataFrame:
+    """Overlap matches by a value of gold's field: only gold of the value, all predictions of the records that hold it."""
+    values = gold.filter(F.col(field).isNotNull() & (F.col(field) != "")).withColumn("__rec", F.col("record_id"))
+    keyed = values.withColumn("record_id", F.struct("__rec", F.col(field).alias("value")))
+    held = keyed.select("__rec", "record_id").distinct()
+    repeated = predicted.withColumnRenamed("record_id", "__rec").join(held, "__rec")
+    found = match_overlap(keyed, repeated)
+    return found.groupBy(F.col("record_id.value").alias(field)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def judge_means(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Weighted mean of the dims present and plain mean, of a long table (judge, dim, score), by judge."""
+    w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("dim")), F.lit(0.0))
+    dims = scores.filter("score is not null").groupBy("judge", "dim").agg(F.avg("score").alias("m"))
+    return dims.groupBy("judge").agg(F.round(F.try_divide(F.sum(w * F.col("m")), F.sum(w)), 9).alias("weighted"), F.round(F.avg("m"), 9).alias("mean"))
+
+
+def verdict(score: Column) -> Column:
+    """Band of a mean score."""
+    return F.when(score >= 8.5, "excellent").when(score >= 7, "good").when(score >= 5.5, "acceptable").when(score >= 3.5, "poor").otherwise("fail")
+
+
+def topped_up(frame: DataFrame, key: str, stratum: str, total: int, seed: str) -> DataFrame:
+    """``total`` rows: an equal part of each stratum, then what is lacking from the rest, both in the order of a seeded digest."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))
+    counted = frame.select(stratum).distinct().agg(F.count("*").alias("__strata"))
+    ranked = frame.withColumn("__h", digest).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    first = (F.col("__r") > F.expr(f"greatest({total} div __strata, 1)")).cast("int")
+    late = ranked.crossJoin(F.broadcast(counted)).withColumn("__late", first)  # one row is broadcast
+    return late.orderBy("__late", "__h", key).limit(total).drop("__h", "__r", "__strata", "__late")
