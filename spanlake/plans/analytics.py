@@ -154,7 +154,7 @@ def queries() -> dict[str, Query]:
         "voted_spans": _vote,
         "swept_spans": _sweep,
         "generation_plan": lambda s, d: planning.generation_plan(s),
-        "paired_sweep": lambda s, d: planning.paired_plan(_t(s, d, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("anchor_id"), F.lit("plain_text").alias("format"), F.lit("HR").alias("domain"), F.lit("easy").alias("difficulty"), F.lit("low").alias("density"))),
+        "paired_sweep": lambda s, d: planning.paired_plan(_t(s, d, "nation").select(F.col("n_nationkey").alias("anchor_id"), F.lit("plain_text").alias("format"), F.lit("HR").alias("domain"), F.lit("easy").alias("difficulty"), F.lit("low").alias("density"))),
     }
 
 
