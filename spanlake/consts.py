@@ -164,3 +164,90 @@ REMAP = {
     "Currency_Amount": None,
     "Branch_Code": None,
 }
+#: Scenario texts by domain and format. Fixed values.
+SCENARIOS = {
+    ("healthcare", "plain_text"): "Clinical note about a patient's recent visit.",
+    ("healthcare", "email"): "Email between two clinicians coordinating patient care.",
+    ("healthcare", "chat_transcript"): "Chat between clinician and on-call nurse about a patient.",
+    ("healthcare", "ticket_worknotes"): "Hospital IT ticket related to patient data access.",
+    ("healthcare", "json_record"): "EHR system patient export.",
+    ("healthcare", "key_value_pairs"): "Patient intake form fields.",
+    ("healthcare", "log_entry"): "Hospital system audit log entry.",
+    ("legal", "plain_text"): "A legal pleading or court document excerpt.",
+    ("legal", "email"): "Email between counsel and client regarding a case.",
+    ("legal", "chat_transcript"): "Internal legal-team chat about a case.",
+    ("legal", "ticket_worknotes"): "Compliance ticket regarding a regulatory matter.",
+    ("legal", "json_record"): "Case-management system record export.",
+    ("legal", "key_value_pairs"): "Court filing intake form.",
+    ("legal", "log_entry"): "Document-management system access log.",
+    ("finance", "plain_text"): "Bank statement or financial advisory note.",
+    ("finance", "email"): "Customer email regarding an account or transaction.",
+    ("finance", "chat_transcript"): "Customer support chat about a bank account.",
+    ("finance", "ticket_worknotes"): "Finance compliance investigation ticket.",
+    ("finance", "json_record"): "KYC/AML system export.",
+    ("finance", "key_value_pairs"): "Loan or account-opening form.",
+    ("finance", "log_entry"): "Transaction-processing system log entry.",
+    ("education", "plain_text"): "Academic record narrative or transcript note.",
+    ("education", "email"): "Email between a student and registrar.",
+    ("education", "chat_transcript"): "Student-advisor chat session.",
+    ("education", "ticket_worknotes"): "Registrar support ticket.",
+    ("education", "json_record"): "Student information system record.",
+    ("education", "key_value_pairs"): "Course-registration form.",
+    ("education", "log_entry"): "LMS access log entry.",
+    ("government", "plain_text"): "Government memo or policy document excerpt.",
+    ("government", "email"): "Citizen-government correspondence.",
+    ("government", "chat_transcript"): "Internal agency chat about a case file.",
+    ("government", "ticket_worknotes"): "Government IT system support ticket.",
+    ("government", "json_record"): "Government registry record.",
+    ("government", "key_value_pairs"): "Government application form.",
+    ("government", "log_entry"): "Border-control or registry log entry.",
+    ("technology", "plain_text"): "Internal product spec or design doc excerpt.",
+    ("technology", "email"): "Engineering team correspondence.",
+    ("technology", "chat_transcript"): "Slack/Teams chat between engineers.",
+    ("technology", "ticket_worknotes"): "JIRA / Anonymous Institution incident ticket.",
+    ("technology", "json_record"): "User profile or analytics record.",
+    ("technology", "key_value_pairs"): "Onboarding form for an internal tool.",
+    ("technology", "log_entry"): "Application or auth-service log entry.",
+    ("HR", "plain_text"): "HR memo or employee performance review.",
+    ("HR", "email"): "Email between HR and an employee.",
+    ("HR", "chat_transcript"): "Manager-employee one-on-one chat.",
+    ("HR", "ticket_worknotes"): "HR support ticket.",
+    ("HR", "json_record"): "HRIS employee record export.",
+    ("HR", "key_value_pairs"): "Onboarding or benefits-enrollment form.",
+    ("HR", "log_entry"): "Time-and-attendance system log.",
+    ("insurance", "plain_text"): "Insurance claim narrative.",
+    ("insurance", "email"): "Email between a claimant and adjuster.",
+    ("insurance", "chat_transcript"): "Insurance support chat.",
+    ("insurance", "ticket_worknotes"): "Claims-processing ticket.",
+    ("insurance", "json_record"): "Policy record export.",
+    ("insurance", "key_value_pairs"): "Insurance application form.",
+    ("insurance", "log_entry"): "Claims-system audit log.",
+    ("customer_service", "plain_text"): "Customer service interaction summary.",
+    ("customer_service", "email"): "Customer-support email thread.",
+    ("customer_service", "chat_transcript"): "Live-chat support transcript.",
+    ("customer_service", "ticket_worknotes"): "Support ticket worknotes.",
+    ("customer_service", "json_record"): "CRM customer record.",
+    ("customer_service", "key_value_pairs"): "Support intake form.",
+    ("customer_service", "log_entry"): "Help-desk system log entry.",
+    ("law_enforcement", "plain_text"): "Police report or investigative narrative.",
+    ("law_enforcement", "email"): "Investigative correspondence.",
+    ("law_enforcement", "chat_transcript"): "Internal investigator chat.",
+    ("law_enforcement", "ticket_worknotes"): "Case-management ticket.",
+    ("law_enforcement", "json_record"): "Records-management system export.",
+    ("law_enforcement", "key_value_pairs"): "Booking or intake form.",
+    ("law_enforcement", "log_entry"): "Records-access audit log.",
+    ("social_media", "plain_text"): "User-generated post or comment.",
+    ("social_media", "email"): "Platform notification email.",
+    ("social_media", "chat_transcript"): "DM exchange between users.",
+    ("social_media", "ticket_worknotes"): "Content-moderation ticket.",
+    ("social_media", "json_record"): "Post or user-profile API response.",
+    ("social_media", "key_value_pairs"): "Account-creation form.",
+    ("social_media", "log_entry"): "Platform audit log entry.",
+    ("e_commerce", "plain_text"): "Order confirmation or product review.",
+    ("e_commerce", "email"): "Shipping or order-status email.",
+    ("e_commerce", "chat_transcript"): "Customer-support live chat.",
+    ("e_commerce", "ticket_worknotes"): "Order-issue ticket.",
+    ("e_commerce", "json_record"): "Order or customer record.",
+    ("e_commerce", "key_value_pairs"): "Checkout or shipping-address form.",
+    ("e_commerce", "log_entry"): "Order-processing log entry.",
+}

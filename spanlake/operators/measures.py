@@ -15,14 +15,18 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 def distinct_n(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """n, distinct and total n-grams of a corpus; counted within documents before the shuffle."""
-    words = docs.select(T.tokens(F.col("text")).alias("w"))
+    """n, distinct and total n-grams of a corpus; counted within partitions before the shuffle.
 
-    def sized(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-
-    grams = words.select(F.explode(F.concat(*map(sized, sizes))).alias("x")).select("x.n", "x.g")
-    return grams.groupBy("n", "g").agg(F.count("*").alias("k")).groupBy("n").agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
+    Each size is made from the one below by appending words, without slices; tokens have no spaces, so a gram tells its size.
+    """
+    grams = docs.select(T.tokens(F.col("text")).alias("g1"))
+    for n in range(2, max(sizes) + 1):
+        left = F.greatest(F.size("g1") - n + 1, F.lit(0))
+        longer = F.zip_with(F.slice(f"g{n - 1}", F.lit(1), left), F.slice("g1", F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b))
+        grams = grams.withColumn(f"g{n}", longer)
+    counted = grams.select(F.explode(F.concat(*[f"g{n}" for n in sizes])).alias("g")).groupBy("g").agg(F.count("*").alias("k"))
+    size = (F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit(""))) + 1).cast("int")
+    return counted.groupBy(size.alias("n")).agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
 
 
 def mean_cosine_distance(vectors: DataFrame, column: str) -> DataFrame:
