@@ -251,3 +251,30 @@ SCENARIOS = {
     ("e_commerce", "key_value_pairs"): "Checkout or shipping-address form.",
     ("e_commerce", "log_entry"): "Order-processing log entry.",
 }
+
+#: External labels and the types they stand for, with how sure that is. Fixed values.
+FOLDS = {
+    "PERSON": ("high", "Full_Name First_Given_Name Last_Family_Name Preferred_Name".split()),
+    "CODE": ("medium", "National_Identification_Number Passport_Number Driving_License_Number Tax_Reference_Number Employee_ID_Number Customer_Reference_Number Credit_Card_Numbers Account_Statements Building_Badge_Card_Number Social_Media_Identifiers Static_IP_Address".split()),
+    "LOC": ("high", "Country_of_Residence State City Location Address_Work Address_Personal Geolocation_Data".split()),
+    "ORG": ("high", ["Org_Name"]),
+    "DEM": ("low", "Gender Marital_Status Nationality Religion Sex_Orientation Political_Party Place_of_Birth Citizenship_Status Ethnicity Trade_Union_Membership Medical_Information Allergy_Information Business_Title Professional_Background Age".split()),
+    "DATETIME": ("high", ["Date_of_Birth", "Date_Time"]),
+    "QUANTITY": ("medium", ["Compensation_and_Salary"]),
+}
+#: Host names of synthetic addresses by language, titles, and organisations by domain, with their pattern ids. Fixed values.
+HOSTS = {"EN": ["acmecorp", "northshore", "globaltech", "nexusbank", "lattice"], "DE": ["techgmbh", "berlinerag"], "FR": ["paristech", "europebanque"], "JA": ["nipponcorp", "tokyobank"], "AR": ["riyadhbank", "albayan"], "default": ["corp", "company"]}
+BUSINESS_TITLES = [("Chief Compliance Officer", "BT-001"), ("Senior Software Engineer", "BT-008"), ("Director of Engineering", "BT-011"), ("Attending Physician", "BT-004"), ("Senior Partner", "BT-005"), ("Lieutenant Colonel", "BT-006"), ("Vice President", "BT-002"), ("Marketing Director", "BT-002")]
+ORGANISATIONS = {
+    "healthcare": [("North Shore Hospital", "ORG-006"), ("Mayo Clinic Affiliate", "ORG-006"), ("Central General Hospital", "ORG-006")],
+    "legal": [("Lattice Capital Partners", "ORG-001"), ("Sullivan & Cromwell", "ORG-020"), ("Baker McKenzie", "ORG-020")],
+    "finance": [("JPMorgan Chase", "ORG-011"), ("Deutsche Bank", "ORG-011"), ("بنك الرياض", "ORG-014")],
+    "government": [("Department of Compliance", "ORG-004"), ("Federal Trade Agency", "ORG-004")],
+    "technology": [("Acme Corporation", "ORG-001"), ("Acme Tech Inc.", "ORG-001"), ("Stripe", "ORG-012")],
+    "HR": [("Acme Corporation", "ORG-001"), ("Acme Tech Inc.", "ORG-001")],
+    "insurance": [("National Insurance Co.", "ORG-001")],
+    "customer_service": [("Acme Support", "ORG-001")],
+    "law_enforcement": [("State Police", "ORG-004"), ("FBI", "ORG-004")],
+    "social_media": [("X (formerly Twitter)", "ORG-019")],
+    "e_commerce": [("Amazon", "ORG-001"), ("Shopify", "ORG-012")],
+}

@@ -138,9 +138,17 @@ def drop_later(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return records.join(pairs.select(F.col("j").alias(key)).distinct(), key, "left_anti")
 
 
-def similarity_dedup(records: DataFrame, vectors: DataFrame, cosine: float = 0.85, rouge: float = 0.70, key: str = "doc_id", vector_key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Records kept when j goes if an earlier i exceeds both thresholds; ROUGE-L is computed for the cosine pairs only."""
+def similarity_dedup(records: DataFrame, vectors: DataFrame, cosine: float = 0.85, rouge: float = 0.70, key: str = "doc_id", vector_key: str = "vec_id", column: str = "embedding", strata: list[str] | None = None, exempt: Column | None = None) -> DataFrame:
+    """Records kept when j goes if an earlier i exceeds both thresholds; ROUGE-L is computed for the cosine pairs only.
+
+    With ``strata`` only pairs of equal (null-safe) values there count; rows for which ``exempt`` holds neither go nor drop others.
+    """
     candidates = cosine_pairs(vectors, cosine, vector_key, column).select("i", "j")
+    if strata or exempt is not None:
+        group = F.to_json(F.struct(*[F.col(c) for c in strata or []])) if strata else F.lit("")
+        own = records.filter(~F.coalesce(exempt, F.lit(False))) if exempt is not None else records
+        side = lambda c: own.select(F.col(key).alias(c), group.alias(f"g{c}"))
+        candidates = candidates.join(side("i"), "i").join(side("j"), "j").filter("gi = gj").select("i", "j")
     return drop_later(records, rouge_pairs(candidates, records, key).filter(F.col("rouge_l") > rouge), key)
 
 

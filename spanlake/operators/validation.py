@@ -134,8 +134,8 @@ def self_check(text: Column, entities: Column, mode: Column, frozen: Column) ->
     body = F.coalesce(text, F.lit(""))
     lacking = F.filter(F.transform(entities, lambda e, i: F.when(~F.contains(body, e["entity_string"]), F.concat(F.lit("entity_not_in_text["), i, F.lit("]")))), lambda x: x.isNotNull())
     held = F.forall(F.coalesce(frozen, F.expr(NONE)), lambda f: F.contains(body, F.trim(f)))
-    head = F.array_compact(F.array(F.when(F.trim(body) == "", "empty_text"), F.when(F.size(entities) <= 0, "no_entities")))
-    return F.concat(head, lacking, F.array_compact(F.array(F.when((mode == "paired_sweep") & ~held, "frozen_values_missing"))))
+    head = F.array_compact(F.array(F.when(F.trim(body) == "", "empty_text"), F.when(F.coalesce(F.size(entities), F.lit(0)) <= 0, "no_entities")))
+    return F.concat(head, F.coalesce(lacking, F.expr(NONE)), F.array_compact(F.array(F.when((mode == "paired_sweep") & ~held, "frozen_values_missing"))))
 
 
 def route(failures: Column, entities: Column) -> Column:

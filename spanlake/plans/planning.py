@@ -152,10 +152,19 @@ def _whole(key: Column, name: str, low: int, high: int) -> Column:
     return (F.floor(_draw(key, name) * (high - low + 1)) + low).cast("int")
 
 
-def fictional_email(key: Column, first: Column, last: Column) -> Column:
+def _by(key: Column, name: str, pools: dict[str, list], which: Column, rest: str) -> Column:
+    """A hashed choice from the pool that ``which`` names, or from ``rest``."""
+    of = lambda values: pick(key, name, values)
+    out = None
+    for k, values in pools.items():
+        out = F.when(which == k, of(values)) if out is None else out.when(which == k, of(values))
+    return out.otherwise(of(pools[rest]))
+
+
+def fictional_email(key: Column, first: Column, last: Column, language: Column | None = None) -> Column:
     local = lambda c, none: F.coalesce(F.nullif(F.regexp_replace(F.lower(c), "[^a-z]", ""), F.lit("")), F.lit(none))
     f, n = local(first, "x"), local(last, "y")
-    host = pick(key, "host", ["corp", "company"])
+    host = _by(key, "host", consts.HOSTS, language if language is not None else F.lit("default"), "default")
     shapes = F.array(F.concat(f, F.lit("."), n, F.lit("@"), host, F.lit(".com")), F.concat(f, F.lit("_"), n, F.lit("@"), host, F.lit(".org")), F.concat(f, F.lit("@"), host, F.lit(".io")), F.concat(F.substring(f, 1, 1), n, F.lit("@"), host, F.lit(".net")))
     return F.element_at(shapes, _whole(key, "shape", 1, 4))
 
@@ -174,3 +183,81 @@ def fictional_record_number(key: Column) -> Column:
 
 def fictional_employee(key: Column) -> Column:
     return F.format_string("%s-%05d", pick(key, "prefix", ["EMP", "NOW", "SAP", "WD"]), _whole(key, "employee", 1000, 99999))
+
+
+def fictional_national_id(key: Column, language: Column) -> Column:
+    """value and pattern_id of a synthetic national number in the language's grouping; every group has its full width."""
+    part = lambda name, width: F.lpad(_whole(key, f"nid-{name}", 0, 10**width - 1).cast("string"), width, "0")
+    group = lambda sep, *widths: F.concat_ws(sep, *[part(f"{i}-{w}", w) for i, w in enumerate(widths)])
+    made = lambda value, pattern: F.struct(value.alias("value"), F.lit(pattern).alias("pattern_id"))
+    brazil = F.concat_ws("-", group(".", 3, 3, 3), part("check", 2))
+    return F.when(language == "PT_BR", made(brazil, "NID-007")).when(language == "DE", made(group(" ", 2, 3, 3, 3), "NID-003")).when(language == "FR", made(group(" ", 1, 2, 2, 2, 3, 3, 2), "NID-004")).when(language == "JA", made(group(" ", 4, 4, 4), "NID-008")).otherwise(made(group("-", 3, 2, 4), "NID-001"))
+
+
+def _named(chosen: Column) -> Column:
+    return F.struct(F.split_part(chosen, F.lit("|"), F.lit(1)).alias("value"), F.split_part(chosen, F.lit("|"), F.lit(2)).alias("pattern_id"))
+
+
+def fictional_title(key: Column) -> Column:
+    return _named(pick(key, "title", ["|".join(x) for x in consts.BUSINESS_TITLES]))
+
+
+def fictional_organisation(key: Column, domain: Column) -> Column:
+    return _named(_by(key, "org", {d: ["|".join(x) for x in v] for d, v in consts.ORGANISATIONS.items()}, domain, "technology"))
+
+
+def scenario(domain: Column, form: Column, target: Column) -> Column:
+    """Scenario text of a domain and format, or a general sentence, with the target type."""
+    table = F.create_map(*[F.lit(x) for (d, f), text in consts.SCENARIOS.items() for x in (f"{d}|{f}", text)])
+    known = F.try_element_at(table, F.concat_ws("|", domain, form))
+    general = F.concat(F.lit("A "), F.replace(form, F.lit("_"), F.lit(" ")), F.lit(" in the "), domain, F.lit(" domain."))
+    return F.concat(F.coalesce(known, general), F.lit(" (target entity: "), target, F.lit(")"))
+
+
+def attach_patterns(plan: DataFrame, catalog: DataFrame, key: str = "record_id", seed: int = SEED) -> DataFrame:
+    """``plan`` with target_pattern_id: a hashed choice among the patterns of its type; other languages than EN and tight
+    rows prefer patterns of theirs, where the type has any. Null without patterns.
+
+    ``catalog`` (pattern_id, entity_type, language_hint, dimensions) is gathered to one row a type: a few thousand patterns.
+    """
+    item = F.struct("pattern_id", F.col("language_hint").alias("hint"), F.coalesce(F.array_contains("dimensions", "Adjacency-tight"), F.lit(False)).alias("tight"))
+    pools = catalog.groupBy(F.col("entity_type").alias("target_entity_type")).agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    narrow = lambda wanted, found, rest: F.when(wanted & (F.size(found) > 0), found).otherwise(rest)
+    spoken = narrow(F.col("language") != "EN", F.filter("__all", lambda p: F.coalesce(p["hint"] == F.col("language"), F.lit(False))), F.col("__all"))
+    out = plan.join(pools, "target_entity_type", "left").withColumn("__own", spoken)
+    out = out.withColumn("__own", narrow(F.col("adjacency") == "tight", F.filter("__own", lambda p: p["tight"]), F.col("__own")))
+    at = F.floor(_draw(F.col(key).cast("string"), "pattern", seed) * F.size("__own")).cast("int")
+    return out.withColumn("target_pattern_id", F.get("__own", at)["pattern_id"]).drop("__all", "__own")
+
+
+#: Pairs of axes whose coverage a plan's report shows. Fixed values.
+SPOT_CHECKS = [("language", "domain"), ("language", "format"), ("language", "adjacency"), ("domain", "format"), ("difficulty", "density"), ("length", "density")]
+
+
+def plan_report(plan: DataFrame, floor: int = 50) -> DataFrame:
+    """section, name and n of a plan: distributions, types below the floor, least and most rows of types and patterns, and
+    pairs seen and expected over the axes' full domains. Counts are made in one pass over rows; the rest reads counts."""
+    axes = ["source", "target_entity_type", "co_occurrence_pattern", "behavioral_frame", "language", "domain", "format", "adjacency"]
+    cells = [F.struct(F.lit(a).alias("section"), F.coalesce(F.col(a).cast("string"), F.lit("?")).alias("name")) for a in axes]
+    cells += [F.struct(F.lit(f"pair {a} x {b}").alias("section"), F.when(F.col(a).isin(*AXES[a]) & F.col(b).isin(*AXES[b]), F.concat_ws("|", a, b)).alias("name")) for a, b in SPOT_CHECKS]
+    counts = plan.select(F.explode(F.array(*cells)).alias("c")).filter("c.name is not null").groupBy("c.section", "c.name").agg(F.count("*").alias("n"))
+    dims = counts.filter(~F.col("section").startswith("pair "))
+    spark = plan.sparkSession
+    every = spark.createDataFrame([("target_entity_type", t) for t in consts.TIERS] + [("co_occurrence_pattern", f"CO-{i:03d}") for i in range(1, 16)], "section string, name string")
+    filled = every.join(counts, ["section", "name"], "left").select("section", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    below = filled.filter((F.col("section") == "target_entity_type") & (F.col("n") < floor)).select(F.lit("below_floor").alias("section"), "name", "n")
+    least = filled.groupBy("section").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("section", F.explode(F.array(F.struct(F.lit("least").alias("k"), F.col("a").alias("n")), F.struct(F.lit("most").alias("k"), F.col("b").alias("n")))).alias("x")).select(F.concat("section", F.lit(" range")).alias("section"), F.col("x.k").alias("name"), F.col("x.n").alias("n"))
+    seen = counts.filter(F.col("section").startswith("pair ")).groupBy("section").agg(F.count("*").alias("n")).select("section", F.lit("observed").alias("name"), "n")
+    expected = spark.createDataFrame([(f"pair {a} x {b}", "expected", len(AXES[a]) * len(AXES[b])) for a, b in SPOT_CHECKS], "section string, name string, n long")
+    return dims.unionByName(below).unionByName(least).unionByName(seen).unionByName(expected)
+
+
+def catalog_stats(catalog: DataFrame) -> DataFrame:
+    """stat, name and n of a catalog (pattern_id, entity_type, entity_category, dimensions, language_hint, declared): patterns
+    by type, category, dimension and language, ids that occur more than once, and types whose declared count isn't theirs."""
+    one = lambda stat, value: F.struct(F.lit(stat).alias("stat"), value.cast("string").alias("name"))
+    dims = F.transform(F.coalesce("dimensions", F.expr("cast(array() as array<string>)")), lambda d: one("dimension", d))
+    cells = F.concat(F.array(one("entity_type", F.col("entity_type")), one("category", F.col("entity_category")), one("language", F.nullif("language_hint", F.lit(""))), one("duplicate_id", F.col("pattern_id"))), dims)
+    counts = catalog.select(F.explode(cells).alias("c")).filter("c.name is not null").groupBy("c.stat", "c.name").agg(F.count("*").alias("n"))
+    wrong = catalog.groupBy("entity_type").agg(F.count("*").alias("n"), F.max("declared").alias("declared")).filter("declared <> n").select(F.lit("declared_mismatch").alias("stat"), F.col("entity_type").alias("name"), "n")
+    return counts.filter("stat <> 'duplicate_id' or n > 1").unionByName(wrong)
