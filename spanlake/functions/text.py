@@ -21,10 +21,17 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too; none for an empty needle."""
-    fits = (F.length(needle) > 0) & (F.length(needle) <= F.length(text)) & F.contains(text, needle)
-    found = F.filter(F.sequence(F.lit(1), F.length(text) - F.length(needle) + 1), lambda i: F.substring(text, i, F.length(needle)) == needle)
-    return F.when(fits, F.transform(found, lambda i: i - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    """0-based starts of all occurrences, overlapping ones too; none for an empty needle.
+
+    The text is split before each occurrence and the pieces' lengths are added up: one scan of the text.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    before = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    sizes = F.transform(F.split(text, before), F.length)
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found"))
+    later = F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    fits = (F.length(needle) > 0) & F.contains(text, needle)
+    return F.when(fits, F.concat(F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(none), later)).otherwise(none)
 
 
 def count_apart(text: Column, needle: Column) -> Column:

@@ -14,6 +14,9 @@ def test_text_functions(spark):
     t, s = F.col("t"), F.col("s")
     assert value(spark, T.occurrences(t, s), t="aaaa", s="aa") == [0, 1, 2]
     assert value(spark, T.occurrences(t, s), t="aaaa", s="") == []
+    assert value(spark, T.occurrences(t, s), t="a\\Eb x\\Eb", s="\\Eb") == [1, 6]
+    assert value(spark, T.occurrences(t, s), t="\U0001f600é.é.", s="é.") == [1, 3] and value(spark, T.occurrences(t, s), t="ab", s="abc") == []
+    assert value(spark, T.occurrences(t, s), t=None, s="a") == [] and value(spark, T.occurrences(t, s), t="x", s="x") == [0]
     assert value(spark, T.count_apart(t, s), t="aaaa", s="aa") == 2
     assert value(spark, T.tokens(t), t="हिन्दी ok") == ["ह", "न", "द", "ok"]
     assert value(spark, T.check_iban(t), t="GB82 WEST 1234 5698 7654 32") is True
