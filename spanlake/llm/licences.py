@@ -4,8 +4,11 @@ Sparse multinomial logistic regression over word uni- and bigrams is trained her
 of short public notices (crops, dropped and inserted words) against fragments and shuffles of the
 same vocabulary and plain sentences. Held-out variations set a temperature and the probability
 below which a paragraph is of unknown licence. A prediction counts once its paragraph also holds
-enough of one of the family's templates. Texts are scored by DataFrame functions alone, within
-their row: nothing is shuffled. Weights depend on the templates only and go out as literals.
+enough of one of the family's templates. A paragraph is the lines between two without letters or
+digits (so comment leaders and line breaks don't part a notice). It is scored as a whole, and so are
+its lines and its overlapping windows of ``SPAN`` words, where prose around a notice can't outweigh
+it. Texts are scored by DataFrame functions alone, within their row: nothing is shuffled. Weights
+depend on the templates only and go out as literals.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ FAMILIES = (*TEMPLATES, "none")
 PLAIN = ("the city council granted permission to use the public garden", "a driver must carry a licence at all times", "the general said that the work is under way", "version two of the story is free of charge for any person", "he may not leave the file in the source of the river", "the software copies all files to the following library", "they part at the common and read the later version", "rights and conditions of workers under law")
 #: A template counts as found with this share of its bigrams.
 CONFIRM = 0.5
-#: A paragraph is looked at if it holds one of these words: every confirmed template share includes at least one.
-GATE = r"(?i)licen[sc]|permission|compliance|redistribut|public domain|creative commons|\bcc\b|\bcc0\b|copyright|version 2 of|later version|encumbered|source code form"
+#: Words of a window: over twice the longest template, so that each template lies in one of the windows at half steps.
+SPAN = 48
+#: What is of class unknown holds one of these.
+GATE = r"(?i)licen[sc]|permission|compliance|redistribut|public\W+domain|creative\W+commons|\bcc\b|\bcc0\b|copyright|version\W+2\W+of|later\W+version|encumbered|source\W+code\W+form"
+#: Line starts that are no text; other comment leaders have no letters.
+LEADER = r"(?i)^\s*(?:@?rem|dnl|c(?=\s\s))(?=\s|$)"
 
 
 def grams(text: str) -> list[str]:
@@ -112,39 +119,100 @@ def model(each: int = 120, steps: int = 250, seed: int = 11) -> tuple[dict[str,
     return {g: [round(float(v), 6) for v in w[i] / heat] for g, i in number.items() if np.abs(w[i]).sum() > 0}, [round(float(v), 6) for v in b / heat], least
 
 
-def _grams(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+#: Words (of any language) too usual to look for by themselves.
+USUAL = frozenset(w for t in PLAIN for w in t.split()) | frozenset("of mit into you this with are or no met form forms by be at either copy".split())
+
+
+@functools.lru_cache(maxsize=8)
+def gate_terms(confirm: float = CONFIRM) -> tuple[str, ...]:
+    """Words and bigrams such that each share of ``confirm`` or more of a template's bigrams holds one of them."""
+    chosen: set[str] = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        pairs = [g for g in grams(t) if " " in g]
+        while (left := [p for p in pairs if not chosen & {p, *p.split()}]) and len(left) >= confirm * len(pairs):
+            words = {w for p in left for w in p.split() if len(w) > 1} - USUAL
+            chosen.add(max(words or left, key=lambda w: (sum(w in (p, *p.split()) for p in left), len(w), w)))
+    return tuple(sorted(chosen))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _grams(words: Column) -> Column:
     pair = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(words, F.filter(pair, lambda p: p.isNotNull())))
 
 
 FOUND = "array<struct<line:int,family:string,probability:double,template_share:double>>"
+#: Pieces of a paragraph.
+LINE, WINDOW, WHOLE = 0, 1, 2
+
+
+def _pieces(lines: Column) -> Column:
+    """Lines (line, x) of one paragraph, as pieces (line, last, kind, w): its lines, its windows where these aren't its only line, and the whole of a longer one."""
+    piece = lambda part, kind: F.struct(F.get(part, F.lit(0))["line"].alias("line"), F.element_at(part, -1)["line"].alias("last"), F.lit(kind).alias("kind"), F.transform(part, lambda t: t["w"]).alias("w"))
+    worded = F.transform(lines, lambda s: F.transform(_words(s["x"]), lambda w: F.struct(s["line"].alias("line"), w.alias("w"))))
+    kind = "array<struct<line:int,last:int,kind:int,w:array<string>>>"
+
+    def cut(parts: Column) -> Column:
+        own = F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: piece(p, LINE))
+        return F.concat(own.cast(kind), F.flatten(F.transform(F.array(F.flatten(parts)), lambda t: windows(t, F.size(parts)))))
+
+    def windows(t: Column, n_lines: Column) -> Column:
+        more = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(t) - SPAN, F.lit(0)) / F.lit(SPAN // 2)).cast("int"))
+        part = F.transform(more, lambda k: piece(F.slice(t, k * (SPAN // 2) + 1, F.lit(SPAN)), WINDOW))
+        none = F.array().cast(kind)
+        whole = F.when((n_lines > 1) & (F.size(t) > SPAN), F.array(piece(t, WHOLE)).cast(kind)).otherwise(none)
+        return F.when((F.size(t) > 0) & ((n_lines > 1) | (F.size(t) > SPAN)), F.concat(part.cast(kind), whole)).otherwise(none)
+
+    return F.flatten(F.transform(F.array(worded), cut))
 
 
 def scan(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     """``docs`` with ``licences`` (line, family, probability, template_share) in place of such a column.
 
-    ``line`` counts from 0. Gated lines that no prediction confirms are listed as family 'unknown'
-    if their probability or template share falls short; lines of class none are left out. Null and
-    empty texts have none; one row for each row, other columns passed on.
+    ``line`` counts from 0: a confirmed line, or the first line of a confirmed window or paragraph
+    none of whose lines is confirmed for that family. Gated lines, or else windows, of a known class
+    that fall short in probability or template share and lie in no confirmed window are listed as
+    family 'unknown'; those of class none are left out. Null and empty texts have none; one row for
+    each row, other columns passed on.
     """
     weights, bias, least = model()
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
     zero = F.array(*[F.lit(0.0)] * len(FAMILIES))
     shapes = F.from_json(F.lit(json.dumps([{"f": f, "g": [g for g in grams(t) if " " in g]} for f, ts in TEMPLATES.items() for t in ts])), "array<struct<f:string,g:array<string>>>")
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    held = docs.withColumn("__lines", F.filter(F.transform(F.split(text_or_empty(), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: F.rlike(s["x"], F.lit(GATE))))
-    held = held.withColumn("__lines", F.transform("__lines", lambda s: F.struct(s["line"].alias("line"), _grams(s["x"]).alias("g"))))
+    gate = f"{GATE}|(?<![a-z0-9])(?:{'|'.join(gate_terms(confirm)).replace(' ', '[^a-z0-9]+')})(?![a-z0-9])"
+    gated = lambda x: F.rlike(F.lower(x), F.lit(gate))
+    kept = lambda s, *names: [s[n].alias(n) for n in names]
+    line = lambda x, i: F.struct(i.alias("line"), F.regexp_replace(x, LEADER, "").alias("x"), F.rlike(x, F.lit(r"[\p{L}\p{N}]")).alias("full"))
+    held = docs.withColumn("__lines", F.when(gated(text_or_empty()), F.transform(F.split(text_or_empty(), "\n", -1), line)).otherwise(F.array().cast("array<struct<line:int,x:string,full:boolean>>")))
+    n = F.size("__lines")
+    around = F.arrays_zip(F.col("__lines").alias("s"), F.concat(F.array(F.lit(False)), F.transform("__lines", lambda s: s["full"])).alias("before"), F.concat(F.transform(F.slice("__lines", F.lit(2), F.greatest(n, F.lit(1))), lambda s: s["full"]), F.array(F.lit(False))).alias("after"))
+    held = held.withColumn("__around", F.filter(around, lambda t: t["s"]["full"] & ~(t["before"] & t["after"])))
+    first, last = (F.transform(F.filter("__around", lambda t: ~t[side]), lambda t: t["s"]["line"]) for side in ("before", "after"))
+    held = held.withColumn("__ends", F.arrays_zip(first.alias("a"), last.alias("b")))
+    held = held.withColumn("__paragraphs", F.filter(F.transform("__ends", lambda e: F.slice("__lines", e["a"] + 1, e["b"] - e["a"] + 1)), lambda ls: gated(F.array_join(F.transform(ls, lambda s: s["x"]), " "))))
+    pieces = F.filter(F.flatten(F.transform("__paragraphs", _pieces)), lambda s: gated(F.array_join(s["w"], " ")))
+    held = held.withColumn("__pieces", F.transform(pieces, lambda s: F.struct(*kept(s, "line", "last", "kind"), F.rlike(F.array_join(s["w"], " "), F.lit(GATE)).alias("told"), _grams(s["w"]).alias("g"))))
     total = lambda s: F.aggregate(s["g"], F.array(*[F.lit(x) for x in bias]), lambda acc, g: F.zip_with(acc, F.coalesce(F.try_element_at(table, g), zero), lambda a, b: a + b))
-    held = held.withColumn("__lines", F.transform("__lines", lambda s: F.struct(s["line"].alias("line"), s["g"].alias("g"), total(s).alias("z"))))
+    held = held.withColumn("__pieces", F.transform("__pieces", lambda s: F.struct(*kept(s, "line", "last", "kind", "told", "g"), total(s).alias("z"))))
     best = lambda s: F.array_max(s["z"])
     chance = lambda s: 1 / F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - best(s)))
-    held = held.withColumn("__lines", F.transform("__lines", lambda s: F.struct(s["line"].alias("line"), s["g"].alias("g"), F.get(names, F.array_position(s["z"], best(s)).cast("int") - 1).alias("family"), chance(s).alias("p"))))
+    held = held.withColumn("__pieces", F.transform("__pieces", lambda s: F.struct(*kept(s, "line", "last", "kind", "told", "g"), F.get(names, F.array_position(s["z"], best(s)).cast("int") - 1).alias("family"), chance(s).alias("p"))))
     share = lambda s: F.coalesce(F.array_max(F.transform(F.filter(shapes, lambda t: t["f"] == s["family"]), lambda t: F.size(F.array_intersect(t["g"], s["g"])) / F.size(t["g"]))), F.lit(0.0))
-    held = held.withColumn("__lines", F.transform(F.filter("__lines", lambda s: s["family"] != "none"), lambda s: F.struct(s["line"].alias("line"), s["family"].alias("family"), F.round(s["p"], 6).alias("probability"), share(s).alias("template_share"))))
+    held = held.withColumn("__pieces", F.transform(F.filter("__pieces", lambda s: s["family"] != "none"), lambda s: F.struct(*kept(s, "line", "last", "kind", "told", "family"), F.round(s["p"], 6).alias("probability"), share(s).alias("template_share"))))
     sure = lambda s: (s["probability"] >= least) & (s["template_share"] >= confirm)
-    out = F.transform("__lines", lambda s: F.struct(s["line"].alias("line"), F.when(sure(s), s["family"]).otherwise(F.lit("unknown")).alias("family"), s["probability"].alias("probability"), s["template_share"].alias("template_share")))
-    return held.withColumn("licences", out.cast(FOUND)).drop("__lines")
+    meet = lambda a, b: (a["line"] <= b["last"]) & (b["line"] <= a["last"])
+    # a larger piece counts where no smaller or earlier one of its lines has said the same
+    held = held.withColumn("__sure", F.filter("__pieces", sure)).withColumn("__open", F.filter("__pieces", lambda s: ~sure(s) & s["told"] & (s["kind"] < WHOLE)))
+    fresh = lambda known: lambda s, i: ~F.exists(F.slice(known, F.lit(1), i), lambda o: (o["family"] == s["family"]) & meet(o, s))
+    held = held.withColumn("__open", F.filter("__open", lambda s: ~F.exists("__sure", lambda o: ((s["kind"] == WINDOW) | (o["kind"] == WINDOW)) & meet(o, s))))
+    new = F.filter("__open", lambda s, i: (s["kind"] == LINE) | ~F.exists(F.slice("__open", F.lit(1), i), lambda o: meet(o, s)))
+    said = lambda s, family: F.struct(s["line"].alias("line"), family.alias("family"), s["probability"].alias("probability"), s["template_share"].alias("template_share"))
+    out = F.concat(F.transform(F.filter("__sure", lambda s, i: (s["kind"] == LINE) | fresh("__sure")(s, i)), lambda s: said(s, s["family"])), F.transform(new, lambda s: said(s, F.lit("unknown"))))
+    return held.withColumn("licences", F.array_sort(out.cast(FOUND))).drop("__lines", "__around", "__ends", "__paragraphs", "__pieces", "__sure", "__open")
 
 
 def families() -> Column:
