@@ -41,7 +41,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){1,30}")
+#: Characters of an IBAN by country, from the registry.
+_IBAN_SIZE = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO;16:BE;18:DK FI FK FO GL NL SD;19:MK SI;20:AT BA EE KZ LT LU MN XK;21:CH HR LI LV;22:BG BH CR DE GB GE IE ME RS VA;23:AE GI IL IQ OM SO TL;"
+    "24:AD CZ ES MD PK RO SA SE SK TN VG;25:LY PT ST;26:IS TR;27:BI DJ FR GR IT MC MR SM;28:AL AZ BY CY DO GT HN HU LB NI PL SV;29:BR EG PS QA UA;30:JO MU YE;31:MT SC;32:LC;33:RU"
+).split(";")) for c in cs.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[^0-9]+")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -97,10 +103,19 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        value = m[0].replace(" ", "")
-        if 15 <= len(value) <= 34 and mod97(value):
-            yield m.span()
+    """At each start the country's length and then the longest allowed end, or all allowed ends where the country is unknown."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        stop = _IBAN_REST.match(text, at).end()
+        ends = [e for e in range(stop, at, -1) if text[e - 1] != " " and not (e < len(text) and text[e].isascii() and text[e].isalnum())]
+        own = _IBAN_SIZE.get(m[0][:2])
+        size = lambda e: e - m.start() - text.count(" ", m.start(), e)
+        for end in ends if own is None else [e for e in ends if size(e) == own] + ends[:1]:
+            if size(end) >= 15 and mod97(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                at = end
+                break
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:

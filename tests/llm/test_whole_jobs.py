@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
-from spanlake.llm import licences
+from spanlake.llm import licences, pii
 
 
 def table(spark, rows, schema="doc_id long, text string"):
@@ -25,3 +25,13 @@ def test_licences_over_wrapped_lines(spark):
     for t in (t for ts in licences.TEMPLATES.values() for t in ts):
         pairs = [g for g in licences.grams(t) if " " in g]
         assert sum(not {g, *g.split()} & set(licences.gate_terms()) for g in pairs) < licences.CONFIRM * len(pairs)
+
+
+def test_ibans_before_upper_case_words():
+    one, other = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    found = lambda t: [t[s:e] for k, s, e, _ in pii.spans(t) if k == "iban"]
+    assert found(f"IBAN {one} BIC COBADEFFXXX") == [one]
+    assert found("DE89370400440532013000 EUR 50") == ["DE89370400440532013000"]
+    assert found(f"{one} {other} {one}") == [one, other, one]
+    assert found(f"DE12 {one} 12") == [one]
+    assert found(f"{one}X") == found("DE88370400440532013000 EUR") == []
