@@ -33,9 +33,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
 )
+#: A PEM key: through the END line of its label, or (where that is missing) through the headers and base64 lines that follow.
+#: Possessive loops, which Java runs without recursion. The last, shorter base64 line must end its line.
+_BREAK = r"""(?:[\s"'>#*|,]|\\[nrt])*+"""
+_PEM = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info|Comment): [^\r\n\\]*+)*+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"""(?:[\x20\t]*+(?:\r?\n|\\n|\\r\\n)[\s>#*|]*+[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*(?:[\r\n"'\\]|$)))?)"""
+)
 #: What the method adds.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("forge_token", r"gh[oprsu]_[A-Za-z0-9]+", 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 39),
