@@ -24,8 +24,9 @@ CORE = 0.75
 STEPS = 3
 #: Squared distance beyond which a text is rejected; beyond the 1 - 1e-5 quantile of chi-square with 4 degrees of freedom (28.5).
 CUTOFF = 30.0
-#: Least standard deviation of each coordinate: a smaller spread says nothing about quality.
-FLOOR = (0.15, 0.05, 0.30, 0.30)
+#: Least standard deviation of each coordinate: a smaller spread says nothing about quality. Over a clean group each coordinate
+#: alone can exceed the cutoff: repeated lines and windows, at most 1 and 0.71 past the base rules, from 0.55.
+FLOOR = (0.15, 0.05, 0.10, 0.10)
 #: Groups below this many rows are judged by the pooled estimate of their language.
 LEAST = 50
 #: Languages and sources whose estimates (about 150 bytes each) are broadcast.

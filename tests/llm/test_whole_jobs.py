@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 import corpus_pipeline
 
-from spanlake.llm import licences, pii, secrets
+from spanlake.llm import licences, pii, rules, secrets
 
 
 def table(spark, rows, schema="doc_id long, text string"):
@@ -54,3 +56,25 @@ def test_private_keys_are_masked_to_their_end(spark):
     assert not any(x in t for t in safe.values() for x in (*body, "PRIVATE KEY", "ENCRYPTED"))
     assert all(t.startswith("a") and t.endswith("b c d") for t in safe.values()) and safe[6] == "a [SECRET] b c d"
     assert safe[1] == "a\n[SECRET]\nb c d" and safe[4].count("b c d") == 2
+
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+WORDS = [f"{a}{b}" for a in "qwertzuiop" for b in "asdfghjkl"]
+
+
+def prose(rnd, n=90):
+    return " ".join(rnd.choice(WORDS) + rnd.choice(["", "s", "ing"]) for _ in range(n))
+
+
+def outliers(rnd):
+    """One text for each coordinate: long words, symbols, repeated lines, repeated windows."""
+    words = [rnd.choice(WORDS) + str(i) for i in range(90)]
+    return [" ".join(w * 4 for w in words), " ".join(w + "%#" for w in words), "\n".join(x for w in words for x in (w, "menu")), " ".join(words[:60] + words[:20] + words[60:70])]
+
+
+def test_each_coordinate_alone_rejects(spark):
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd), "en", "s") for i in range(120)] + [(1000 + k, t, "en", "s") for k, t in enumerate(outliers(rnd))]
+    got = {r.doc_id: r for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002, 1003}
