@@ -148,8 +148,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry_tex
         held = held.withColumn("lang", F.lit(None).cast("string"))
     if "source" not in names:
         held = held.withColumn("source", F.lit(None).cast("string"))
-    key = lambda *cols: F.to_json(F.struct(*cols))
-    held = held.withColumns(dict(zip(DIM, _vector(), strict=True))).withColumns({"__own": key("lang", "source"), "__wide": key("lang")})
+    key = lambda level, *cols: F.to_json(F.struct(F.lit(level).alias("level"), *cols), {"ignoreNullFields": "false"})
+    held = held.withColumns(dict(zip(DIM, _vector(), strict=True))).withColumns({"__own": key("own", "lang", "source"), "__wide": key("wide", "lang")})
     held = stage(held, "rules")
     good = held.filter(~F.col("base_failed")).select("__own", "__wide", *DIM)
     sizes = good.groupBy("__own").agg(F.count("*").alias("n"), F.first("__wide").alias("__wide"))

@@ -78,3 +78,11 @@ def test_each_coordinate_alone_rejects(spark):
     got = {r.doc_id: r for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002, 1003}
+
+
+def test_a_null_source_is_a_group_of_its_own(spark):
+    rnd = random.Random(4)
+    dense = lambda: "\n".join(prose(rnd, 8).replace(" ", " #%& ") for _ in range(12))
+    rows = [(i, prose(rnd), "en", None) for i in range(120)] + [(1000 + i, dense(), "en", "s") for i in range(120)] + [(2000, dense(), "en", None)]
+    got = {r.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    assert all(k == (i < 2000) for i, k in got.items())
