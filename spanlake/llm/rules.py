@@ -6,8 +6,8 @@ repeated-window share). For each language and source the minimum-covariance-dete
 and scatter are found by concentration steps from coordinatewise medians: a step keeps the share
 ``CORE`` of rows nearest by Mahalanobis distance and takes their moments anew. Each step is one
 aggregation with map-side combining; distance quantiles come from a fixed-resolution histogram, so
-memory is bounded for any group and results don't depend on row order. Groups that are small or
-have no spread lean on the variance floor.
+memory is bounded for any group and results don't depend on row order. Small groups shrink to their
+language, and languages to the pool of all rows; groups without spread lean on the variance floor.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ CUTOFF = 30.0
 #: Least standard deviation of each coordinate: a smaller spread says nothing about quality. Over a clean group each coordinate
 #: alone can exceed the cutoff: repeated lines and windows, at most 1 and 0.71 past the base rules, from 0.55.
 FLOOR = (0.15, 0.05, 0.10, 0.10)
-#: Groups below this many rows are judged by the pooled estimate of their language.
+#: An estimate of this many rows weighs as much as that of the level above it.
 LEAST = 50
 #: Languages and sources whose estimates (about 150 bytes each) are broadcast.
 GROUPS = 50_000
 BINS_PER_UNIT = 32
 SPACE = " \t\n\x0b\f\r"
 DIM = ("x0", "x1", "x2", "x3")
+#: Columns of an estimate: centre and covariance.
+MOMENTS = (*(f"m{i}" for i in range(len(DIM))), *(f"c{i}{j}" for i in range(len(DIM)) for j in range(i + 1)))
 
 
 def stats(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def _quantile(frame: DataFrame, value: Column, share: float, name: str) -> DataF
 
 
 def _moments(frame: DataFrame, core: Column) -> DataFrame:
-    """Mean and the Cholesky factor of the floored covariance of each group's core rows."""
+    """Mean and floored covariance of each group's core rows."""
     d = len(DIM)
     sums = [F.avg(F.when(core, F.col(x))).alias(f"m{i}") for i, x in enumerate(DIM)]
     cross = [F.avg(F.when(core, F.col(DIM[i]) * F.col(DIM[j]))).alias(f"s{i}{j}") for i in range(d) for j in range(i + 1)]
@@ -98,11 +100,17 @@ def _moments(frame: DataFrame, core: Column) -> DataFrame:
         for j in range(i + 1):
             cov = F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
             out = out.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + F.lit(FLOOR[i] ** 2) if i == j else cov)
+    return out.select("g", *MOMENTS)
+
+
+def _factored(out: DataFrame) -> DataFrame:
+    """The Cholesky factor l* in place of the covariance."""
+    d = len(DIM)
     for i in range(d):
         for j in range(i + 1):
             rest = reduce(lambda a, b: a - b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{i}{j}"))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    return out.drop(*MOMENTS[d:])
 
 
 def _distance() -> Column:
@@ -120,14 +128,14 @@ def _beside(frame: DataFrame, groups: DataFrame, key: str, how: str = "inner") -
 
 
 def estimates(vectors: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Centre and scatter factor by group: columns g, m*, l*. ``vectors`` has g and the coordinates."""
+    """Centre and scatter by group: columns g, m*, c*. ``vectors`` has g and the coordinates."""
     mid = reduce(lambda a, b: a.join(b, "g"), [_quantile(vectors, F.col(x), 0.5, f"q{i}") for i, x in enumerate(DIM)])
     start = _beside(vectors, stage(mid, "medians"), "g").withColumn("d2", reduce(lambda a, b: a + b, [F.pow((F.col(x) - F.col(f"q{i}")) / FLOOR[i], 2) for i, x in enumerate(DIM)]))
     # later steps start from the staged estimate of the step before
     for step in range(steps):
         cut = stage(_quantile(start, F.col("d2"), core, "cut"), "cut")
-        found = stage(_moments(_beside(start, cut, "g"), _bin(F.col("d2")) < _bin(F.col("cut") * 0.999)), f"mcd{step}")
-        start = _beside(vectors, found, "g").withColumn("d2", _distance())
+        found = stage(_moments(_beside(start, cut, "g"), _bin(F.col("d2")) <= _bin(F.col("cut") * 0.999)), f"mcd{step}")
+        start = _beside(vectors, _factored(found), "g").withColumn("d2", _distance())
     return found
 
 
@@ -135,8 +143,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry_tex
     """``docs`` with the five counts, base_failed, distance (squared; null where the base failed) and kept.
 
     One row for each row. Null and empty texts fail the base rules; null language or source is a
-    group of its own; groups below ``least`` passing rows use their language's pooled estimate, and
-    keep everything where that is small as well. Columns of the same names are replaced. Without
+    group of its own. An estimate of n passing rows has weight n / (n + ``least``) against that of its
+    language, and this against that of all rows, so every row is judged. Columns of the same names are replaced. Without
     ``carry_text`` the text is left out, and no copy of it is staged.
     """
     names = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")]
@@ -151,12 +159,18 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, carry_tex
     key = lambda level, *cols: F.to_json(F.struct(F.lit(level).alias("level"), *cols), {"ignoreNullFields": "false"})
     held = held.withColumns(dict(zip(DIM, _vector(), strict=True))).withColumns({"__own": key("own", "lang", "source"), "__wide": key("wide", "lang")})
     held = stage(held, "rules")
-    good = held.filter(~F.col("base_failed")).select("__own", "__wide", *DIM)
-    sizes = good.groupBy("__own").agg(F.count("*").alias("n"), F.first("__wide").alias("__wide"))
-    # a group's rows count for its own estimate and for its language's
-    vectors = stage(good.select(F.explode(F.array("__own", "__wide")).alias("g"), *DIM), "vectors")
-    large = estimates(vectors).join(vectors.groupBy("g").agg(F.count("*").alias("size")), "g").filter(F.col("size") >= least).drop("size")
-    use = sizes.select("__own", F.when(F.col("n") >= least, F.col("__own")).otherwise(F.col("__wide")).alias("g")).join(large, "g", "left").drop("g")
+    good = held.filter(~F.col("base_failed")).select("__own", "__wide", F.lit("all").alias("__all"), *DIM)
+    use = good.groupBy("__own").agg(F.first("__wide").alias("__wide"), F.first("__all").alias("__all"))
+    # a group's rows count for its own estimate, for its language's and for that of all rows
+    vectors = stage(good.select(F.explode(F.array("__own", "__wide", "__all")).alias("g"), *DIM), "vectors")
+    found = stage(estimates(vectors).join(vectors.groupBy("g").agg((F.count("*") / (F.count("*") + F.lit(least))).alias("w")), "g"), "levels")
+    for level in ("__all", "__wide", "__own"):
+        own = found.select(F.col("g").alias(level), F.col("w").alias("v"), *[F.col(x).alias(f"n{x}") for x in MOMENTS])
+        if level == "__all":
+            use = use.join(F.broadcast(own.filter(F.col("__all") == "all")), level).withColumnsRenamed({f"n{x}": x for x in MOMENTS}).drop("v")
+        else:
+            use = _beside(use, own, level).withColumns({x: F.col("v") * F.col(f"n{x}") + (1 - F.col("v")) * F.col(x) for x in MOMENTS}).drop("v", *[f"n{x}" for x in MOMENTS])
+    use = _factored(use).drop("__wide", "__all")
     out = _beside(held, stage(use, "estimates"), "__own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
 

@@ -86,3 +86,14 @@ def test_a_null_source_is_a_group_of_its_own(spark):
     rows = [(i, prose(rnd), "en", None) for i in range(120)] + [(1000 + i, dense(), "en", "s") for i in range(120)] + [(2000, dense(), "en", None)]
     got = {r.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
     assert all(k == (i < 2000) for i, k in got.items())
+
+
+def test_rare_languages_and_small_tables_are_judged(spark):
+    rnd = random.Random(5)
+    odd = outliers(rnd)
+    # one outlier to a language that is rare or holds nothing else
+    rows = [(i, prose(rnd), "en", "s") for i in range(120)] + [(1000 + k, t, f"x{k}", "r") for k, t in enumerate(odd)] + [(2000 + i, prose(rnd), f"x{i % 2}", "r") for i in range(12)]
+    got = {r.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    assert {i for i, k in got.items() if not k} == {1000, 1001, 1002, 1003}
+    few = {r.doc_id: r.kept for r in rules.judge(table(spark, rows[90:121], SCHEMA)).collect()}
+    assert all(k == (i < 1000) for i, k in few.items())
