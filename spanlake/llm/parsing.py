@@ -23,22 +23,21 @@ CHUNK = 1 << 19
 
 _RNG = np.random.default_rng(97)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = [int(b) * 8 + 5 for b in _RNG.integers(1 << 40, 1 << 60, 2)]  # odd, of large order
+_BASE = int(_RNG.integers(1 << 40, 1 << 60)) * 8 + 5  # odd, of large order
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_powers: list[list[np.ndarray]] = [[], []]
+_powers: list[np.ndarray] = []
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if not _powers[which] or len(_powers[which][0]) < n:
-        base, size = _BASES[which] % 2**64, max(n, CHUNK + 1024)
-        out = []
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
+    if not _powers or len(_powers[0]) < n:
+        base, size = _BASE % 2**64, max(n, CHUNK + 1024)
+        _powers.clear()
         for b in (base, pow(base, -1, 2**64)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
-            out.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[which] = out
-    return _powers[which][0], _powers[which][1]
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+    return _powers
 
 
 def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -60,7 +59,7 @@ class Chunk:
         self.sizes = np.array([len(d) for d in docs], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         self.buffer = np.frombuffer(b"".join(docs), np.uint8)
-        self.prefix: dict[int, np.ndarray] = {}
+        self.prefix: np.ndarray | None = None
         counts = np.maximum(self.sizes - LENGTH + 1, 0)  # starts of whole strings, by document
         total = int(counts.sum())
         if total == 0:
@@ -70,7 +69,7 @@ class Chunk:
         places = np.arange(total) + np.repeat(self.begin[:-1] - before, counts)
         ends = len(self.buffer) - TRIGGER + 1
         at = np.arange(ends, dtype=np.uint64)
-        least = self.hash(0, np.arange(ends), np.arange(ends) + TRIGGER)
+        least = self.hash(np.arange(ends), np.arange(ends) + TRIGGER)
         least ^= least >> np.uint64(29)
         least *= np.uint64(0xBF58476D1CE4E5B9)
         least &= _HIGH
@@ -86,21 +85,16 @@ class Chunk:
         self.doc = np.searchsorted(self.begin, self.lo, side="right") - 1
         self.ord = np.arange(len(new)) - np.searchsorted(self.doc, self.doc, side="left")
 
-    def hash(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the strings [start, end) of the buffer."""
-        power, inverse = _power(which, len(self.buffer) + 1)
-        if which not in self.prefix:
-            run = np.zeros(len(self.buffer) + 1, np.uint64)
-            np.cumsum((_BYTES if which == 0 else _BYTES[::-1])[self.buffer] * power[: len(self.buffer)], out=run[1:])
-            self.prefix[which] = run
-        run = self.prefix[which]
-        return (run[end] - run[start]) * inverse[start]
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit rolling hashes of the strings [start, end) of the buffer. Equal strings have equal ones; others that do only cost work, as what is removed is told by digests or bytes."""
+        power, inverse = _power(len(self.buffer) + 1)
+        if self.prefix is None:
+            self.prefix = np.zeros(len(self.buffer) + 1, np.uint64)
+            np.cumsum(_BYTES[self.buffer] * power[: len(self.buffer)], out=self.prefix[1:])
+        return (self.prefix[end] - self.prefix[start]) * inverse[start]
 
     def cores(self) -> np.ndarray:
-        return self.hash(0, self.anchor, self.anchor + CORE)
-
-    def phrases(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(self.hash(w, self.lo[pick], self.hi[pick] + LENGTH) for w in (0, 1))
+        return self.hash(self.anchor, self.anchor + CORE)
 
     def starts(self, pick: np.ndarray) -> np.ndarray:
         """Every start of some runs."""

@@ -1,45 +1,51 @@
-"""Removal of every byte of a repeated 200-byte string, by a prefix-free parse.
+"""Removal of every byte of a repeated 200-byte string, by prefix-free parsing.
 
-Rolling-hash triggers cut each text into phrases (see ``parsing``). As every phrase overlaps the
-next by a whole string, all starts of 200-byte strings belong to exactly one phrase's run, and equal
-strings have equal triggers. So the corpus reduces to a dictionary of distinct phrases and the parse,
-the phrases' places in the documents:
+Rolling-hash triggers cut each text into phrases (see ``parsing``). Every phrase overlaps the next by
+199 bytes, so each 200-byte string lies in exactly one phrase, at a start of that phrase's run, and
+equal strings have equal triggers. The corpus is then a dictionary of distinct phrases and a parse,
+the phrases' places. Its suffixes in lexicographic order, to the depth of ``LENGTH``, follow from
+the two: the dictionary's suffix array orders the strings, and the parse's order, needed to its
+first symbol only as no string reaches into a second phrase, says how often each phrase stands. A
+string is repeated if its neighbour in that order is equal or if its phrase stands twice.
 
 1. Triggers whose core (the ``CORE`` bytes that any string with this trigger holds) stands once
    in the corpus can't take part in a repeat.
-2. The dictionary has each distinct phrase of the others once. All starts of a phrase that stands
-   twice are repeats; this resolves the inside of long and highly repetitive copies.
-3. A phrase that stands once is compared with the dictionary's other phrases of the same core: in
-   small cores by their common extensions to both sides of the trigger (the order of a suffix array
-   restricted to suffixes at triggers), in large ones by counting the fingerprints of every string.
-
-Full lexicographic order of all suffixes isn't needed to know which strings occur twice, so the
-dictionary's and parse's suffix arrays are replaced by these equality classes (128-bit
-fingerprints); a distributed sort of every suffix would not fit the disk limit.
+2. The parse is sorted: the dictionary has each distinct phrase of the other triggers once, with its
+   number of places. All strings of a phrase that stands twice are repeats.
+3. The dictionary is dealt by core, as equal strings share theirs, and the suffix array of each
+   core's phrases is sorted: neighbours that are equal are repeats. Cores of more than ``SMALL``
+   phrases, whose suffixes no task should hold, have their strings sorted and counted by Spark
+   under 128-bit digests.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parsing import CORE, LENGTH, SPAN, Chunk, chunks
-from .stage import arrow_map, release, stage, text_or_empty
+from .parsing import LENGTH, Chunk, chunks
+from .stage import arrow_map, stage, text_or_empty
 
 #: Cores with more distinct phrases are counted string by string.
 SMALL = 48
-_ORD = np.int64(0xFFFFFFFF)
 
 
 def _id() -> Column:
-    """Rows are told apart by doc_id (a hash of the text where it is null) and a checksum of the text."""
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    """Rows are told apart by a 64-bit hash of doc_id and text and a 31-bit checksum of the text; rows alike in both are repeated rows, which share their findings."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of some strings of a buffer, as two columns of longs."""
+    digest = xxhash.xxh3_128_digest
+    made = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), ">i8").astype(np.int64)
+    return made[::2], made[1::2]
 
 
 def _parsed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Chunk]]:
@@ -87,7 +93,7 @@ def _pick(chunk: Chunk, numbers: list[np.ndarray]) -> np.ndarray:
 
 
 def phrases(held: DataFrame) -> DataFrame:
-    """core, u, w (128-bit fingerprint), id and tag of each phrase of ``held`` whose core isn't in ``once``."""
+    """core, u, w (128-bit digest), id and tag of each phrase of ``held`` whose core isn't in ``once``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +103,9 @@ def phrases(held: DataFrame) -> DataFrame:
                 keep = np.ones(len(chunk.doc), bool)
                 keep[_pick(chunk, once[a:b])] = False
                 pick = np.flatnonzero(keep)
-                u, w = chunk.phrases(pick)
+                u, w = _digests(chunk.buffer.tobytes(), chunk.lo[pick], chunk.hi[pick] + LENGTH)
                 doc = chunk.doc[pick] + a
-                cols = [chunk.cores()[pick].view(np.int64), u.view(np.int64), w.view(np.int64), ids[doc], crcs[doc] << 32 | chunk.ord[pick]]
+                cols = [chunk.cores()[pick].view(np.int64), u, w, ids[doc], crcs[doc] << 32 | chunk.ord[pick]]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["core", "u", "w", "id", "tag"])
 
     return arrow_map(held.select("id", "crc", "text", "once"), run, "core long, u long, w long, id long, tag long")
@@ -132,30 +138,22 @@ def contexts(wanted: DataFrame) -> DataFrame:
     return arrow_map(wanted.select("id", "crc", "text", "small"), run, "core long, id long, tag long, single boolean, left int, late int, data binary")
 
 
-def _extensions(group: list[tuple]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """For each phrase of a core that stands once: the distances before the trigger (from, to) at which its strings occur in another phrase."""
-    wide = SPAN + LENGTH
-    left = np.full((len(group), SPAN), -1, np.int16)
-    right = np.full((len(group), wide), -1, np.int16)
-    for i, (_, _, _, before, _, data) in enumerate(group):
-        own = np.frombuffer(data, np.uint8)
-        left[i, :before] = own[:before][::-1]
-        right[i, : len(own) - before] = own[before:]
-        left[i, before:] = -2 - i  # nothing is equal beyond a phrase's ends
-        right[i, len(own) - before :] = -2 - i
-    for i, (id_, tag, single, before, late, _) in enumerate(group):
-        if not single:
-            continue
-        l_diff, r_diff = left != left[i], right != right[i]
-        ls = np.where(l_diff.any(axis=1), l_diff.argmax(axis=1), SPAN)
-        rs = np.where(r_diff.any(axis=1), r_diff.argmax(axis=1), wide)
-        found = []
-        for j in range(len(group)):
-            if j != i:
-                near, far = max(late, LENGTH - int(rs[j])), min(before, int(ls[j]))
-                if near <= far:
-                    found.append((near, far))
-        yield id_, tag, found
+def _repeated(group: list[tuple]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """For each phrase of a core that stands once: the distances before the trigger (from, to) at which its strings stand in another phrase too."""
+    suffixes = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), LENGTH) for *_, data in group]
+    table = np.concatenate(suffixes)
+    order = np.argsort(np.ascontiguousarray(table).view(f"V{LENGTH}").ravel(), kind="stable")  # the core's suffix array
+    ordered = table[order]
+    equal = (ordered[1:] == ordered[:-1]).all(axis=1)
+    again = np.zeros(len(order), bool)
+    again[order[1:][equal]] = again[order[:-1][equal]] = True
+    at = 0
+    for (id_, tag, single, before, _, _), own in zip(group, suffixes, strict=True):
+        held = again[at : at + len(own)]
+        at += len(own)
+        if single and held.any():
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+            yield id_, tag, [(before - int(e) + 1, before - int(s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def compare(held: DataFrame) -> DataFrame:
@@ -167,7 +165,7 @@ def compare(held: DataFrame) -> DataFrame:
         out: list[list[int]] = [[], [], [], []]
 
         def flush() -> None:
-            for id_, tag, found in _extensions(group) if len(group) > 1 else ():
+            for id_, tag, found in _repeated(group) if len(group) > 1 else ():
                 for near, far in found:
                     for o, v in zip(out, (id_, tag, near, far), strict=True):
                         o.append(v)
@@ -206,7 +204,8 @@ def strings(wanted: DataFrame) -> DataFrame:
                 at = chunk.starts(pick)
                 run_of = np.repeat(pick, chunk.hi[pick] - chunk.lo[pick] + 1)
                 doc = chunk.doc[run_of] + a
-                cols = [chunk.hash(0, at, at + LENGTH).view(np.int64), chunk.hash(1, at, at + LENGTH).view(np.int64), ids[doc], crcs[doc] << 32 | chunk.ord[run_of], chunk.anchor[run_of] - at]
+                u, w = _digests(chunk.buffer.tobytes(), at, at + LENGTH)
+                cols = [u, w, ids[doc], crcs[doc] << 32 | chunk.ord[run_of], chunk.anchor[run_of] - at]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["u", "w", "id", "tag", "far"])
 
     return arrow_map(wanted.select("id", "crc", "text", "large"), run, "u long, w long, id long, tag long, far long")
@@ -260,20 +259,16 @@ def remove_repeats(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets) of each row.
 
     Null text counts as empty. Texts under 200 bytes lose nothing; repeated rows lose everything from
-    200 bytes on; rows with null doc_ids take part like any others. Other columns are dropped.
+    200 bytes on; rows with null doc_ids take part like any others; texts of any length are taken
+    whole; an empty table gives none. Other columns are dropped.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text")).select(_id().alias("id"), F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("crc"), "text", "doc_id")
     held = _with_lone_cores(rows)
-    release(spark)
     book = _dictionary(held)
-    release(spark)
     open_ = _open_phrases(book)
     texts = held.filter("long").select("id", "crc", "text")
     pairs = _small_cores(texts, open_, small)
-    release(spark)
     lone = _large_cores(texts, open_, small)
-    release(spark)
     large = _by_row(open_.filter((F.col("members") > small) & F.col("single")), "large")
     alone = _by_row(book.filter("single"), "alone")
     full = held.join(alone, ["id", "crc"], "left").join(_by_row(pairs, "found", F.col("near"), F.col("far")), ["id", "crc"], "left").join(large, ["id", "crc"], "left").join(_by_row(lone, "lone", F.col("far")), ["id", "crc"], "left")
@@ -302,13 +297,18 @@ def _open_phrases(book: DataFrame) -> DataFrame:
     return stage(book.join(mixed.select("core", "members"), "core"), "open")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One of each group of repeated rows: a dictionary entry has one place however often its row stands."""
+    return rows.dropDuplicates(["id", "crc"])
+
+
 def _small_cores(texts: DataFrame, open_: DataFrame, small: int) -> DataFrame:
     wanted = _by_row(open_.filter(F.col("members") <= small), "small", F.col("single"))
-    return stage(compare(contexts(texts.join(wanted, ["id", "crc"]))), "found")
+    return stage(compare(contexts(_once(texts.join(wanted, ["id", "crc"])))), "found")
 
 
 def _large_cores(texts: DataFrame, open_: DataFrame, small: int) -> DataFrame:
     """Strings of large cores' phrases that stand in no other phrase."""
     wanted = _by_row(open_.filter(F.col("members") > small), "large")
-    each = strings(texts.join(wanted, ["id", "crc"]))
+    each = strings(_once(texts.join(wanted, ["id", "crc"])))
     return stage(each.groupBy("u", "w").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("tag").alias("tag"), F.min("far").alias("far")).filter("n = 1").select("id", "tag", "far"), "lone")
