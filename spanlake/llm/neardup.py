@@ -7,7 +7,8 @@ left out, so all pairs up to that distance (17 of 45) meet in a bucket. Pairs be
 high chance too: at a similarity of exactly 0.85 a pair is missed with probability 9e-8. Candidates
 are confirmed on the full shingle sets (64-bit fingerprints of the shingles).
 
-Groups never expand into all their pairs. Equal sets are one node. A bucket of more than ``HOT``
+Groups never expand into all their pairs. Equal sets are one node, numbered when the nodes are staged.
+Joins on bucket keys and hubs deal hot keys over several tasks (``components.split_join``). A bucket of more than ``HOT``
 nodes is joined as a star around its most central node, its hub. Nodes that the star leaves in other
 components are compared by their differences from the hub (see ``apart``): these are short, and two
 nodes can only be linked where they overlap. The bounds are exact, so no link between different texts
@@ -25,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .stage import arrow_map, stage, text_or_empty
+from .components import SPLIT, components, hot, split_join
+from .stage import arrow_map, stage, text_or_empty, unstage, whole_row
 
 SHINGLE = 5
 PERCENT = 85
@@ -35,6 +36,8 @@ CHUNKS, WIDTH, ERRORS = 9, 5, 1
 FAR = 22
 #: Larger buckets are joined as stars.
 HOT = 64
+#: What parts words.
+SPACE = " \t\n\x0b\f\r"
 #: Distinct words whose hashes a worker remembers in each of two generations.
 MEMORY = 200_000
 
@@ -93,35 +96,44 @@ class Shingler:
         return _mix(parts.sum(axis=1, dtype=np.uint64)[:, None] - parts + _SALT).ravel()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid (digest of the set; null without words), keys and sig."""
+def _hashes() -> list[Column]:
+    """h1 and h2: a 128-bit hash of doc_id and text (columns of these names, text not null). Rows alike in both are repeated rows."""
+    return [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """h1, h2, doc_id, n_shingles, sid (digest of the set; null without words), keys and sig of (h1, h2, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             sizes, sids, keys, sigs = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(3):
                 own = shingler.shingles(value.as_py())
                 sizes.append(len(own))
-                sids.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                sids.append(_digest(own))
                 signature = shingler.signature(own) if len(own) else None
                 keys.append(shingler.keys(signature).view(np.int64) if len(own) else None)
                 sigs.append(_mix(signature).astype(np.uint16).tobytes() if len(own) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "sid", "keys", "sig"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["h1", "h2", "doc_id", "n_shingles", "sid", "keys", "sig"])
+
+    return arrow_map(rows.select("h1", "h2", "doc_id", "text"), run, "h1 long, h2 long, doc_id long, n_shingles long, sid binary, keys array<long>, sig binary")
 
-    return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_shingles long, sid binary, keys array<long>, sig binary")
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep and shingles (array<long>, distinct) of each row of (doc_id, text)."""
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """node and shingles (array<long>, distinct) of each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.shingles(v.as_py()).view(np.int64) for v in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "rep long, shingles array<long>")
+    return arrow_map(rows.select("node", "text"), run, "node long, shingles array<long>")
 
 
 def _enough(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -130,9 +142,10 @@ def _enough(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of distinct pairs (a, b), those whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    pairs = stage(pairs, "pairs")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    joined = split_join(split_join(pairs, left, "a", hot(pairs, "a")), right, "b", hot(pairs, "b"))
     return joined.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
@@ -142,55 +155,60 @@ def distance(a: Column, b: Column) -> Column:
     return F.size(F.filter(places, lambda i: F.substring(a, i, F.lit(4)) != F.substring(b, i, F.lit(4))))
 
 
-def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The nodes (sid, rep) of distinct sets, and the components (node, root) that confirmed links give them."""
+def links(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT, crowded: int = HOT) -> DataFrame:
+    """The components (node, root) that confirmed links give the nodes (node, h1, h2, keys, sig, size). ``rows`` has h1, h2 and text."""
     ratio = F.lit(percent)
-    nodes = signed.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
-    keyed = nodes.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = stage(keyed.join(shared, "key"), "buckets")
-    wanted = buckets.select("rep").distinct()
-    sets = stage(shingle_sets(docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")), "sets")
-    facts = stage(nodes.join(wanted, "rep", "left_semi").select("rep", "size", F.hex("sig").alias("sig")), "facts")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    buckets = stage(split_join(keyed, shared, "key", shared.filter(F.col("members") > SPLIT).select("key", F.col("members").alias("n"))), "buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
+    facts = stage(wanted.select("node", "size", "h1", "h2", F.hex("sig").alias("sig")), "facts")
+    texts = rows.select("h1", "h2", "text").join(facts.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])  # repeated rows give one set
+    sets = stage(shingle_sets(texts), "sets")
+    unstage(shared)
 
     def side(name: str) -> DataFrame:
-        return facts.select(F.col("rep").alias(name), F.col("size").alias(f"n{name}"), F.col("sig").alias(f"s{name}"))
+        return facts.select(F.col("node").alias(name), F.col("size").alias(f"n{name}"), F.col("sig").alias(f"s{name}"))
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough(F.least("na", "nb"), F.col("na"), F.col("nb"), percent))
         return both.filter(distance(F.col("sa"), F.col("sb")) <= FAR).select("a", "b")
 
-    # small buckets: all pairs, at most ``hot`` for each row
-    small = buckets.filter(F.col("members") <= hot).select("key", "rep")
-    pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    # small buckets: all pairs, at most ``crowded`` for each node
+    small = buckets.filter(F.col("members") <= crowded).select("key", "node")
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
     # large ones: shingles that no other member of a large bucket has can't be shared there
-    big = buckets.filter(F.col("members") > hot).select("key", "rep")
-    crowd = big.select("rep").distinct()
-    alone = sets.join(crowd, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    crowd = stage(facts.join(crowd, "rep", "left_semi").join(alone, "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own")), "crowd")
-    big = stage(big.join(crowd, "rep"), "big")
+    big = buckets.filter(F.col("members") > crowded).select("key", "node", "members")
+    crowd = big.select("node").distinct()
+    alone = sets.join(crowd, "node", "left_semi").select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    crowd = stage(facts.join(crowd, "node", "left_semi").join(alone, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "crowd")
+    big = stage(big.join(crowd, "node"), "big")
     able = F.col("size") - F.col("own")  # shingles that may be shared
-    hubs = big.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), F.col("rep").alias("hub"))).alias("x"), F.min("size").alias("least")).select("key", "x.hub", "x.part", "least")
-    stars = big.join(hubs, "key").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    hubs = big.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("part"), F.col("node").alias("hub"))).alias("x"), F.min("size").alias("least"), F.max("members").alias("n")).select("key", "x.hub", "x.part", "least", "n")
+    hubs = stage(hubs, "hubs")
+    heavy = hubs.filter(F.col("n") > SPLIT).select("key", "n")
+    stars = split_join(big, hubs.select("key", "hub"), "key", heavy).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = stage(confirm(near(pairs.union(stars).distinct()), sets, percent), "links")
-    if not big.take(1):
-        return nodes.select("sid", "rep"), components(first)
     found = components(first)
+    if not hubs.take(1):
+        unstage(buckets, facts, sets, crowd, big, hubs, first)
+        return found
     # what the stars left: members in other components of the bucket that could still have a partner there
     # buckets whose hubs are in one component share the most central of these
     middle = hubs.join(found.withColumnRenamed("node", "hub"), "hub", "left").withColumn("root", F.coalesce("root", "hub"))
     centres = middle.groupBy("root").agg(F.min(F.struct("part", "hub")).alias("x")).select("root", F.col("x.hub").alias("centre"))
-    hubs = stage(middle.join(centres, "root").select("key", F.col("centre").alias("hub"), "least"), "hubs")
-    placed = big.join(hubs, "key").filter("rep <> hub").filter(able * 100 >= (F.col("size") + F.greatest(F.col("least"), able) - able) * ratio)
-    rest = apart(placed.select("hub", "rep", "size").distinct(), found, sets, percent)
+    centred = stage(middle.join(centres, "root").select("key", F.col("centre").alias("hub"), "least"), "centred")
+    placed = split_join(big, centred, "key", heavy).filter("node <> hub").filter(able * 100 >= (F.col("size") + F.greatest(F.col("least"), able) - able) * ratio)
+    rest = apart(placed.select("hub", "node", "size").distinct(), found, sets, percent)
     more = stage(confirm(near(rest), sets, percent), "links")
     if more.take(1):
         found = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return nodes.select("sid", "rep"), found
+    unstage(buckets, facts, sets, crowd, big, hubs, centred, first, more)
+    return found
 
 
 def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (hub, rep, size) of one hub that lie in different components and may yet be links.
+    """Pairs (a, b) of members (hub, node, size) of one hub that lie in different components and may yet be links.
 
     With D(x) the symmetric difference of x and the hub, that of a and b has |D(a)| + |D(b)| - 2 o
     elements, o being the overlap of D(a) and D(b). A link needs it to be at most
@@ -198,21 +216,22 @@ def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     are links of the hub otherwise (those links are given too). Members that can't reach it with any member of another
     component go; the others are joined on the rarest elements of their D, as many as a prefix filter takes.
     """
-    roots = found.select(F.col("node"), F.col("root"))
-    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    roots = found.select("node", "root")
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("middle")), "hub", "left").withColumn("middle", F.coalesce("middle", "hub"))
     mixed = placed.filter("root <> middle").select("hub").distinct()
-    own = sets.select("rep", F.col("shingles").alias("sr"))
-    hub = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("sh"))
+    own = sets.select("node", F.col("shingles").alias("sr"))
+    hub = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
     differing = F.concat(F.array_except("sh", "sr"), F.array_except("sr", "sh"))
     linked = F.size("differ") * (100 + percent) <= (F.size("sh") + F.col("size")) * (100 - percent)
-    told = placed.join(mixed, "hub", "left_semi").join(own, "rep").join(hub, "hub").withColumn("differ", differing).withColumn("link", linked)
-    told = told.select("hub", "rep", "size", F.when(F.col("link"), F.col("middle")).otherwise(F.col("root")).alias("root"), ((F.col("root") == F.col("middle")) | F.col("link")).alias("inside"), (F.col("link") & (F.col("root") != F.col("middle"))).alias("new"), "differ")
+    placed = stage(placed.join(mixed, "hub", "left_semi"), "placed")
+    told = split_join(placed.join(own, "node"), hub, "hub", hot(placed, "hub")).withColumn("differ", differing).withColumn("link", linked)
+    told = told.select("hub", "node", "size", F.when(F.col("link"), F.col("middle")).otherwise(F.col("root")).alias("root"), ((F.col("root") == F.col("middle")) | F.col("link")).alias("inside"), (F.col("link") & (F.col("root") != F.col("middle"))).alias("new"), "differ")
     told = stage(told, "apart")
-    each = told.select("hub", "rep", F.explode("differ").alias("s"))
+    each = told.select("hub", "node", F.explode("differ").alias("s"))
     common = each.groupBy("hub", "s").agg(F.count("*").alias("n")).filter("n > 1")
     each = stage(each.join(common, ["hub", "s"]), "differ")  # an element of one member's alone adds to no overlap
-    facts = told.select("hub", "rep", "size", "root", "inside", F.size("differ").alias("d")).join(each.groupBy("hub", "rep").agg(F.count("*").alias("e")), ["hub", "rep"])
+    facts = told.select("hub", "node", "size", "root", "inside", F.size("differ").alias("d")).join(each.groupBy("hub", "node").agg(F.count("*").alias("e")), ["hub", "node"])
     limit = (F.col("size") + F.least(F.col("most"), F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent)
     need = lambda other: F.greatest(F.lit(1), F.ceil((F.col("d") + other - limit) / 2 - 1e-9))
     groups = told.groupBy("hub").agg(F.min(F.when(~F.col("inside"), F.size("differ"))).alias("out"), F.max("size").alias("most"))
@@ -220,26 +239,53 @@ def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     inner = facts.filter("inside").withColumn("need", need(F.col("out"))).filter("e >= need")
     nearest = inner.groupBy("hub").agg(F.min("d").alias("in"))
     outer = facts.filter("not inside").join(nearest, "hub", "left").withColumn("need", need(F.least("out", "in"))).filter("e >= need").drop("in")
-    able = inner.unionByName(outer).select("hub", "rep", "root", "size", "d", "e", (F.col("e") - F.col("need") + 1).alias("take"))
-    order = Window.partitionBy("hub", "rep").orderBy("n", "s")
-    prefix = stage(each.join(able, ["hub", "rep"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "rep", "root", "size", "d", "e"), "prefix")
-    left, right = (prefix.select("hub", "s", F.col("rep").alias(n), *[F.col(c).alias(c + n) for c in ("root", "size", "d", "e")]) for n in ("a", "b"))
+    able = inner.unionByName(outer).select("hub", "node", "root", "size", "d", "e", (F.col("e") - F.col("need") + 1).alias("take"))
+    order = Window.partitionBy("hub", "node").orderBy("n", "s")
+    prefix = stage(each.join(able, ["hub", "node"]).withColumn("k", F.row_number().over(order)).filter("k <= take").select("hub", "s", "node", "root", "size", "d", "e"), "prefix")
+    left, right = (prefix.select("hub", "s", F.col("node").alias(n), *[F.col(c).alias(c + n) for c in ("root", "size", "d", "e")]) for n in ("a", "b"))
     overlap = (F.col("da") + F.col("db") - (F.col("sizea") + F.col("sizeb")) * (100 - percent) / (100 + percent)) / 2 - 1e-9  # the least that this pair needs
     pairs = left.join(right, ["hub", "s"]).filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & (overlap <= F.least("ea", "eb"))).select("a", "b")
-    return pairs.union(told.filter("new").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))).distinct()
+    return pairs.union(told.filter("new").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))).distinct()
+
+
+def _grouped(rows: DataFrame, percent: int, crowded: int) -> DataFrame:
+    """h1, h2, doc_id, n_shingles, group (a number; null without words) and component_id of each row of (h1, h2, doc_id, text)."""
+    signed = stage(signatures(rows), "signed")
+    sets = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("h1", "h2")).alias("at"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
+    # the numbers are fixed once the table is written
+    nodes = stage(sets.select(F.monotonically_increasing_id().alias("node"), "sid", "least", "at.h1", "at.h2", "keys", "sig", "size"), "nodes")
+    found = links(rows, nodes, percent, crowded)
+    members = found.union(found.select(F.col("root").alias("node"), "root")).distinct()
+    named = members.join(nodes.select("node", "least"), "node")
+    labels = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = members.join(labels, "root")
+    placed = nodes.select("sid", "node", "least").join(placed, "node", "left").select("sid", F.coalesce("root", "node").alias("group"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed.select("h1", "h2", "doc_id", "n_shingles", "sid").join(placed, "sid", "left").drop("sid")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
-    Texts without words (null or empty too) link with nothing. Equal texts link through their equal
-    sets; rows that share a doc_id are one document. Rows with a null doc_id link with nothing, have a
-    null component and are kept. Only doc_id and text are read; an empty table gives none.
+    Texts without words (null or empty too) link with nothing and are their own component. Equal texts
+    link through their equal sets; very long texts are taken whole. Rows that share a doc_id link by
+    their texts like any others. A row without doc_id takes part; its component is the smallest doc_id
+    reachable, and it is kept only where there is none (component null). Only doc_id and text are
+    read; an empty table gives none.
+    """
+    out = _grouped(docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", *_hashes()), percent, hot)
+    component = F.coalesce("component_id", F.when(F.col("group").isNull(), F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT, crowded: int = HOT) -> DataFrame:
+    """One row of each near-duplicate group, all columns unchanged: that of the smallest doc_id (rows without one come last), then of the smallest text hash.
+
+    Rows go only for their texts: different texts under one doc_id stay, and repeated rows are one.
+    Texts without words stay, each row of them.
     """
-    docs = docs.select("doc_id", "text")
-    signed = stage(signatures(docs), "signed")
-    nodes, found = links(docs, signed, percent, hot)
-    roots = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("root", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "sid").join(roots, "sid", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    held = docs.select(whole_row(docs), "doc_id", text_or_empty().alias("text")).select("row", "doc_id", "text", *_hashes())
+    found = _grouped(held.select("h1", "h2", "doc_id", "text"), percent, crowded).filter("group is not null")
+    chosen = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h1", "h2")).alias("x")).select("x.h1", "x.h2")
+    worded = F.trim("text", F.lit(SPACE)) != ""
+    kept = held.filter(worded).select("row", "h1", "h2").join(chosen, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return kept.select("row.*").unionByName(held.filter(~worded).select("row.*"))
