@@ -1,14 +1,16 @@
-"""Secret scans through a trigram index, in DataFrame and SQL functions alone.
-
-Each rule's regular expression yields a Boolean trigram query. The index holds, for every trigram
-that some query names, its posting list over the rows. The lists are kept bit-sliced: one bit of
-a row's mask for each trigram, so that intersecting and uniting posting lists is AND and OR on the
-mask, next to the text, and neither postings nor candidates are ever shuffled. Candidates of a rule
-are verified by its expression; rules without mandatory trigrams scan every text.
+"""Secret scans through a trigram inverted index, in DataFrame and SQL functions alone.
+
+Each rule's regular expression yields a Boolean trigram query. The index has, for every trigram that
+some query names, its posting lists: the sorted numbers of the rows that hold it, in blocks of about
+``BLOCK`` rows, so that no list grows with a hot trigram. Texts are read once for it. A query is
+answered block by block: AND intersects posting lists, OR unites them. The rows found are the rule's
+candidates; these, joined to their texts, are verified by the expression. Rules without mandatory
+trigrams scan every text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trigrams as T
-from .stage import text_or_empty
+from .stage import stage, text_or_empty, unstage, whole_row
 
 
 @dataclass(frozen=True)
@@ -53,49 +55,59 @@ MORE = (
 #: Runs of a single class need not be listed when they are too short: the same matches come from a bounded repeat.
 _BOUNDED = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
 
+#: Rows of a block of the index, on average.
+BLOCK = 4096
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``__postings`` (a bit for each indexed trigram), and the trigrams by bit number."""
-    named = sorted(set().union(*(T.trigrams(T.derive(r.pattern)) for r in rules)))
-    low = F.lower(F.col("__text"))
-    words = [named[i : i + 63] for i in range(0, len(named), 63)]
-    masks = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(part)]) for part in words]
-    return docs.withColumn("__postings", F.array(*masks) if masks else F.expr("array(0L)")), named
-
-
-def candidate(query: object, named: list[str]) -> Column:
-    """Whether a row's postings satisfy a trigram query."""
-    if query is True:
-        return F.lit(True)
-    place = {t: (i // 63, 1 << (i % 63)) for i, t in enumerate(named)}
-
-    def holds(q: object) -> Column:
-        if isinstance(q, str):
-            q = ("and", frozenset([q]))
-        kind, parts = q
-        words: dict[int, int] = {}
-        tests = []
-        for p in sorted(parts, key=str):
-            if isinstance(p, str):
-                words[place[p][0]] = words.get(place[p][0], 0) | place[p][1]
-            else:
-                tests.append(holds(p))
-        for k, bits in words.items():
-            own = F.get("__postings", F.lit(k)).bitwiseAND(F.lit(bits).cast("long"))
-            tests.append(own == F.lit(bits).cast("long") if kind == "and" else own != F.lit(0).cast("long"))
-        return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), tests)
-
-    return holds(query)
+def any_of(words: list[str]) -> str:
+    """An expression for any of some strings, sharing their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    tails = {h: [r for r in rest if r] for h, rest in heads.items()}
+    return "|".join(re.escape(h) + (f"(?:{any_of(tails[h])})" + ("?" if "" in rest else "") if tails[h] else "") for h, rest in sorted(heads.items()))
+
+
+def numbered(text: Column, *more: Column) -> Column:
+    """A row's number: a hash of its text and more. Rows of one number only share their candidates, which are verified each by its own text."""
+    return F.xxhash64(text, *more)
+
+
+def index(docs: DataFrame, named: list[str], block: int = BLOCK) -> DataFrame:
+    """block, trigram and rows (sorted numbers) for the named trigrams of (number, text); texts count in lower case."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({any_of(sorted(named))}))"), F.lit(1)))
+    held = stage(docs.select("number", found.alias("found")).filter(F.size("found") > 0), "trigrams")
+    blocks = max(1, -(-held.count() // block))
+    each = held.select(F.pmod("number", F.lit(blocks)).cast("int").alias("block"), "number", F.explode("found").alias("trigram"))
+    lists = stage(each.groupBy("block", "trigram").agg(F.sort_array(F.collect_set("number")).alias("rows")), "postings")
+    unstage(held)
+    return lists
+
+
+def answer(query: object, postings: Column) -> Column:
+    """The rows that satisfy a trigram query in one block, from a map of trigrams to their rows."""
+    if isinstance(query, str):
+        return F.coalesce(F.try_element_at(postings, F.lit(query)), F.array().cast("array<bigint>"))
+    kind, parts = query
+    lists = [answer(p, postings) for p in sorted(parts, key=lambda p: (not isinstance(p, str), str(p)))]
+    return reduce(F.array_intersect if kind == "and" else F.array_union, lists)
+
+
+def candidates(lists: DataFrame, queries: dict[int, object]) -> DataFrame:
+    """number and rules (those whose query the row satisfies) from an index and the queries by rule."""
+    blocks = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("postings"))  # a block has a bounded number of rows and trigrams
+    found = F.array(*[F.struct(F.lit(k).alias("rule"), answer(q, F.col("postings")).alias("rows")) for k, q in queries.items()])
+    each = blocks.select(F.explode(found).alias("x")).select("x.rule", F.explode("x.rows").alias("number"))
+    return each.groupBy("number").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
 def matches(rule: Rule, rank: int) -> Column:
-    """Spans of a rule in ``__text``: the pieces between matches give the matches their places."""
+    """Spans of a rule in ``text``: the pieces between matches give the matches their places."""
     pattern = F.lit(_BOUNDED.get(rule.kind, rule.pattern))
-    found = F.regexp_extract_all("__text", pattern, F.lit(0))
-    bound = F.regexp_extract_all("__text", pattern, F.lit(rule.group)) if rule.group else found
-    gaps = F.split("__text", _BOUNDED.get(rule.kind, rule.pattern), -1)
+    found = F.regexp_extract_all("text", pattern, F.lit(0))
+    bound = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else found
+    gaps = F.split("text", _BOUNDED.get(rule.kind, rule.pattern), -1)
     zipped = F.arrays_zip(found.alias("m"), bound.alias("g"), gaps.alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
@@ -108,19 +120,26 @@ def matches(rule: Rule, rank: int) -> Column:
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """``docs`` with ``secret_spans`` (start, rank, end, kind; code points, sorted) in place of any such column.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the input's columns, or those of ``carry``, unchanged) and ``secret_spans`` (start, rank, end, kind; code points, sorted).
 
-    One row for each row; null and empty texts have no spans, and other columns are passed on.
+    One row for each row, repeated ones too; null and empty texts have no spans; texts of any length
+    are indexed and verified whole; an empty table gives none. ``docs`` is read twice, so a costly
+    plan should be staged before.
     """
-    held, named = index(docs.withColumn("__text", text_or_empty()), rules)
+    own = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit("")
+    held = docs.select(whole_row(docs, carry), text_or_empty().alias("text"), numbered(text_or_empty(), own).alias("number"))
+    queries = {k: q for k, r in enumerate(rules) if (q := T.derive(r.pattern)) is not True}
+    if queries:
+        lists = index(held.select("number", "text"), sorted(set().union(*map(T.trigrams, queries.values()))))
+        held = held.join(stage(candidates(lists, queries), "candidates"), "number", "left")
+        unstage(lists)
     none = F.expr(f"cast(array() as {SPAN})")
+    spans = []
     for k, rule in enumerate(rules):
-        test = candidate(T.derive(rule.pattern), named)
-        hit = F.rlike("__text", F.lit(_BOUNDED.get(rule.kind, rule.pattern)))
-        held = held.withColumn(f"__{rule.kind}", F.when(test & hit, matches(rule, k)).otherwise(none))
-    spans = F.sort_array(F.concat(*[F.col(f"__{r.kind}") for r in rules]))
-    return held.withColumn("secret_spans", spans).drop("__text", "__postings", *[f"__{r.kind}" for r in rules])
+        wanted = F.coalesce(F.array_contains("rules", F.lit(k)), F.lit(False)) if k in queries else F.lit(True)
+        spans.append(F.when(wanted & F.rlike("text", F.lit(_BOUNDED.get(rule.kind, rule.pattern))), matches(rule, k)).otherwise(none))
+    return held.select("row", F.sort_array(F.concat(*spans)).alias("secret_spans"))
 
 
 def listed(spans: Column) -> Column:
