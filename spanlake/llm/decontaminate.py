@@ -5,9 +5,10 @@ and words are joined by single spaces. The benchmark's word windows, framed by s
 automaton's patterns; a text is scanned once and every occurrence is mapped back to words and, for
 ``spans``, to code points of the original.
 
-The patterns are the stated query set. Their size is measured before anything is sent: they go out
-in blocks of at most ``max_chars`` characters, one automaton each, so executor memory stays bounded
-however large the benchmark is (one block unless it exceeds the bound).
+The patterns are the stated query set. Their size is measured before anything is sent: they are dealt
+into blocks of about ``max_chars`` characters, one automaton each (one block unless the benchmark
+exceeds that), and the driver holds one block at a time. A block's findings are a small staged
+table; texts are never rewritten.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .stage import arrow_map, own_columns, stage, text_or_empty
+from .stage import arrow_map, own_columns, stage, text_or_empty, unstage, whole_row
 
 WINDOW = 10
 #: Characters of patterns in one automaton; about 60 bytes of memory each.
@@ -50,18 +52,18 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _blocks(benchmark: DataFrame, window: int, max_chars: int) -> list[list[tuple[bytes, tuple]]]:
-    """Patterns with their items, in blocks of bounded size; the rows pass the driver one partition at a time."""
+def _patterns(benchmark: DataFrame, window: int, max_chars: int) -> tuple[DataFrame, int]:
+    """The staged patterns (block, pattern, items), dealt by their hash, and the number of blocks."""
     grouped = windows(benchmark, window).groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    blocks, room = [], 0
-    for row in grouped.toLocalIterator():
-        need = len(row.pattern) + 8 * len(row.items)
-        if not blocks or need > room:
-            blocks.append([])
-            room = max_chars
-        blocks[-1].append((row.pattern.encode(), tuple(row.items)))
-        room -= need
-    return blocks
+    grouped = stage(grouped, "patterns")
+    size = grouped.agg(F.sum(F.octet_length("pattern") + 8 * F.size("items"))).first()[0] or 0
+    blocks = max(1, -(-size // max_chars))
+    return grouped.select(F.pmod(F.xxhash64("pattern"), F.lit(blocks)).cast("int").alias("block"), "pattern", "items"), blocks
+
+
+def _block(patterns: DataFrame, block: int) -> list[tuple[bytes, tuple]]:
+    """One block's patterns with their items, for the broadcast."""
+    return [(r.pattern.encode(), tuple(r.items)) for r in patterns.filter(F.col("block") == block).collect()]
 
 
 @functools.lru_cache(maxsize=1)
@@ -98,65 +100,80 @@ def _found(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[t
     return runs, patterns
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS, keep: bool = False) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each document.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the input's columns, or those of ``carry``, unchanged), n_words, n_hit, n_items, items_sha256, contaminated and spans of each document.
 
     ``spans`` (array of start and end, code points of the original text) covers each maximal run of
-    hit words. Rows are kept as they come: repeated rows repeat, null text has no words, and with
-    ``keep`` all columns of ``docs`` stay in front. Benchmark rows with a null item_id contaminate
-    but are not listed; an empty benchmark finds nothing.
+    hit words. Rows are kept as they come: repeated rows repeat, null text has no words, texts of any
+    length are scanned whole. Benchmark rows with a null item_id contaminate but are not listed; an
+    empty benchmark finds nothing, an empty table gives none.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, window, max_chars) or [[]]
-    kept = docs.columns if keep else ["doc_id"]
-    names = [c for c in kept if c not in OUT]
-    plain = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("__scan_text"))
-    if len(blocks) > 1:  # more patterns than one automaton may hold: every block's pass adds to the row's findings
-        plain = plain.withColumns({"__runs": F.expr("cast(array() as array<struct<a:int,b:int>>)"), "__items": F.expr("cast(array() as array<string>)")})
-        for block in blocks[:-1]:
-            plain = stage(_pass(plain, spark.sparkContext.broadcast(block), more=True), "scan")
-    return _pass(plain, spark.sparkContext.broadcast(blocks[-1]), more=False)
+    patterns, blocks = _patterns(benchmark, window, max_chars)
+    plain = docs.select(whole_row(docs, carry), text_or_empty().alias("text"))
+    if blocks == 1:
+        return _pass(plain, spark.sparkContext.broadcast(_block(patterns, 0)))
+    # more patterns than one automaton may hold: findings are told by a 128-bit hash of the text and joined at the end
+    plain = plain.select("row", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    found = []
+    for k in range(blocks):
+        held = spark.sparkContext.broadcast(_block(patterns, k))
+        found.append(stage(_findings(plain.select("h1", "h2", "text"), held).dropDuplicates(["h1", "h2"]), "findings"))
+        held.destroy()
+    every = functools.reduce(DataFrame.union, found)
+    met = stage(every.groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "met")  # a list for each block
+    unstage(*found)
+    return _pass(plain.join(met, ["h1", "h2"], "left").select("row", "text", "runs", "items"), spark.sparkContext.broadcast([]))
 
 
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
-def _pass(plain: DataFrame, held: object, more: bool) -> DataFrame:
-    fields = plain.schema.fields
-    carried = "__runs" in plain.columns
-    own = [f for f in fields if f.name not in ("__scan_text", "__runs", "__items")]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    tail = "`__scan_text` string, `__runs` array<struct<a:int,b:int>>, `__items` array<string>" if more else "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
-    width = len(own)
+def _findings(plain: DataFrame, held: object) -> DataFrame:
+    """h1, h2, runs and items of the texts in which patterns of a block occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, items = _automaton(held)
+        for batch in batches:
+            out = [[] for _ in range(4)]
+            for h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs, met = _found(automaton, normal_words(text)) if items else ([], set())
+                if runs:
+                    row = (h1, h2, [{"a": a, "b": b} for a, b in runs], sorted({str(x) for k in met for x in items[k]}))
+                    for o, v in zip(out, row, strict=True):
+                        o.append(v)
+            yield pa.record_batch([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), RUNS, pa.list_(pa.string())), strict=True)], names=["h1", "h2", "runs", "items"])
+
+    return arrow_map(plain, run, "h1 long, h2 long, runs array<struct<a:int,b:int>>, items array<string>")
+
+
+def _pass(plain: DataFrame, held: object) -> DataFrame:
+    """The findings of one block on (row, text) and those carried along (runs, items), as the operator's columns."""
+    carried = "runs" in plain.columns
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, items = _automaton(held)
         for batch in batches:
-            texts = batch.column(width)
-            before = [batch.column(width + i).to_pylist() if carried else None for i in (1, 2)]
-            out = [[] for _ in range(3 if more else 6)]
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
+            before = [batch.column(2 + i).to_pylist() if carried else None for i in (0, 1)]
+            out = [[] for _ in OUT]
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py()
                 words = normal_words(text)
-                runs, patterns = _found(automaton, words) if len(items) else ([], set())
-                ids = {str(x) for k in patterns for x in items[k]}
-                if carried:
+                runs, met = _found(automaton, words) if items else ([], set())
+                ids = {str(x) for k in met for x in items[k]}
+                if carried and before[0][i]:
                     ids |= set(before[1][i])
                     runs = _merge(runs, [(x["a"], x["b"]) for x in before[0][i]])
-                if more:
-                    row = (text, [{"a": a, "b": b} for a, b in runs], sorted(ids))
-                else:
-                    hit = sum(b - a for a, b in runs)
-                    listed = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-                    row = (len(words), hit, len(ids), listed, hit > 0, _original(text, runs, word))
-                for o, v in zip(out, row, strict=True):
+                hit = sum(b - a for a, b in runs)
+                listed = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+                for o, v in zip(out, (len(words), hit, len(ids), listed, hit > 0, _original(text, runs, word)), strict=True):
                     o.append(v)
-            kinds = [pa.string(), RUNS, pa.list_(pa.string())] if more else [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS]
-            cols = [*batch.columns[:width], *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))]
-            yield pa.record_batch(cols, names=[*batch.schema.names[:width], *(("__scan_text", "__runs", "__items") if more else OUT)])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS]
+            yield pa.record_batch([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["row", *OUT])
 
-    return arrow_map(plain, run, f"{head}, {tail}")
+    told = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>")
+    return arrow_map(plain, run, StructType([plain.schema["row"], *told.fields]))
 
 
 RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
