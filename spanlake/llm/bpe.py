@@ -160,7 +160,7 @@ def load(path: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id and the ids (array<int>) of each whole text. Null text counts as empty; empty text has no ids; repeated rows are kept."""
+    """doc_id and the ids (array<int>) of each whole text, however long. Null text counts as empty; empty text has no ids; repeated rows are kept; an empty table gives none. Other columns are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
@@ -183,23 +183,22 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     return arrow_map(own_columns(encoded, "doc_id", "ids"), run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, keep: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Encode and decode every whole text in one pass, returning digests.
 
-    doc_id, n_tokens, ids_sha256, decoded_sha256 and lossless (the decoded text equals the input);
-    with ``keep`` every other column of ``docs`` comes first, unchanged. Null text counts as empty
-    (0 tokens, digests of the empty string).
+    doc_id, n_tokens, ids_sha256, decoded_sha256 and lossless (the decoded text equals the input).
+    Null text counts as empty (0 tokens, digests of the empty string); repeated rows repeat; a null
+    doc_id stays null; texts of any length are encoded whole; an empty table gives none. Other columns
+    are dropped.
     """
-    kept = [c for c in docs.columns if c != "doc_id"] if keep else []
-    plain = docs.select("doc_id", *[f"`{c}`" for c in kept], text_or_empty().alias("__bpe_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"])
+    plain = own_columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     sha = hashlib.sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab_path)
         for batch in batches:
             counts, enc, dec, same = [], [], [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(1):
                 text = value.as_py()
                 ids = bpe.encode(text)
                 back = bpe.decode(ids)
@@ -207,7 +206,7 @@ def round_trip(docs: DataFrame, vocab_path: str, keep: bool = False) -> DataFram
                 enc.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 dec.append(sha(back.encode()).hexdigest())
                 same.append(back == text)
-            cols = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string()), pa.array(same, pa.bool_())]
-            yield pa.record_batch(cols, names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.record_batch(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
 
-    return arrow_map(plain, run, schema)
+    return arrow_map(plain, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")

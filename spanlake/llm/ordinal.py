@@ -89,15 +89,24 @@ def _design(rated: DataFrame) -> list[tuple[int, list[int], list[float]]]:
     return list(zip(table["grade"].to_pylist(), table["at"].to_pylist(), table["value"].to_pylist(), strict=True))
 
 
+def rated_sample(docs: DataFrame, ratings: DataFrame, grades: int, sample: int) -> DataFrame:
+    """text and grade of the ``sample`` ids of smallest hash that have both: one row for an id, so the bound holds whatever repeats."""
+    held = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    graded = ratings.filter("doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade")).filter(F.col("grade").between(0, grades - 1))
+    graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = graded.join(held.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return held.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade")).select("text", "grade")  # at most ``sample`` small rows are broadcast
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, steps: int = STEPS, l1: float = L1) -> Model:
     """Fit on at most ``sample`` rows of ``docs`` (doc_id, text) rated by ``ratings`` (doc_id, grade in 0 .. grades - 1).
 
-    Null ratings, ids and texts are left out. Without ratings the model has no weights and evenly
-    spaced thresholds around its start.
+    Null ratings, ids and texts are left out, and ratings outside the grades. Of conflicting ratings of
+    one id the lowest counts, of several texts the first in order; ratings without a text and texts
+    without a rating have no part. Without ratings the model has no weights and evenly spaced
+    thresholds around its start.
     """
-    order = F.xxhash64("doc_id")
-    rated = ratings.filter("doc_id is not null and grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade")).orderBy(order, "doc_id", "grade").limit(sample)
-    rows = _design(docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id"))  # at most ``sample`` small rows
+    rows = _design(rated_sample(docs, ratings, grades, sample))
     rows.sort()  # sums don't depend on the order in which rows came
     cuts = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(1)
     weights = np.zeros(DIMS)
@@ -142,7 +151,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE,
 def score(docs: DataFrame, model: Model, tail: int) -> DataFrame:
     """doc_id, score, expected_grade and tail_probability (of grade ``tail`` or better) of each row.
 
-    Null and empty texts have score 0; a null doc_id stays null; rows are kept as they come.
+    Null and empty texts have score 0; a null doc_id stays null; rows are kept as they come, repeated
+    ones too; texts of any length are scored whole; an empty table gives none. Other columns are dropped.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 

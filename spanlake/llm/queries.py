@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, licences, neardup, ordinal, pii, repeats, rules, secrets, shards
-from .stage import arrow_map
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,31 +36,18 @@ def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(_table(spark, sf_dir, "documents"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[] for _ in range(6)]
-            for own in batch.column(1).to_pylist():
-                own = [(x["kind"], x["start"], x["end"]) for x in own]
-                base = [x for x in own if x[0] in pii.BASE]
-                row = (*(sum(x[0] == kind for x in base) for kind in pii.BASE), pii.digest(pii.listed(base)), pii.listed(own))
-                for o, v in zip(out, row, strict=True):
-                    o.append(v)
-            cols = [pa.array(o, pa.int64() if i < 4 else pa.string()) for i, o in enumerate(out)]
-            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-
-    return arrow_map(found, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", *pii.digests())
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     listed = F.array_join(F.transform("licences", lambda s: F.concat_ws(":", s["line"], s["family"])), ",")
-    return found.select("doc_id", F.size(F.filter("licences", lambda s: s["family"] != "unknown")).cast("long").alias("n_licences"), F.size(F.filter("licences", lambda s: s["family"] == "unknown")).cast("long").alias("n_unknown"), F.array_join(licences.families(), ",").alias("families"), listed.alias("paragraphs"))
+    return found.select("row.doc_id", F.size(F.filter("licences", lambda s: s["family"] != "unknown")).cast("long").alias("n_licences"), F.size(F.filter("licences", lambda s: s["family"] == "unknown")).cast("long").alias("n_unknown"), F.array_join(licences.families(), ",").alias("families"), listed.alias("paragraphs"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("spans")
+    found = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("row.doc_id", *decontaminate.OUT[:-1])
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +60,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *[secrets.count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE],
         F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("secret_spans")).alias("spans"),
@@ -87,8 +71,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=["doc_id"])
+    return judged.select("row.doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +81,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def digest(value: str) -> str:
-    return hashlib.sha256(value.encode()).hexdigest()
-
-
 def queries() -> dict[str, Query]:
     own = (op1_ordinal_quality, op2_bpe, op3_minhash_hamming, op4_pii, op5_licences, op6_decontaminate, op7_repeats, op8_shards, op9_secrets, op10_quality_rules)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}

@@ -137,8 +137,8 @@ def test_decontaminate_blocks_agree(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for most in (4_000_000, 300):
         got = decontaminate.scan(table(spark, rows), bench, max_chars=most).collect()
-        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
-        assert all(dict(rows)[r.doc_id][s.start : s.end] for r in got for s in r.spans)
+        assert {r.row.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
+        assert all(dict(rows)[r.row.doc_id][s.start : s.end] for r in got for s in r.spans)
 
 
 @pytest.mark.parametrize("small", [48, 2])
@@ -191,7 +191,7 @@ def test_secrets(spark):
     rnd = random.Random(3)
     parts = ["token", "PassWord", "api_key", "ApiKey", " ", "=", ":", '"', "'", "abc", "AKIA", "Z9Z9Z9", "0123456789abcdef", "é", "\n", "😀", "secret", "passwd", "x", ".", "-", "deadbeef" * 4]
     rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(30)))) for i in range(1500)]
-    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.secret_spans if s.rank < 3] for r in secrets.scan(table(spark, rows)).collect()}
+    got = {r.row.doc_id: [(s.start, s.rank, s.end) for s in r.secret_spans if s.rank < 3] for r in secrets.scan(table(spark, rows)).collect()}
     assert got == {i: secret_brute(t) for i, t in rows}
     for rule in secrets.BASE + secrets.MORE:
         for _, t in rows[:200]:
@@ -212,18 +212,18 @@ def test_rules(spark):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(at)
 
-    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rules.stats(table(spark, rows)).collect()}
+    got = {r.row.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rules.stats(table(spark, rows)).collect()}
     assert got == {i: brute(t) for i, t in rows}
     words = [f"{a}{b}" for a in "qwertzuiop" for b in "asdfghjkl"]
     clean = [(i, " ".join(rnd.choice(words) + rnd.choice(["", "s", "ing"]) for _ in range(90)), "en", "s") for i in range(120)]
     junk = [(1000 + i, " ".join(rnd.choice(words) + rnd.choice("%#") * 3 for _ in range(90)), "en", "s") for i in range(10)]
-    kept = {r.doc_id: r.kept for r in rules.judge(table(spark, clean + junk, SCHEMA)).collect()}
+    kept = {r.row.doc_id: r.kept for r in rules.judge(table(spark, clean + junk, SCHEMA)).collect()}
     assert all(kept[i] == (i < 1000) for i in kept)
 
 
 def test_licences_and_ordinal(spark):
     texts = [(1, "Intro\nReleased under the MIT License.\nend"), (2, "a driver must carry a licence at all times"), (3, "Licensed under CC BY-NC 4.0."), (4, "plain")]
-    got = {r.doc_id: [s.family for s in r.licences if s.family != "unknown"] for r in licences.scan(table(spark, texts)).collect()}
+    got = {r.row.doc_id: [s.family for s in r.licences if s.family != "unknown"] for r in licences.scan(table(spark, texts)).collect()}
     assert got == {1: ["mit"], 2: [], 3: ["cc-by-nc"], 4: []}
     rnd = random.Random(4)
     bad = {0: ["scum", "moron"], 1: ["%%%", "###"], 2: []}

@@ -22,13 +22,14 @@ def test_licences_over_wrapped_lines(spark):
         (4, "\n".join([*prose, *bsd, *prose, "Released under the MIT License.", *prose])),
         (5, "\n".join(prose)),
     ]
-    got = {r.doc_id: [(s.line, s.family) for s in r.licences if s.family != "unknown"] for r in licences.scan(table(spark, texts)).collect()}
+    got = {r.row.doc_id: [(s.line, s.family) for s in r.licences if s.family != "unknown"] for r in licences.scan(table(spark, texts)).collect()}
     assert {i: [f for _, f in x] for i, x in got.items()} == {1: ["bsd"], 2: ["gpl"], 3: ["mit"], 4: ["bsd", "mit"], 5: []}
     assert got[1][0][0] == 2 and got[2][0][0] in (2, 3, 4) and 75 <= got[4][0][0] <= 81 and got[4][1][0] == 162
     # every share of CONFIRM or more of a template's bigrams holds a gate term
     for t in (t for ts in licences.TEMPLATES.values() for t in ts):
-        pairs = [g for g in licences.grams(t) if " " in g]
-        assert sum(not {g, *g.split()} & set(licences.gate_terms()) for g in pairs) < licences.CONFIRM * len(pairs)
+        weight, own = licences.rarity(), licences.pairs(t)
+        missed = sum(weight[g] for g in own if not {g, *g.split()} & set(licences.gate_terms()))
+        assert not own or missed < licences.CONFIRM * sum(weight[g] for g in own)
 
 
 def test_ibans_before_upper_case_words():
@@ -75,7 +76,7 @@ def outliers(rnd):
 def test_each_coordinate_alone_rejects(spark):
     rnd = random.Random(3)
     rows = [(i, prose(rnd), "en", "s") for i in range(120)] + [(1000 + k, t, "en", "s") for k, t in enumerate(outliers(rnd))]
-    got = {r.doc_id: r for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    got = {r.row.doc_id: r for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002, 1003}
 
@@ -84,7 +85,7 @@ def test_a_null_source_is_a_group_of_its_own(spark):
     rnd = random.Random(4)
     dense = lambda: "\n".join(prose(rnd, 8).replace(" ", " #%& ") for _ in range(12))
     rows = [(i, prose(rnd), "en", None) for i in range(120)] + [(1000 + i, dense(), "en", "s") for i in range(120)] + [(2000, dense(), "en", None)]
-    got = {r.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    got = {r.row.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
     assert all(k == (i < 2000) for i, k in got.items())
 
 
@@ -93,7 +94,7 @@ def test_rare_languages_and_small_tables_are_judged(spark):
     odd = outliers(rnd)
     # one outlier to a language that is rare or holds nothing else
     rows = [(i, prose(rnd), "en", "s") for i in range(120)] + [(1000 + k, t, f"x{k}", "r") for k, t in enumerate(odd)] + [(2000 + i, prose(rnd), f"x{i % 2}", "r") for i in range(12)]
-    got = {r.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
+    got = {r.row.doc_id: r.kept for r in rules.judge(table(spark, rows, SCHEMA)).collect()}
     assert {i for i, k in got.items() if not k} == {1000, 1001, 1002, 1003}
-    few = {r.doc_id: r.kept for r in rules.judge(table(spark, rows[90:121], SCHEMA)).collect()}
+    few = {r.row.doc_id: r.kept for r in rules.judge(table(spark, rows[90:121], SCHEMA)).collect()}
     assert all(k == (i < 1000) for i, k in few.items())
