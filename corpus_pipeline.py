@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages rows
-are written as Parquet to the shared folder. All but the last return the columns of documents.
+are written as Parquet to the shared folder. All but the last return the columns of documents, with
+every column but ``text`` (and ``n_chars``, its length) as it came.
 """
 
 from __future__ import annotations
@@ -11,67 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import bpe, decontaminate, neardup, rules, secrets
-from spanlake.llm.stage import stage
+from spanlake.llm.rewrite import cut, merged, rewritten
+from spanlake.llm.stage import stage, unstage
 
 #: A document goes when this share of its words stands in benchmark windows; the words of a lesser overlap are cut out.
 DROP_SHARE = 0.5
 MASK = "[SECRET]"
 
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _columns(rules.judge(docs).filter("kept"), docs)
+    return rules.judge(docs).filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group. Rows repeating a doc_id go; rows with a null id stay."""
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(one, docs).unionByName(docs.filter("doc_id is null"))
-
-
-def _cut(text: F.Column, spans: F.Column, mask: str) -> F.Column:
-    """The text with each of its ascending, disjoint spans replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def _rewritten(docs: DataFrame, text: F.Column) -> DataFrame:
-    """``docs`` with another text, and its length where there is a column for it."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """One document of each near-duplicate group, the one of smallest id. A row goes only for its text: different texts under one id stay."""
+    return neardup.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that benchmark passages dominate; the passages are cut from the others."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.scan(docs, benchmark, keep=True).filter(F.col("n_hit") < DROP_SHARE * F.greatest(F.col("n_words"), F.lit(1)))
-    return _columns(_rewritten(found, F.when(F.size("spans") > 0, _cut(F.col("text"), F.col("spans"), "")).otherwise(F.col("text"))), docs)
-
-
-def _merged(spans: F.Column) -> F.Column:
-    """Spans sorted by start, overlapping ones united."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    grow = lambda acc, s: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
-    return F.aggregate(plain, none, lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))), grow(acc, s)).otherwise(F.concat(acc, F.array(s))))
+    found = decontaminate.scan(docs, benchmark).filter(F.col("n_hit") < DROP_SHARE * F.greatest(F.col("n_words"), F.lit(1)))
+    text = F.col("row")["text"]
+    return rewritten(found, F.when(F.size("spans") > 0, cut(text, F.col("spans"), "")).otherwise(text))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets masked; every document stays."""
-    found = secrets.scan(docs).withColumn("secret_spans", _merged(F.col("secret_spans")))
-    return _columns(_rewritten(found, F.when(F.size("secret_spans") > 0, _cut(F.col("text"), F.col("secret_spans"), MASK)).otherwise(F.col("text"))), docs)
+    found = secrets.scan(docs).select("row", merged(F.col("secret_spans")).alias("spans"))
+    text = F.col("row")["text"]
+    return rewritten(found, F.when(F.size("spans") > 0, cut(text, F.col("spans"), MASK)).otherwise(text))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, checked by decoding."""
-    return bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("secret_scan", without_secrets), ("bpe", tokens)]
@@ -82,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return stage(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    for name, step in STAGES:
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        unstage(before)
+    return docs
