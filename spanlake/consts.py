@@ -5,12 +5,49 @@ HIGH = "National_Identification_Number Passport_Number Driving_License_Number Ta
 MEDIUM = "Full_Name First_Given_Name Last_Family_Name Preferred_Name Work_Email_Address Personal_Email_Address Telephone_Numbers_Work Telephone_Numbers_Personal Place_of_Birth Gender Marital_Status Nationality Citizenship_Status Compensation_and_Salary Static_IP_Address Social_Media_Identifiers Employee_ID_Number Performance_Assessment Disciplinary_Action Sickness_Day_Records Professional_Background".split()
 LOW = "Age Country_of_Residence State City Location Business_Title Org_Name Date_Time".split()
 TIERS = {t: name for name, types in (("HIGH", HIGH), ("MEDIUM", MEDIUM), ("LOW", LOW)) for t in types}
+#: Types of special categories. Fixed values.
 ARTICLE_9 = "Religion Sex_Orientation Political_Party Trade_Union_Membership Medical_Information Allergy_Information Crime".split()
+#: Values of forms, modes and states. Fixed values.
 FORMS = ("complete", "partial", "obfuscated")
 MODES = ("coverage", "paired_sweep")
 STATUSES = ("ok", "verified", "repaired", "failed")
 #: What detectors call a type. Fixed values.
 LABELS = {"PERSON": "Full_Name", "EMAIL_ADDRESS": "Work_Email_Address", "PHONE_NUMBER": "Telephone_Numbers_Personal", "CREDIT_CARD": "Credit_Card_Numbers", "IBAN_CODE": "Customer_Reference_Number", "IP_ADDRESS": "Static_IP_Address", "DATE_TIME": "Date_Time", "US_SSN": "National_Identification_Number", "US_DRIVER_LICENSE": "Driving_License_Number", "US_PASSPORT": "Passport_Number", "LOCATION": "Location", "ORGANIZATION": "Org_Name", "MEDICAL_LICENSE": "Medical_Information", "URL": "Social_Media_Identifiers", "NRP": "Nationality"}
+#: What a zero-shot span model is asked for. Fixed values.
+SPOKEN_LABELS = {
+    "person name": "Full_Name",
+    "first name": "First_Given_Name",
+    "last name": "Last_Family_Name",
+    "email address": "Work_Email_Address",
+    "phone number": "Telephone_Numbers_Personal",
+    "date of birth": "Date_of_Birth",
+    "credit card number": "Credit_Card_Numbers",
+    "national id number": "National_Identification_Number",
+    "passport number": "Passport_Number",
+    "address": "Address_Personal",
+    "city": "City",
+    "state": "State",
+    "country": "Country_of_Residence",
+    "organization": "Org_Name",
+    "medical condition": "Medical_Information",
+    "religion": "Religion",
+    "political party": "Political_Party",
+    "employee id": "Employee_ID_Number",
+    "ip address": "Static_IP_Address",
+    "social media handle": "Social_Media_Identifiers",
+    "marital status": "Marital_Status",
+    "gender": "Gender",
+    "nationality": "Nationality",
+}
+#: Languages by priority. Fixed values.
+LANGUAGE_TIERS = {
+    "P1": ("EN", "FR", "DE", "IT", "ES", "PT_BR"),
+    "P2": ("FR_CA", "JA", "NL"),
+    "P3": ("SV", "FI", "CS", "HE", "HU", "KO", "NO", "PT_EU", "RU", "ZH_CN", "ZH_TW", "TH", "TR", "AR", "DA", "HI"),
+}
+#: Tokens of a character by language; others 0.25. Fixed values.
+TOKEN_RATES = {"RU": 0.5, "ZH_CN": 1.0, "ZH_TW": 1.0, "JA": 1.0, "KO": 1.0, "TH": 1.5, "AR": 0.6, "HE": 0.5, "HI": 0.9}
+#: Formats. Fixed values.
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9][a-zA-Z0-9-]*(\.[a-zA-Z0-9][a-zA-Z0-9-]*)+$"
 SSN = r"^(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
 IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"

@@ -53,16 +53,81 @@ def check_ipv4(s: Column) -> Column:
     return F.rlike(s, F.lit(rf"^{part}(\.{part}){{3}}$"))
 
 
+def check_ipv6(s: Column) -> Column:
+    """IPv6 with an optional scope: eight groups of one to four hex digits, or fewer around one ``::``; the last two may be an IPv4 address."""
+    body = F.split_part(s, F.lit("%"), F.lit(1))
+    scope = F.when(F.contains(s, F.lit("%")), (F.size(F.split(s, "%", -1)) == 2) & ~F.endswith(s, F.lit("%"))).otherwise(F.lit(True))
+    tail = F.substring_index(body, ":", -1)
+    four = F.contains(body, F.lit(":")) & check_ipv4(tail)
+    plain = F.when(four, F.concat(F.substring(body, F.lit(1), F.length(body) - F.length(tail)), F.lit("0:0"))).otherwise(body)
+    halves = F.split(plain, "::", -1)
+    groups = lambda half: F.when(half == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(half, ":", -1))
+    own = F.flatten(F.transform(halves, groups))
+    fine = F.forall(own, lambda g: F.rlike(g, F.lit("^[0-9a-fA-F]{1,4}$")))
+    whole = ((F.size(halves) == 1) & (F.size(own) == 8)) | ((F.size(halves) == 2) & (F.size(own) <= 7))
+    return F.contains(body, F.lit(":")) & scope & whole & fine
+
+
+def check_ip(s: Column) -> Column:
+    bare = F.trim(s)
+    return check_ipv4(bare) | check_ipv6(bare)
+
+
+def _bare(s: Column) -> Column:
+    return F.upper(F.regexp_replace(s, r"\s", ""))
+
+
 def check_iban(s: Column) -> Column:
-    bare = F.upper(F.regexp_replace(s, r"\s", ""))
+    bare = _bare(s)
     moved = F.concat(F.substring(bare, 5, 100), F.substring(bare, 1, 4))
     value = lambda c: F.when(F.rlike(c, F.lit("[0-9]")), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
     rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(F.rlike(c, F.lit("[0-9]")), 10).otherwise(100) + value(c)) % 97)
     return F.when(F.rlike(bare, F.lit(consts.IBAN)), rest == 1).otherwise(F.lit(False))
 
 
+def like_iban(s: Column) -> Column:
+    """Whether a string starts like an IBAN, so that it is checked at all."""
+    return F.rlike(_bare(s), F.lit("^[A-Z]{2}[0-9]{2}"))
+
+
 def check_ssn(s: Column) -> Column:
-    return F.rlike(s, F.lit(consts.SSN))
+    """With both dashes, or nine digits without any."""
+    bare = F.trim(s)
+    dashed = F.when(F.rlike(bare, F.lit("^[0-9]{9}$")), F.concat_ws("-", F.substring(bare, 1, 3), F.substring(bare, 4, 2), F.substring(bare, 6, 4))).otherwise(bare)
+    return F.rlike(dashed, F.lit(consts.SSN))
+
+
+def like_ssn(s: Column) -> Column:
+    return F.rlike(F.trim(s), F.lit("^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$"))
+
+
+def always(s: Column) -> Column:
+    return F.lit(True)
+
+
+#: Sections of the format report: the types checked, the strings among them that are, and the check.
+CHECKERS = {
+    "Work_Email_Address": (("Work_Email_Address",), always, check_email),
+    "Personal_Email_Address": (("Personal_Email_Address",), always, check_email),
+    "Credit_Card_Numbers": (("Credit_Card_Numbers",), always, check_luhn),
+    "Static_IP_Address": (("Static_IP_Address",), always, check_ip),
+    "iban": (("Customer_Reference_Number", "Account_Statements"), like_iban, check_iban),
+    "us_ssn": (("National_Identification_Number",), like_ssn, check_ssn),
+}
+
+
+def density_band(entities: Column, tokens: Column) -> Column:
+    """Band of entities per thousand tokens: high from 16 and five entities, medium from 5 and three, or from the floor alone in texts too short for a rate, else low; none without entities."""
+    rate = F.coalesce(F.try_divide(entities * 1000.0, tokens.cast("double")), F.lit(0.0))
+    return F.when(entities < 1, F.lit(None).cast("string")).when((rate >= 16) & (entities >= 5), "high").when((rate >= 5) & (entities >= 3), "medium").otherwise("low")
+
+
+def length_band(tokens: Column) -> Column:
+    """Band of a text's tokens."""
+    return F.when(tokens < 200, "small").when(tokens < 600, "medium").when(tokens < 2000, "large").otherwise("very_large")
 
 
-CHECKERS = {"Work_Email_Address": check_email, "Personal_Email_Address": check_email, "Credit_Card_Numbers": check_luhn, "Static_IP_Address": check_ipv4, "Customer_Reference_Number": check_iban, "National_Identification_Number": check_ssn}
+def estimated_tokens(text: Column, language: Column) -> Column:
+    """Tokens by characters, at the rate of the language's script."""
+    rates = F.create_map(*[F.lit(x) for kv in consts.TOKEN_RATES.items() for x in kv])
+    return F.round(F.length(F.coalesce(text, F.lit(""))) * F.coalesce(F.try_element_at(rates, language), F.lit(0.25))).cast("int")

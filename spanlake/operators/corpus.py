@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,25 +9,21 @@ from pyspark.sql import functions as F
 
 from spanlake import consts
 from spanlake.functions import text as T
+from spanlake.operators import records as R
 
-ENTITY = "struct<entity_type:string,entity_string:string,pos:int>"
+tier = R.tier
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """record_id, entity_type, entity_string and mention_index of every proposed entity, in the order of its type's matches."""
+    """record_id, lang, source, text, entity_type, entity_string, pos and mention_index of every proposed entity; nothing is shuffled."""
+    each = docs.select(F.col("doc_id").alias("record_id"), "lang", "source", "text", F.explode(R.proposed(F.col("text"))).alias("e"))
+    return each.select("record_id", "lang", "source", "text", "e.*")
 
-    def kind(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda s, i: F.struct(F.lit(name).alias("entity_type"), s.alias("entity_string"), i.alias("pos")))
 
-    kinds = [kind(t, p) for t, p in consts.PROPOSALS.items()]
-    each = docs.select(F.col("doc_id").alias("record_id"), "lang", "source", "text", F.explode(F.concat(*kinds)).alias("e")).select("record_id", "lang", "source", "text", "e.*")
-    order = Window.partitionBy("record_id", "entity_type", "entity_string").orderBy("pos")
-    return each.withColumn("mention_index", (F.row_number().over(order) - 1).cast("int"))
-
-
-def tier(entity_type: Column) -> Column:
-    """Sensitivity tier; MEDIUM for unknown types."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in consts.TIERS.items() for x in kv]), entity_type), F.lit("MEDIUM"))
+def records(docs: DataFrame) -> DataFrame:
+    """record_id, lang, source, text and entities: each document as a record of its proposed entities."""
+    made = F.transform(R.proposed(F.col("text")), lambda e: F.struct(e["entity_type"], e["entity_string"], e["mention_index"], F.lit(True).alias("disclosed"), F.lit("complete").alias("disclosure_form"), tier(e["entity_type"]).alias("sensitivity_tier")))
+    return docs.select(F.col("doc_id").alias("record_id"), "lang", "source", "text", F.coalesce(made, R.empty(R.ENTITY)).alias("entities"))
 
 
 def filter_reasons(status: Column, text: Column, entities: Column) -> Column:
@@ -62,34 +57,91 @@ def type_floor(entities: DataFrame, floor: int, types: list[str] | None = None)
 
 
 def pairwise_coverage(frame: DataFrame, axes: list[str]) -> DataFrame:
-    """For each pair of axes: value pairs seen, and the product of the axes' observed values. One pass: pairs are made distinct on the map side."""
-    named = {a: F.coalesce(F.col(a).cast("string"), F.lit("?")) for a in axes}
-    cells = [F.struct(F.lit(f"{a}*{b}").alias("pair"), named[a].alias("v1"), named[b].alias("v2")) for a, b in combinations(axes, 2)]
-    seen = frame.select(F.explode(F.array(*cells)).alias("c")).select("c.*").distinct()
-    return seen.groupBy("pair").agg(F.count("*").alias("seen"), (F.countDistinct("v1") * F.countDistinct("v2")).alias("possible"))
-
-
-def multi_mention(entities: DataFrame) -> DataFrame:
-    """Groups of one type and string: mentions, and whether indices are 0..m-1 and the text holds m of them apart."""
-    groups = entities.groupBy("record_id", "entity_type", "entity_string").agg(F.count("*").alias("m"), F.countDistinct("mention_index").alias("distinct_m"), F.max("mention_index").alias("top"), F.first("text").alias("text"))
-    apart = T.count_apart(F.col("text"), F.col("entity_string"))
-    return groups.select("record_id", "entity_type", "entity_string", "m", ((F.col("distinct_m") == F.col("m")) & (F.col("top") == F.col("m") - 1) & (apart == F.col("m"))).alias("complete"), (apart > F.col("m")).alias("missing_mentions"))
-
-
-def repair(entities: DataFrame) -> DataFrame:
-    """One row for each occurrence of each (type, string) group, with offsets; a string that isn't in the text keeps its rows without offsets."""
-    order = Window.partitionBy("record_id", "entity_type", "entity_string")
-    kept = entities.withColumn("m", F.count("*").over(order)).withColumn("at", T.occurrences(F.col("text"), F.col("entity_string")))
-    found = kept.filter((F.col("mention_index") == 0) & (F.size("at") > 0)).select("record_id", "entity_type", "entity_string", "m", F.size("at").alias("k"), F.posexplode("at").alias("mention_index", "start"))
-    found = found.select("record_id", "entity_type", "entity_string", "mention_index", "start", (F.col("start") + F.length("entity_string")).alias("end"), F.when(F.col("m") < F.col("k"), "ok").otherwise("no_change").alias("repair_status"))
-    lost = kept.filter((F.size("at") == 0) & (F.length("entity_string") > 0)).select("record_id", "entity_type", "entity_string", "mention_index", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("string_not_in_text").alias("repair_status"))
-    return found.unionByName(lost)
-
-
-def format_compliance(entities: DataFrame, checkers: dict = T.CHECKERS) -> DataFrame:
-    """checked and passed by type that has a checker."""
-    passed = reduce(lambda acc, kv: acc.when(F.col("entity_type") == kv[0], kv[1](F.col("entity_string"))), list(checkers.items())[1:], F.when(F.col("entity_type") == next(iter(checkers)), next(iter(checkers.values()))(F.col("entity_string"))))
-    return entities.filter(F.col("entity_type").isin(*checkers)).groupBy("entity_type").agg(F.count("*").alias("checked"), F.count_if(passed).alias("passed"))
+    """For each pair of axes: value pairs seen, and the product of the axes' observed values, nulls left out. One pass: pairs, and each axis's values as a pair with itself, are made distinct on the map side."""
+    named = {a: F.col(a).cast("string") for a in axes}
+    both = [*((a, a) for a in axes), *combinations(axes, 2)]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), named[a].alias("v1"), named[b].alias("v2")) for a, b in both]
+    seen = frame.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("v1 is not null and v2 is not null").distinct()
+    counts = seen.groupBy("a", "b").agg(F.count("*").alias("seen"))  # a row for each pair of axes
+    own = counts.filter("a = b").select(F.col("a").alias("axis"), F.col("seen").alias("n"))
+    pairs = frame.sparkSession.createDataFrame([(a, b) for a, b in combinations(axes, 2)], "a string, b string").join(counts, ["a", "b"], "left")
+    pairs = pairs.join(own.select(F.col("axis").alias("a"), F.col("n").alias("na")), "a", "left").join(own.select(F.col("axis").alias("b"), F.col("n").alias("nb")), "b", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return pairs.select(F.concat("a", F.lit("*"), "b").alias("pair"), zero("seen").alias("seen"), (zero("na") * zero("nb")).alias("possible"))
+
+
+def coverage_summary(pairs: DataFrame, target: float = 0.98) -> DataFrame:
+    """Mean rate over the pairs of ``pairwise_coverage`` (1 where no pair is possible), to four digits each, and whether it reaches the target."""
+    rate = F.bround(F.coalesce(F.try_divide(F.col("seen").cast("double"), F.col("possible")), F.lit(1.0)), 4)
+    return pairs.agg(F.count("*").alias("n_axis_pairs"), F.round(F.avg(rate), 9).alias("mean_rate"), (F.coalesce(F.avg(rate), F.lit(1.0)) >= target).alias("meets_target"))
+
+
+def pattern_coverage(frame: DataFrame, pattern: str, size: int = 4127) -> DataFrame:
+    """Distinct non-empty patterns, their share of a catalog of ``size``, and whether it is half or more."""
+    seen = F.countDistinct(F.nullif(F.col(pattern), F.lit("")))
+    return frame.agg(seen.alias("exercised"), F.round(seen / F.lit(float(size)), 9).alias("rate"), (seen * 2 >= size).alias("meets_target"))
+
+
+def language_coverage(frame: DataFrame, language: str, tiers: dict[str, tuple[str, ...]] = consts.LANGUAGE_TIERS) -> DataFrame:
+    """tier, target, seen, missing (comma-joined, sorted) and whether all are seen, of each tier of languages."""
+    every = frame.sparkSession.createDataFrame([(t, x) for t, own in tiers.items() for x in own], "tier string, language string")
+    held = every.join(frame.select(F.col(language).alias("language"), F.lit(True).alias("seen")).distinct(), "language", "left")
+    lost = F.array_join(F.sort_array(F.collect_list(F.when(F.col("seen").isNull(), F.col("language")))), ",")  # a few dozen languages
+    return held.groupBy("tier").agg(F.count("*").alias("target"), F.count_if("seen").alias("n_seen"), lost.alias("missing"), F.bool_and(F.col("seen").isNotNull()).alias("whole"))
+
+
+def frame_matrix(entities: DataFrame, frame: str = "behavioral_frame") -> DataFrame:
+    """Distinct behavioural frames of each type, null values as '?'."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    return entities.groupBy(named("entity_type").alias("entity_type")).agg(F.countDistinct(named(frame)).alias("n_frames"))
+
+
+def crosstab(frame: DataFrame, one: str, two: str, ones: list[str], twos: list[str]) -> DataFrame:
+    """Cells of two axes' domains that are seen, all cells, and their rate."""
+    both = frame.filter(F.col(one).isin(ones) & F.col(two).isin(twos)).select(one, two).distinct()
+    return both.agg(F.count("*").alias("seen")).select("seen", F.lit(len(ones) * len(twos)).cast("long").alias("possible"), F.round(F.col("seen") / float(len(ones) * len(twos)), 9).alias("rate"))
+
+
+def statistics(records: DataFrame, axes: list[str]) -> DataFrame:
+    """section, name and n: counts of each axis's values, and of the entities' types, tiers, forms, disclosure and identifier classes.
+
+    Null values count as '?'. ``article_9`` has the entities of those types and the records that hold one; ``overall``
+    records and entities. One scan, one aggregation. ``records`` may have direct_indirect_classification.
+    """
+    cell = lambda section, name: F.struct(F.lit(section).alias("section"), F.coalesce(name.cast("string"), F.lit("?")).alias("name"))
+    special = F.filter("entities", lambda e: e["entity_type"].isin(*consts.ARTICLE_9))
+    cells = [F.array(*[cell(a, F.col(a)) for a in axes], cell("overall", F.lit("records")))]
+    cells.append(F.flatten(F.transform("entities", lambda e: F.array(cell("entity_type", e["entity_type"]), cell("sensitivity_tier", e["sensitivity_tier"]), cell("disclosure_form", e["disclosure_form"]), cell("disclosed", F.coalesce(e["disclosed"], F.lit(False))), cell("overall", F.lit("entities"))))))
+    cells.append(F.transform(special, lambda e: cell("article_9", F.lit("entities"))))
+    cells.append(F.when(F.size(special) > 0, F.array(cell("article_9", F.lit("records")))).otherwise(F.filter(F.array(cell("article_9", F.lit(""))), lambda x: F.lit(False))))
+    if "direct_indirect_classification" in records.columns:
+        cells.append(F.transform(F.coalesce("direct_indirect_classification", R.empty(R.CLASSES)), lambda c: cell("identifier_class", c["identifier_class"])))
+    return records.select(F.explode(F.concat(*cells)).alias("c")).groupBy("c.section", "c.name").agg(F.count("*").alias("n"))
+
+
+def _checked(entities: DataFrame, checkers: dict) -> tuple[Column, Column]:
+    """The section that checks an entity (null: none), and whether it passes."""
+    section = passed = None
+    for name, (types, gate, check) in checkers.items():
+        here = F.col("entity_type").isin(*types) & gate(F.col("entity_string"))
+        section = F.when(here, name) if section is None else section.when(here, name)
+        passed = F.when(here, check(F.col("entity_string"))) if passed is None else passed.when(here, check(F.col("entity_string")))
+    return section, F.coalesce(passed, F.lit(False))
+
+
+def format_compliance(entities: DataFrame, checkers: dict = T.CHECKERS, target: float = 0.95) -> DataFrame:
+    """section, checked, passed, rate and whether it reaches the target: by type, and for IBANs and social security numbers among the strings shaped like them."""
+    section, passed = _checked(entities, checkers)
+    out = entities.select(section.alias("section"), passed.alias("passed")).filter("section is not null").groupBy("section").agg(F.count("*").alias("checked"), F.count_if("passed").alias("passed"))
+    return out.withColumn("rate", F.round(F.col("passed") / F.col("checked"), 9)).withColumn("meets_target", F.col("passed") >= F.col("checked") * F.lit(target))
+
+
+def format_failures(entities: DataFrame, checkers: dict = T.CHECKERS, most: int = 10, width: int = 80) -> DataFrame:
+    """section, record_id and entity_string (cut) of the first ``most`` failures of each section; groups are trimmed before the shuffle."""
+    section, passed = _checked(entities, checkers)
+    bad = entities.select(section.alias("section"), "record_id", "mention_index", F.left("entity_string", F.lit(width)).alias("entity_string"), passed.alias("ok")).filter("section is not null and not ok")
+    order = Window.partitionBy("section").orderBy("record_id", "entity_string", "mention_index")
+    return bad.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("section", "record_id", "mention_index", "entity_string")
 
 
 def windows(docs: DataFrame, size: int = 1200, stride: int = 1000) -> DataFrame:

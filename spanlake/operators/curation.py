@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake import consts
 from spanlake.functions import text as T
 from spanlake.operators import corpus, validation
+from spanlake.operators import records as R
 
 
 def lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -88,28 +89,35 @@ def name_triples(entities: DataFrame) -> DataFrame:
     return joined.groupBy("record_id").agg(F.sum("n").alias("full_names"), F.coalesce(F.sum(F.when(fine, F.col("n"))), F.lit(0)).alias("compliant"))
 
 
-def gate_report(records: DataFrame, entities: DataFrame, floor: int = 50) -> DataFrame:
+def gate_report(records: DataFrame, floor: int = 50) -> DataFrame:
     """gate, passed and total of the six critical gates and ``pass``; the row ``all`` is their conjunction.
 
-    ``records`` has record_id; ``entities`` record_id, entity_type, entity_string, mention_index and text.
-    Empty corpora: offsets and floor fail, the rest pass. All totals are one-row aggregates.
+    ``records`` has record_id, text and entities. Empty corpora: offsets and floor fail, the rest pass. One scan sums
+    within records; a second one counts records by type.
     """
-    total, kth = F.count("*"), F.size(T.occurrences(F.col("text"), F.col("entity_string"))) > F.col("mention_index")
-    row = lambda df, gate, passed, of: df.agg(F.lit(gate).alias("gate"), F.coalesce(passed, F.lit(0)).cast("bigint").alias("passed"), F.coalesce(of, F.lit(0)).cast("bigint").alias("total"))
-    holding = records.select("record_id").join(entities.select("record_id").distinct(), "record_id", "left_semi")
-    counted = records.agg(total.alias("total")).crossJoin(holding.agg(total.alias("held")))  # one row each
-    triples, groups, held = name_triples(entities), corpus.multi_mention(entities), corpus.type_floor(entities, floor, list(consts.TIERS))
-    parts = [
-        row(entities, "offset_accuracy", F.count_if(kth), total),
-        counted.select(F.lit("zero_entity_rate").alias("gate"), F.col("held").alias("passed"), "total"),
-        row(triples, "triple_names", F.sum("compliant"), F.sum("full_names")),
-        row(entities, "canonical_types", F.count_if(F.col("entity_type").isin(*consts.TIERS)), total),
-        row(groups, "multi_mentions", F.count_if("complete"), total),
-        row(held, "type_floor", F.count_if("meets_floor"), total),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    listed, text = F.col("entities"), F.coalesce("text", F.lit(""))
+    aligned = F.filter(listed, lambda e: F.size(T.occurrences(text, e["entity_string"])) > e["mention_index"])
+    full = F.filter(listed, lambda e: e["entity_type"] == "Full_Name")
+    holds = lambda kind, name: F.exists(listed, lambda o: (o["entity_type"] == kind) & (o["entity_string"] == name))
+
+    def named(e: Column) -> Column:
+        words = F.filter(F.split(e["entity_string"], r"\s+"), lambda w: w != "")
+        return (F.size(words) < 2) | (holds("First_Given_Name", F.get(words, F.lit(0))) & holds("Last_Family_Name", F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), " ")))
+
+    groups = R.mention_groups(F.col("text"), listed)
+    empty = F.filter(R.groups(listed), lambda g: F.length(g["entity_string"]) == 0)
+    gates = {
+        "offset_accuracy": (F.size(aligned), F.size(listed)),
+        "zero_entity_rate": (F.when(F.size(listed) > 0, 1).otherwise(0), F.lit(1)),
+        "triple_names": (F.size(F.filter(full, named)), F.size(full)),
+        "canonical_types": (F.size(F.filter(listed, lambda e: F.coalesce(e["entity_type"].isin(*consts.TIERS), F.lit(False)))), F.size(listed)),
+        "multi_mentions": (F.size(F.filter(groups, lambda g: g["complete"])), F.size(groups) + F.size(empty)),
+    }
+    cells = records.select(*[F.struct(a.cast("long").alias("passed"), b.cast("long").alias("total")).alias(g) for g, (a, b) in gates.items()])
+    sums = cells.agg(*[F.coalesce(F.sum(f"{g}.{c}"), F.lit(0)).alias(f"{g}_{c}") for g in gates for c in ("passed", "total")])
+    rows = sums.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(f"{g}_passed").alias("passed"), F.col(f"{g}_total").alias("total")) for g in gates])).alias("x")).select("x.*")
+    held = corpus.type_floor(R.exploded(records), floor, list(consts.TIERS))
+    out = rows.unionByName(held.agg(F.lit("type_floor").alias("gate"), F.count_if("meets_floor").alias("passed"), F.count("*").alias("total")))
     p, n = F.col("passed"), F.col("total")
     passed = F.when(F.col("gate") == "zero_entity_rate", (n - p) * 1000 <= n * 5).when(F.col("gate") == "multi_mentions", p * 100 >= n * 95).when(F.col("gate") == "offset_accuracy", (p == n) & (n > 0)).otherwise(p == n)
     judged = out.withColumn("pass", passed)
@@ -117,14 +125,33 @@ def gate_report(records: DataFrame, entities: DataFrame, floor: int = 50) -> Dat
     return both.groupBy("gate").agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.bool_and("pass").alias("pass"))
 
 
-def repair_totals(entities: DataFrame, repaired: DataFrame) -> DataFrame:
-    """One row: entities before and after repair, groups that grew, entities they gained, and those left without offsets."""
-    key = ["record_id", "entity_type", "entity_string"]
-    before, after = entities.groupBy(*key).agg(F.count("*").alias("b")), repaired.groupBy(*key).agg(F.count("*").alias("a"), F.count_if(F.col("start").isNull()).alias("lost"))
-    both = before.join(after, key, "full").select(F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("lost", F.lit(0)).alias("lost"))
-    grew = F.col("a") > F.col("b")
-    sums = {"original_entities": F.sum("b"), "repaired_entities": F.sum("a"), "groups_expanded": F.count_if(grew), "entities_added": F.sum(F.when(grew, F.col("a") - F.col("b")).otherwise(0)), "offset_mismatches": F.sum("lost")}
-    return both.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in sums.items()])
+def offending_types(entities: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` frequent types that aren't canonical; ties by name."""
+    bad = entities.filter(~F.coalesce(F.col("entity_type").isin(*consts.TIERS), F.lit(False)))
+    return bad.groupBy(F.coalesce("entity_type", F.lit("?")).alias("entity_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type").limit(most)
+
+
+def record_summary(text: Column, entities: Column, fields: dict[str, Column], width: int = 2200, cap: int = 12) -> Column:
+    """A record as JSON for a judge: fields, the text cut to ``width``, and the first ``cap`` entities."""
+    own = F.transform(F.slice(entities, 1, cap), lambda e: F.struct(*[e[c].alias(c) for c in ("entity_string", "entity_type", "disclosed", "disclosure_form", "sensitivity_tier")]))
+    body = shortened(F.coalesce(text, F.lit("")), width, " ... [truncated]")
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], body.alias("text"), own.alias("annotated_entities")), {"ignoreNullFields": "false"})
+
+
+def run_multiplicity(frame: DataFrame, key: str, wanted: int = 3) -> DataFrame:
+    """Keys that don't have exactly ``wanted`` rows, and how many they have."""
+    return frame.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") != wanted)
+
+
+def looked_up(plan: DataFrame, catalog: DataFrame, key: str = "target_pattern_id") -> DataFrame:
+    """``plan`` with description and first example of its pattern, null for unknown ones; of repeated pattern ids the least row counts."""
+    first = catalog.groupBy(F.col("pattern_id").alias(key)).agg(F.min(F.struct("description", F.get("examples", F.lit(0)).alias("example"))).alias("p"))
+    return plan.join(first, key, "left").withColumns({"target_pattern_desc": F.col("p.description"), "target_pattern_example": F.col("p.example")}).drop("p")
+
+
+def paired_reports(one: DataFrame, two: DataFrame, key: str = "detector", score: str = "f1") -> DataFrame:
+    """k, a and b: the scores of two corpora joined by detector, for the rank statistics."""
+    return one.select(F.col(key).alias("k"), F.col(score).alias("a")).join(two.select(F.col(key).alias("k"), F.col(score).alias("b")), "k")
 
 
 def detector_report(matched: DataFrame, n_types: int = len(consts.TIERS)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
+from spanlake.operators import detection
 
 
 def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -17,16 +18,17 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
 def distinct_n(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """n, distinct and total n-grams of a corpus; counted within partitions before the shuffle.
 
-    Each size is made from the one below by appending words, without slices; tokens have no spaces, so a gram tells its size.
+    Each size is made from the one below by appending words, without slices.
     """
     grams = docs.select(T.tokens(F.col("text")).alias("g1"))
     for n in range(2, max(sizes) + 1):
         left = F.greatest(F.size("g1") - n + 1, F.lit(0))
         longer = F.zip_with(F.slice(f"g{n - 1}", F.lit(1), left), F.slice("g1", F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b))
         grams = grams.withColumn(f"g{n}", longer)
-    counted = grams.select(F.explode(F.concat(*[f"g{n}" for n in sizes])).alias("g")).groupBy("g").agg(F.count("*").alias("k"))
-    size = (F.length("g") - F.length(F.replace(F.col("g"), F.lit(" "), F.lit(""))) + 1).cast("int")
-    return counted.groupBy(size.alias("n")).agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
+    # what is shuffled is two 64-bit hashes of a gram, not the gram
+    hashed = lambda n: F.transform(f"g{n}", lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+    counted = grams.select(F.explode(F.concat(*map(hashed, sizes))).alias("g")).groupBy("g.n", "g.a", "g.b").agg(F.count("*").alias("k"))
+    return counted.groupBy("n").agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
 
 
 def mean_cosine_distance(vectors: DataFrame, column: str) -> DataFrame:
@@ -56,19 +58,6 @@ def match_exact(gold: DataFrame, predicted: DataFrame, strata: list[str]) -> Dat
     return out.withColumn("f1", F.round(F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), 9))
 
 
-def match_overlap(gold: DataFrame, predicted: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """tp, fp and fn by record when each gold span takes the first unused prediction of its type that overlaps (fuzzy: by half the shorter)."""
-    span = lambda: F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("entity_type").alias("t"))))
-    both = gold.groupBy("record_id").agg(span().alias("g")).join(predicted.groupBy("record_id").agg(span().alias("p")), "record_id", "full")
-    none = F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")
-    both = both.select("record_id", F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
-    places = "if(size(p) = 0, cast(array() as array<int>), sequence(0, size(p) - 1))"
-    test = "2 * (least(get(p, i).e, x.e) - greatest(get(p, i).s, x.s)) >= least(get(p, i).e - get(p, i).s, x.e - x.s)" if fuzzy else "get(p, i).e > x.s and get(p, i).s < x.e"
-    used = F.expr(f"aggregate(g, cast(array() as array<int>), (u, x) -> concat(u, slice(filter({places}, i -> not array_contains(u, i) and get(p, i).t = x.t and {test}), 1, 1)))")
-    tp = F.size(used)
-    return both.select("record_id", tp.alias("tp"), (F.size("p") - tp).alias("fp"), (F.size("g") - tp).alias("fn"))
-
-
 def kendall(pairs: DataFrame) -> DataFrame:
     """Kendall tau-a of (k, a, b), a small table of systems: ties count 0 against n(n-1)/2 pairs."""
     x, y = pairs.alias("x"), pairs.alias("y")
@@ -148,14 +137,13 @@ def density(entities: DataFrame, language: str, kind: str, pattern: str) -> Data
     return each.groupBy(language).agg(F.sum("p").alias("n_patterns"), F.count("*").alias("n_types"))
 
 
-def match_by_field(gold: DataFrame, predicted: DataFrame, field: str) -> DataFrame:
-    """Overlap matches by a value of gold's field: only gold of the value, all predictions of the records that hold it."""
-    values = gold.filter(F.col(field).isNotNull() & (F.col(field) != "")).withColumn("__rec", F.col("record_id"))
-    keyed = values.withColumn("record_id", F.struct("__rec", F.col(field).alias("value")))
-    held = keyed.select("__rec", "record_id").distinct()
-    repeated = predicted.withColumnRenamed("record_id", "__rec").join(held, "__rec")
-    found = match_overlap(keyed, repeated)
-    return found.groupBy(F.col("record_id.value").alias(field)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+def match_by_field(records: DataFrame, field: str, mode: str = "partial") -> DataFrame:
+    """Matches by a value of gold's field: only gold of the value, all predictions of the records that hold it. Null and empty values are left out."""
+    values = F.filter(F.array_distinct(F.transform("gold", lambda g: g[field])), lambda v: v.isNotNull() & (v != ""))
+    each = records.select("record_id", "gold", "pred", F.explode(values).alias("value"))
+    each = each.withColumn("gold", F.filter("gold", lambda g: g[field] == F.col("value")))
+    found = detection.match_records(each, mode, "value")
+    return found.groupBy(F.col("value").alias(field)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def judge_means(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -166,15 +154,61 @@ def judge_means(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def verdict(score: Column) -> Column:
-    """Band of a mean score."""
-    return F.when(score >= 8.5, "excellent").when(score >= 7, "good").when(score >= 5.5, "acceptable").when(score >= 3.5, "poor").otherwise("fail")
+    """Band of a weighted mean score."""
+    return F.when(score >= 8.5, "EXCELLENT").when(score >= 7, "GOOD").when(score >= 5.5, "ACCEPTABLE").when(score >= 3.5, "POOR").when(score.isNotNull(), "FAIL")
+
+
+def score_bin(score: Column) -> Column:
+    """Three bins of a ten-point score."""
+    return F.when(score <= 4, 0).when(score <= 7, 1).when(score.isNotNull(), 2)
+
+
+def record_verdicts(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """record_id, weighted mean over the dims present of the judges' mean scores, and its verdict, of (record_id, judge, dim, score)."""
+    w = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("dim"))
+    dims = scores.filter("score is not null").groupBy("record_id", "dim").agg(F.avg("score").alias("m")).withColumn("w", w).filter("w is not null")
+    out = dims.groupBy("record_id").agg(F.round(F.sum(F.col("w") * F.col("m")) / F.sum("w"), 9).alias("weighted"))
+    return out.withColumn("verdict", verdict(F.col("weighted")))
+
+
+def kappa_matrix(scores: DataFrame) -> DataFrame:
+    """Cohen's kappa of the binned scores of each pair of judges by dim, over the records that both scored; 1 where chance agreement is whole."""
+    held = scores.filter("score is not null").select("record_id", "dim", "judge", score_bin(F.col("score")).alias("b"))
+    one, two = (held.select("record_id", "dim", F.col("judge").alias(f"judge_{n}"), F.col("b").alias(n)) for n in ("x", "y"))
+    cells = one.join(two, ["record_id", "dim"]).filter("judge_x < judge_y").groupBy("judge_x", "judge_y", "dim", "x", "y").agg(F.count("*").alias("n"))
+    count = lambda c, k: F.sum(F.when(F.col(c) == k, F.col("n")).otherwise(0))
+    sums = cells.groupBy("judge_x", "judge_y", "dim").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("agree"), sum((count("x", k) * count("y", k) for k in range(3)), F.lit(0)).alias("c"))
+    po, pe = F.col("agree") / F.col("t"), F.col("c") / (F.col("t") * F.col("t"))
+    return sums.select("judge_x", "judge_y", "dim", F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 9).alias("kappa"), F.col("t").alias("n"))
+
+
+def simple_sample(frame: DataFrame, key: str, size: int, seed: str) -> DataFrame:
+    """Exactly ``size`` rows (or all), those of smallest seeded digest: each task passes on at most ``size``."""
+    return frame.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))).orderBy("__h", key).limit(size).drop("__h")
+
+
+def stratified_cut(frame: DataFrame, key: str, stratum: str, size: int, seed: str) -> DataFrame:
+    """An equal part of each stratum (at least one row) and at most ``size`` rows in all, without filling up short strata."""
+    parts = frame.select(stratum).distinct().count()  # strata are few
+    return simple_sample(stratified(frame, key, stratum, max(1, size // max(1, parts)), seed), key, size, seed + "-all")
+
+
+def short_strata(frame: DataFrame, stratum: str, each: int) -> DataFrame:
+    """Strata with fewer rows than a sample wants, and how many they have."""
+    return frame.groupBy(stratum).agg(F.count("*").alias("n")).filter(F.col("n") < each)
 
 
 def topped_up(frame: DataFrame, key: str, stratum: str, total: int, seed: str) -> DataFrame:
-    """``total`` rows: an equal part of each stratum, then what is lacking from the rest, both in the order of a seeded digest."""
+    """``total`` rows: an equal part of each stratum, then what is lacking from the rest, both in the order of a seeded digest.
+
+    No window ranks a whole stratum: its part are its first rows (Spark trims them within tasks), and the rest is
+    an ordered limit over the others.
+    """
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))
-    counted = frame.select(stratum).distinct().agg(F.count("*").alias("__strata"))
-    ranked = frame.withColumn("__h", digest).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
-    first = (F.col("__r") > F.expr(f"greatest({total} div __strata, 1)")).cast("int")
-    late = ranked.crossJoin(F.broadcast(counted)).withColumn("__late", first)  # one row is broadcast
-    return late.orderBy("__late", "__h", key).limit(total).drop("__h", "__r", "__strata", "__late")
+    parts = frame.select(stratum).distinct().count()  # strata are few
+    held = frame.withColumn("__h", digest)
+    ranked = held.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    first = ranked.filter(F.col("__r") <= max(total // max(1, parts), 1)).drop("__r").orderBy("__h", key).limit(total)
+    rest = held.join(F.broadcast(first.select(key, F.lit(True).alias("__in")).distinct()), key, "left").filter("__in is null").drop("__in").orderBy("__h", key).limit(total)  # at most ``total`` keys are broadcast
+    both = first.withColumn("__late", F.lit(0)).unionByName(rest.withColumn("__late", F.lit(1)))
+    return both.orderBy("__late", "__h", key).limit(total).drop("__h", "__late")

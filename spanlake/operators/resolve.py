@@ -183,6 +183,60 @@ def reconcile(existing: list[dict], consensus: list[dict], ratio: float = 0.8, l
     return without_overlaps(sorted(out, key=lambda s: s["start"]))
 
 
+def merged(models: list[list[dict]], least: int = 2) -> list[dict]:
+    """The simple vote: each span not yet taken gathers later spans of its type and other models that overlap it; a group of ``least`` models gives its longest span. Overlaps stay."""
+    spans = [{**s, "model": m} for m, own in enumerate(models) for s in own]
+    taken: set[int] = set()
+    out = []
+    for i, seed in enumerate(spans):
+        if i in taken:
+            continue
+        near = [j for j in range(i + 1, len(spans)) if j not in taken and spans[j]["type"] == seed["type"] and spans[j]["model"] != seed["model"] and seed["start"] < spans[j]["end"] and spans[j]["start"] < seed["end"]]
+        taken.update(near)
+        group = [seed, *(spans[j] for j in near)]
+        if len({s["model"] for s in group}) >= least:
+            best = max(group, key=lambda s: s["end"] - s["start"])
+            out.append({k: best[k] for k in ("start", "end", "type", "text")})
+    return sorted(out, key=lambda s: s["start"])
+
+
+def reconciled(text: str, markers: list[dict], matches: list[dict], wanted: list[dict], agreed: dict[tuple[str, str], int] | None = None, every: bool = False, ratio: float = 0.8, least: int = 2) -> list[dict]:
+    """Marker spans, string matches and consensus entities as one list without overlaps.
+
+    ``wanted`` has type, text and perhaps context, start and end. Entities with places keep them; the others are looked
+    for by context, longest first, and the rest greedily where nothing is claimed. A place that overlaps a span gives it
+    its type where the lengths are alike and ``agreed`` (type, lower-case text) counts enough models; a free one is added.
+    """
+    text = unicodedata.normalize("NFC", text or "")
+    spans = [{"source": "marker", **s} for s in markers] + [dict(s) for s in matches]
+    claimed = Claimed(text, ((s["start"], s["end"]) for s in spans))
+    queue = [{**w, "value": unicodedata.normalize("NFC", w["text"].strip())} for w in wanted]
+    queue = sorted((w for w in queue if w["value"]), key=lambda w: -len(w["value"]))
+    by_context, resolved, rest = Claimed(text), [], []
+    for w in queue:
+        at = (w["start"], w["end"]) if w.get("start") is not None and w.get("end") is not None else None
+        at = at or in_context(text, w["value"], unicodedata.normalize("NFC", w.get("context") or ""), by_context)
+        if at:
+            by_context.take(*at)
+            resolved.append((w["type"], *at, w["text"]))
+        else:
+            rest.append((w["type"], w["value"]))
+    free = Claimed(text, [*((s["start"], s["end"]) for s in spans), *((s, e) for _, s, e, _ in resolved)])
+    resolved += [(s["type"], s["start"], s["end"], s["text"]) for s in greedy(text, rest, free, every)]
+    for kind, start, end, value in resolved:
+        if not free_standing(text, start, end):
+            continue
+        hit = next((s for s in spans if s["start"] < end and start < s["end"]), None)
+        if hit is None and claimed.free(start, end):
+            spans.append({"start": start, "end": end, "type": kind, "text": text[start:end], "source": "consensus"})
+            claimed.take(start, end)
+        elif hit is not None and hit["type"] != kind:
+            sizes = sorted((end - start, hit["end"] - hit["start"]))
+            if sizes[0] > 0 and sizes[0] >= ratio * sizes[1] and (agreed or {}).get((kind, value.lower()), 0) >= least:
+                hit.update(type=kind, source="consensus_override")
+    return without_overlaps(sorted(spans, key=lambda s: s["start"]))
+
+
 def parse_response(content: str | None) -> dict:
     """The JSON object of a model's answer: bare, fenced, escaped up to three times, or the outermost braces; else empty."""
     value: object = content or ""
@@ -223,23 +277,28 @@ def responses_to_spans(text: str, responses: dict[str, str], least: int = 2) ->
     return vote([model_spans(text, listed_entities(parse_response(r))) for _, r in sorted(responses.items())], least)
 
 
-def tagged_spans(labels: list[str], offsets: list[tuple[int, int]]) -> list[dict]:
-    """Spans of BIOES tags over token offsets. A tag that can't go on with the open span closes it and opens its own."""
+def tagged_spans(labels: list[str | None], offsets: list[tuple[int, int]]) -> list[dict]:
+    """Spans of BIOES tags over token offsets.
+
+    Tokens without width are passed over; a null tag is O; a bare label means I. A tag that can't go on with the open
+    span opens its own: B and S close what is open, I and E of another label take its place.
+    """
     out: list[dict] = []
     open_span: dict | None = None
     for label, (start, end) in zip(labels, offsets, strict=True):
-        tag, _, kind = label.partition("-")
-        goes_on = open_span is not None and tag in "IE" and kind == open_span["type"]
-        if open_span is not None and not goes_on:
+        if start == end:
+            continue
+        tag, _, kind = (label or "O").partition("-")
+        tag, kind = (tag, kind) if kind or tag == "O" else ("I", tag)
+        goes_on = tag in "IE" and open_span is not None and open_span["type"] == kind
+        if open_span is not None and tag in "OBS":
             out.append(open_span)
             open_span = None
-        if label == "O" or not kind:
-            continue
         if goes_on:
             open_span["end"] = end
-        else:
+        elif tag in ("B", "I", "E", "S"):
             open_span = {"start": start, "end": end, "type": kind}
-        if tag in "ES":
+        if tag in ("E", "S"):
             out.append(open_span)
             open_span = None
     return out + ([open_span] if open_span else [])

@@ -14,6 +14,8 @@ from spanlake.functions import text as T
 
 #: Rows of a block in the blocked cosine join: a block is one row of a few hundred kilobytes.
 BLOCK = 512
+#: Most pivots of the cosine join: a bounded model of the space.
+PIVOTS = 4096
 
 
 def _unit(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -27,7 +29,7 @@ def pivots(vectors: DataFrame, key: str, column: str, count: int) -> np.ndarray:
     return np.array([r.u for r in rows], dtype=np.float64)
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding", n_pivots: int = 16) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding", n_pivots: int | None = None) -> DataFrame:
     """All pairs i < j of cosine above ``threshold``: i, j and cosine. Exact.
 
     Each vector has its home in the cell of its nearest pivot. By the triangle inequality of angles, a partner within
@@ -36,10 +38,11 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", colu
     cell is spread over many tasks. Null vectors are left out; zero vectors have cosine 0.
     """
     spark = vectors.sparkSession
-    centres = pivots(vectors, key, column, n_pivots)
+    reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    # beyond a right angle hardly any cell is out of reach, so more cells would only mean more visits
+    centres = pivots(vectors, key, column, n_pivots or (16 if reach > math.pi / 2 else min(PIVOTS, max(16, math.isqrt(vectors.count())))))
     if not len(centres):
         return spark.createDataFrame([], f"i {vectors.schema[key].dataType.simpleString()}, j {vectors.schema[key].dataType.simpleString()}, cosine double")
-    reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     id_type = vectors.schema[key].dataType.simpleString()
 
     def place(frames):
@@ -104,6 +107,14 @@ def rouge_pairs(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
     return both.select("i", "j", F.round(rouge_l(F.col("wi"), F.col("wj")), 9).alias("rouge_l"))
 
 
+def mean_rouge(docs: DataFrame, key: str = "doc_id", sample: int = 300) -> DataFrame:
+    """Mean ROUGE-L over all pairs of the ``sample`` documents of smallest hashed key: the sample is the operator's feature."""
+    own = docs.select(F.col(key).alias("k"), "text").orderBy(F.md5(F.col("k").cast("string").cast("binary")), "k").limit(sample)
+    ids = own.agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most ``sample`` keys
+    pairs = ids.select("ks", F.explode("ks").alias("i")).select("i", F.explode(F.filter("ks", lambda x: x > F.col("i"))).alias("j"))
+    return rouge_pairs(pairs, own.withColumnRenamed("k", key), key).agg(F.round(F.avg("rouge_l"), 6).alias("mean_rouge_l"), F.count("*").alias("n_pairs"))
+
+
 def token_set_pairs(docs: DataFrame, keys: list[str], percent: int, key: str = "doc_id") -> DataFrame:
     """i, j, shared and united of all pairs i < j with equal ``keys`` (null-safe) and Jaccard above ``percent`` of their token sets.
 

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from spanlake import consts
 from spanlake.functions import text as T
-from spanlake.operators.corpus import tier
+from spanlake.operators.records import tier
 
-#: A typed entity.
-ENTITY = "struct<entity_type:string,entity_string:string,mention_index:int,disclosed:boolean,disclosure_form:string,sensitivity_tier:string>"
 NONE = "cast(array() as array<string>)"
 
 
@@ -158,16 +156,6 @@ def policy(entity_type: Column) -> Column:
     return F.when(entity_type.isin(*consts.MUST_HIDE), "must_hide").otherwise("may_disclose")
 
 
-def added_mentions(entities: DataFrame) -> DataFrame:
-    """Rows that give each string as many mentions as the text holds apart, with the first row's fields and ascending indices.
-
-    Types that share a string are pooled. ``entities``: record_id, text, entity_type, entity_string, mention_index, pos.
-    """
-    groups = entities.filter("entity_string <> ''").groupBy("record_id", "entity_string").agg(F.first("text").alias("text"), F.count("*").alias("m"), F.max("mention_index").alias("top"), F.min_by("entity_type", F.struct("pos", "entity_type")).alias("entity_type"))
-    needed = T.count_apart(F.col("text"), F.col("entity_string")) - F.col("m")
-    return groups.filter(needed > 0).select("record_id", "entity_type", "entity_string", F.explode(F.sequence(F.col("top") + 1, (F.col("top") + needed).cast("int"))).alias("mention_index"))
-
-
 def sane_predictions(predicted: Column, text: Column) -> Column:
     """Predictions of canonical types whose offsets lie in the text."""
     return F.filter(predicted, lambda p: F.coalesce(p["entity_type"].isin(*consts.TIERS) & (p["start"] >= 0) & (p["start"] < p["end"]) & (p["end"] <= F.length(text)), F.lit(False)))

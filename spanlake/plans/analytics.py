@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake import consts
 from spanlake.functions import text as T
 from spanlake.operators import corpus, measures, resolve, similarity, validation
+from spanlake.operators import records as R
 from spanlake.plans import planning
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,11 +89,13 @@ def _systems(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("a"), (F.col("n_nationkey") % 7).alias("b"))
 
 
-def _forms(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Gold spans with a form, and predictions that are cut or lacking for some records."""
-    spans = corpus.repair(_entities(s, d)).filter("start is not null")
-    gold = spans.select("record_id", "entity_type", "start", "end", F.when(F.pmod("start", F.lit(2)) == 0, "complete").otherwise("partial").alias("form"))
-    return gold, gold.filter(F.pmod("record_id", F.lit(3)) < 2).select("record_id", "entity_type", "start", (F.col("end") - 1).alias("end"))
+def _forms(s: SparkSession, d: str) -> DataFrame:
+    """Records with gold spans that have a form, and predictions that are cut or lacking for some records; both by place."""
+    held = R.repair(corpus.records(_docs(s, d)))
+    spans = F.array_sort(F.transform(F.filter("entities", lambda e: e["start"].isNotNull()), lambda e: F.struct(e["start"], e["end"], e["entity_type"], e["entity_string"], F.when(F.pmod(e["start"], F.lit(2)) == 0, "complete").otherwise("partial").alias("form"))))
+    held = held.select("record_id", spans.alias("gold"))
+    cut = F.transform("gold", lambda e: e.withField("end", e["end"] - 1))
+    return held.withColumn("pred", F.when(F.pmod("record_id", F.lit(3)) < 2, cut).otherwise(F.slice("gold", 1, 0)))
 
 
 def _offsets(s: SparkSession, d: str) -> DataFrame:
@@ -123,14 +126,23 @@ def _aliases(s: SparkSession, d: str) -> DataFrame:
     return own.groupBy("alias", made.alias("entity_type"), validation.filled_tier(F.lit(""), made).alias("tier")).agg(F.count("*").alias("n"))
 
 
+def _invariants(plan: DataFrame) -> DataFrame:
+    """Rows, ids, and whether each type, each pattern and each pair of axis values has its least number of rows."""
+    least = lambda c: plan.filter(F.col(c) != "none").groupBy(c).count().agg(F.count("*").alias(f"n_{c}"), F.min("count").alias("m"))
+    types, patterns = least("target_entity_type"), least("co_occurrence_pattern")
+    whole = plan.agg(F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_ids"), F.count_if((F.col("adjacency") == "tight") != (F.col("behavioral_frame") == "co_occurrence")).alias("n_wrong"))
+    pairs = corpus.pairwise_coverage(plan.filter("source = 'covering_array'"), list(planning.AXES)).agg(F.bool_and(F.col("seen") == F.col("possible")).alias("covers"))
+    out = whole.crossJoin(types.withColumn("floored", F.col("m") >= 50).drop("m")).crossJoin(patterns.withColumn("patterned", F.col("m") >= 3).drop("m"))  # one row each
+    return out.crossJoin(pairs)
+
+
 def queries() -> dict[str, Query]:
     e = _entities
     return {
-        "schema_validation": lambda s, d: validation.validation_errors(_raw(s, d)).select("record_index", F.size("errors").alias("n_errors")),
+        "schema_validation": lambda s, d: validation.validation_errors(_raw(s, d)).select("record_index", F.array_join("errors", "|").alias("errors")),
         "validation_categories": lambda s, d: validation.error_categories(validation.validation_errors(_raw(s, d))),
         "type_remap": _aliases,
         "identifier_policies": lambda s, d: e(s, d).groupBy("entity_type", validation.identifier_class(F.col("entity_type")).alias("identifier_class"), validation.policy(F.col("entity_type")).alias("policy")).agg(F.count("*").alias("n")),
-        "mention_additions": lambda s, d: validation.added_mentions(e(s, d)),
         "language_hints": lambda s, d: _docs(s, d).select("doc_id", validation.language_hint(F.col("text"), HINTS).alias("hint")),
         "offset_accuracy": _offsets,
         "critical_gates": _gates,
@@ -142,7 +154,7 @@ def queries() -> dict[str, Query]:
         "vendi_score": lambda s, d: similarity.vendi(_t(s, d, "embeddings")),
         "type_token_ratio": lambda s, d: measures.type_token_ratio(_docs(s, d)),
         "pattern_density": lambda s, d: measures.density(e(s, d), "lang", "entity_type", "entity_string"),
-        "match_by_form": lambda s, d: measures.match_by_field(*_forms(s, d), "form"),
+        "match_by_form": lambda s, d: measures.match_by_field(_forms(s, d), "form"),
         "spearman_rho": lambda s, d: measures.spearman(_systems(s, d)),
         "mean_delta": lambda s, d: measures.mean_delta(_systems(s, d)),
         "bootstrap_interval": lambda s, d: measures.bootstrap_kendall(_systems(s, d)),
@@ -154,7 +166,10 @@ def queries() -> dict[str, Query]:
         "voted_spans": _vote,
         "swept_spans": _sweep,
         "generation_plan": lambda s, d: planning.generation_plan(s),
-        "paired_sweep": lambda s, d: planning.paired_plan(_t(s, d, "nation").select(F.col("n_nationkey").alias("anchor_id"), F.lit("plain_text").alias("format"), F.lit("HR").alias("domain"), F.lit("easy").alias("difficulty"), F.lit("low").alias("density"))),
+        "paired_sweep": lambda s, d: planning.paired_plan(planning.anchors(s)).groupBy("sweep_axis").agg(F.count("*").alias("n"), F.countDistinct("sweep_value").alias("n_values"), F.countDistinct("anchor_id").alias("n_anchors")),
+        "anchor_strata": lambda s, d: planning.anchors(s).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("co_occurrence_pattern").alias("n_patterns"), F.count_if((F.col("adjacency") == "tight") != (F.col("co_occurrence_pattern") != "none")).alias("n_wrong")).withColumn("n_patterns", F.when(F.col("category") == "co_pattern", F.col("n_patterns")).otherwise(F.lit(0))),
+        "plan_invariants": lambda s, d: _invariants(planning.generation_plan(s)),
+        "mean_rouge_l": lambda s, d: similarity.mean_rouge(_docs(s, d), sample=60),
     }
 
 
@@ -180,18 +195,38 @@ def oracle_sql() -> dict[str, str]:
         "entity[2]": "l * (3 + 1 - foo)",
     }
     each = " UNION ALL ".join(f"SELECT '{c}' AS category, CAST(sum({x}) AS BIGINT) AS n FROM k" for c, x in cats.items())
-    total = " + ".join(f"({x})" for x in cats.values())
+    lost = ",".join(sorted(set(consts.AXIS_FIELDS) - {"domain", "adjacency"}))
+    found = [
+        ("lost = 1", "'missing_top_level_fields:behavioral_frame,target_entity_type,target_pattern_id'"),
+        ("adj = 0", "'axes_not_dict'"),
+        ("adj = 1", f"'missing_axis_fields:{lost}'"),
+        ("adj = 1", "'invalid_adjacency:near'"),
+        ("mode = 1", "'invalid_mode:other'"),
+        ("notext = 1", "'text_missing_or_not_str'"),
+        ("blank = 1", "'text_empty'"),
+        ("nolist = 1", "'entities_missing_or_not_list'"),
+        ("l * cnt = 1", "'entity_count_mismatch:declared=2,actual=3'"),
+        ("l = 1", "'entity[0]:not_dict'"),
+        ("l * foo = 1", "'entity[1]:non_canonical_type:Foo'"),
+        ("l = 1", "'entity[2]:disclosed_not_bool:1'"),
+        ("l = 1", "'entity[2]:invalid_disclosure_form:odd'"),
+        ("l = 1", "'entity[2]:invalid_sensitivity_tier:None'"),
+        ("l = 1 AND foo = 0", "'entity[2]:duplicate_mention_index:City:Rome:0'"),
+    ]
+    texts = ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in found)
     remap = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in (("SSN", "National_Identification_Number"), ("Foo", "Foo"), ("City", "City"), ("IBAN", "Account_Statements")))
     tiers = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in consts.TIERS.items())
     direct, hide = (", ".join(f"'{t}'" for t in x) for x in (consts.DIRECT, consts.MUST_HIDE))
     hints = " ".join(f"WHEN contains(lower(text), '{t}') THEN '{n}'" for n, t in HINTS)
     grams = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM tok WHERE len(w) >= {n}" for n in (1, 2, 3, 4))
     return {
-        "schema_validation": f"WITH k AS ({bad}) SELECT doc_id AS record_index, CAST({total} AS INTEGER) AS n_errors FROM k",
+        "schema_validation": f"WITH k AS ({bad}), l AS (SELECT doc_id, [{texts}] AS e FROM k) SELECT doc_id AS record_index, array_to_string(list_filter(e, lambda x: x IS NOT NULL), '|') AS errors FROM l",
         "validation_categories": f"WITH k AS ({bad}), c AS ({each}) SELECT category, n FROM c WHERE n > 0",
         "type_remap": f"WITH a AS (SELECT ['SSN', 'Ethnicity', 'Foo', 'City', 'IBAN'][doc_id % 5 + 1] AS alias FROM documents), r AS (SELECT alias, CASE alias {remap} END AS entity_type FROM a) SELECT alias, entity_type, coalesce(CASE entity_type {tiers} END, 'MEDIUM') AS tier, count(*) AS n FROM r GROUP BY ALL",
         "identifier_policies": f"WITH {_ENT} SELECT entity_type, CASE WHEN entity_type IN ({direct}) THEN 'direct' ELSE 'indirect' END AS identifier_class, CASE WHEN entity_type IN ({hide}) THEN 'must_hide' ELSE 'may_disclose' END AS policy, count(*) AS n FROM e GROUP BY ALL",
-        "mention_additions": f"WITH {_MEN}, g AS (SELECT record_id, entity_string, text, count(*) AS m, max(mention_index) AS top, arg_min(entity_type, (pos, entity_type)) AS entity_type FROM em GROUP BY record_id, entity_string, text), c AS (SELECT *, (length(text) - length(replace(text, entity_string, ''))) // length(entity_string) - m AS needed FROM g) SELECT record_id, entity_type, entity_string, CAST(unnest(range(top + 1, top + needed + 1)) AS INTEGER) AS mention_index FROM c WHERE needed > 0",
+        "paired_sweep": "SELECT 'text_format' AS sweep_axis, CAST(350 AS BIGINT) AS n, CAST(7 AS BIGINT) AS n_values, CAST(50 AS BIGINT) AS n_anchors UNION ALL SELECT 'text_domain', 360, 12, 30 UNION ALL SELECT 'difficulty_x_density', 180, 9, 20",
+        "anchor_strata": "SELECT 'stress_test' AS category, CAST(30 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_patterns, CAST(0 AS BIGINT) AS n_wrong UNION ALL SELECT 'article_9', 30, 0, 0 UNION ALL SELECT 'non_latin', 25, 0, 0 UNION ALL SELECT 'co_pattern', 15, 15, 0",
+        "plan_invariants": "SELECT CAST(5510 AS BIGINT) AS n_rows, CAST(5510 AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS n_wrong, CAST(51 AS BIGINT) AS n_target_entity_type, true AS floored, CAST(15 AS BIGINT) AS n_co_occurrence_pattern, true AS patterned, true AS covers",
         "language_hints": f"SELECT doc_id, CASE {hints} END AS hint FROM documents",
         "offset_accuracy": f"WITH {_MEN} SELECT entity_type, count(*) AS n, count(*) FILTER (len({_OCC}) > mention_index) AS aligned FROM em GROUP BY entity_type",
         "critical_gates": f"WITH {_MEN}, a AS (SELECT count(*) FILTER (len({_OCC}) > mention_index) AS aligned, count(*) AS n FROM em), z AS (SELECT count(*) FILTER (doc_id NOT IN (SELECT record_id FROM em)) AS zero, count(*) AS records FROM documents) SELECT aligned, n, zero, records, aligned = n AND zero * 1000 <= records * 5 AS pass FROM a, z",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake import consts
 from spanlake.operators import corpus, curation, measures
+from spanlake.operators import records as R
 from spanlake.plans import planning
 from spanlake.plans.registry import _ENT, _GP, _MEN, _OCC, _REP, _gold_pred
 
@@ -113,9 +114,9 @@ def queries() -> dict[str, Query]:
         "tier_recall_gap": lambda s, d: curation.recall_gaps(_tiered(s, d), "tier", "HIGH", "MEDIUM"),
         "plan_report": lambda s, d: planning.plan_report(_plan(s, d)),
         "catalog_stats": lambda s, d: planning.catalog_stats(_catalog(s, d)),
-        "repair_totals": lambda s, d: curation.repair_totals(_e(s, d), corpus.repair(_e(s, d))),
+        "repair_totals": lambda s, d: R.repair_totals(corpus.records(_t(s, d, "documents"))),
         "name_triples": lambda s, d: curation.name_triples(_names(s, d)),
-        "gate_report": lambda s, d: curation.gate_report(_t(s, d, "documents").select(F.col("doc_id").alias("record_id")), _e(s, d)),
+        "gate_report": lambda s, d: curation.gate_report(corpus.records(_t(s, d, "documents"))),
         "fictional_values": _fictional,
     }
 

@@ -148,6 +148,33 @@ def paired_plan(anchors: DataFrame, key: str = "anchor_id", shares: tuple[float,
     return out.drop("__q")
 
 
+#: What anchors of each category draw from. Fixed values.
+CO_PATTERNS = [f"CO-{i:03d}" for i in range(1, 16)]
+NON_LATIN = "JA ZH_CN ZH_TW KO AR HE TH HI RU".split()
+ANCHORS = {
+    "stress_test": (30, {"difficulty": ["hard"], "length": ["very_large"], "density": ["high"], "code_switching": ["none", "light"], "language": ["EN", "FR", "DE", "ES", "JA"], "adjacency": ["loose", "tight"]}),
+    "article_9": (30, {"domain": ["healthcare", "legal", "finance", "HR", "government"], "length": ["medium", "large"], "density": ["medium", "high"], "code_switching": ["none"], "language": ["EN", "FR", "DE", "ES", "AR", "PT_BR"], "adjacency": ["loose", "tight"]}),
+    "non_latin": (25, {"length": ["small", "medium", "large"], "density": ["medium", "high"], "code_switching": ["none", "light"], "language": NON_LATIN, "adjacency": ["loose", "tight"]}),
+    "co_pattern": (15, {"difficulty": ["medium", "hard"], "length": ["small", "medium"], "density": ["medium", "high"], "code_switching": ["none"], "language": ["EN", "FR", "DE", "ES", "JA", "AR"], "adjacency": ["tight"]}),
+}
+
+
+def anchors(spark: SparkSession, seed: int = SEED) -> DataFrame:
+    """anchor_id, category, axes and co-occurrence pattern of the paired plan's hundred anchors; those of ``co_pattern`` have one pattern each."""
+    rows = [(f"{category}-{i:03d}", category, i) for category, (n, _) in ANCHORS.items() for i in range(n)]
+    out = spark.createDataFrame(rows, "anchor_id string, category string, nth int")
+    key = F.col("anchor_id")
+    for axis, values in AXES.items():
+        made = pick(key, axis, values, seed)
+        for category, (_, own) in ANCHORS.items():
+            if axis in own:
+                made = F.when(F.col("category") == category, pick(key, axis, own[axis], seed)).otherwise(made)
+        out = out.withColumn(axis, made)
+    own = F.element_at(F.array(*map(F.lit, CO_PATTERNS)), F.least(F.col("nth"), F.lit(len(CO_PATTERNS) - 1)) + 1)
+    drawn = F.when(F.col("adjacency") == "tight", pick(key, "co", CO_PATTERNS, seed)).otherwise("none")
+    return out.withColumn("co_occurrence_pattern", F.when(F.col("category") == "co_pattern", own).otherwise(drawn)).drop("nth")
+
+
 def _whole(key: Column, name: str, low: int, high: int) -> Column:
     return (F.floor(_draw(key, name) * (high - low + 1)) + low).cast("int")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake import consts
-from spanlake.operators import measures, resolve, similarity, validation
+from spanlake.operators import measures, records, resolve, similarity, validation
 from spanlake.plans import planning
 from spanlake.sources import corpus_io
 from spanlake.streaming import resume
@@ -50,15 +50,16 @@ def test_cleaning(spark):
     kinds = spark.createDataFrame([("SSN",), ("Ethnicity",), ("Foo",), ("City",)], "t string")
     assert [r.x for r in kinds.select(validation.remapped(F.col("t")).alias("x")).collect()] == ["National_Identification_Number", None, "Foo", "City"]
     rows = [("b a b", [("T", " b ", None, None, None, ""), ("T", "b", None, None, None, ""), ("U", "z", 5, False, "partial", ""), ("T", "", 0, True, "", ""), ("T", "a", None, None, None, "")])]
-    frame = spark.createDataFrame(rows, f"text string, es array<{validation.ENTITY}>")
+    frame = spark.createDataFrame(rows, f"text string, es array<{records.ENTITY}>")
     got = frame.select(validation.coerced(F.col("es"), F.col("text")).alias("x")).first().x
     assert [(e.entity_string, e.mention_index, e.disclosed, e.disclosure_form) for e in got] == [("z", 5, False, "partial"), ("b", 0, True, "complete"), ("b", 1, True, "complete"), ("a", 0, True, "complete")]
     checked = frame.select(validation.self_check(F.lit("b"), F.slice("es", 2, 2), F.lit("paired_sweep"), F.array(F.lit("q"))).alias("f")).first().f
     assert checked == ["entity_not_in_text[1]", "frozen_values_missing"]
     found = spark.range(1).select(validation.recovered(F.lit("in Rome"), F.lit(""), F.lit("Oslo| Rome;Bern")).alias("x")).first().x
     assert [(e.entity_type, e.entity_string) for e in found] == [("Full_Name", "Rome")]
-    pooled = spark.createDataFrame([(1, "x x x", "A", "x", 0, 0), (1, "x x x", "B", "x", 0, 1)], "record_id long, text string, entity_type string, entity_string string, mention_index int, pos int")
-    assert [tuple(r) for r in validation.added_mentions(pooled).collect()] == [(1, "A", "x", 1)]
+    entity = lambda t, m: (t, "x", m, True, "complete", "LOW")
+    pooled = spark.createDataFrame([(1, "x x x", [entity("A", 0), entity("B", 0)])], f"record_id long, text string, entities array<{records.ENTITY}>")
+    assert [(e.entity_type, e.mention_index) for e in pooled.select(records.added_mentions(F.col("text"), F.col("entities")).alias("e")).first().e] == [("A", 1)]
 
 
 def test_cosine_pairs(spark):
@@ -139,6 +140,11 @@ def test_resolution(spark):
     assert [(s["type"], s["start"]) for s in merged] == [("B", 0), ("C", 7)]
     near = resolve.suppressed([one(0, 10, score=0.5), one(1, 10, score=0.9), one(0, 10, "B", score=0.1)])
     assert sorted((s["type"], s["score"]) for s in near) == [("A", 0.9), ("B", 0.1)]
+    assert [(s["start"], s["end"]) for s in resolve.merged([[one(0, 5)], [one(4, 6), one(3, 9)], [one(8, 9)]])] == [(3, 9)]  # later spans must overlap the seed itself
+    assert resolve.merged([[one(0, 5), one(0, 5)]]) == []
+    whole = resolve.reconciled("Ann met Bo, Bo met Ann", [{"start": 0, "end": 3, "type": "X", "text": "Ann"}], [{"start": 8, "end": 10, "type": "P", "text": "Bo", "source": "string_match"}], [{"type": "P", "text": "Bo", "context": "Bo met Ann"}, {"type": "P", "text": "Ann", "start": 0, "end": 3}, {"type": "Q", "text": "met"}, {"type": "Z", "text": "nn"}], {("P", "ann"): 2})
+    assert [(s["start"], s["type"], s["source"]) for s in whole] == [(0, "P", "consensus_override"), (4, "Q", "consensus"), (8, "P", "string_match"), (12, "P", "consensus")]
+    assert [(s["type"], s["start"], s["end"]) for s in resolve.tagged_spans(["X", "I-X", None, "I-Y", "E-Z", "B-X"], [(0, 2), (2, 2), (2, 4), (4, 6), (6, 8), (8, 9)])] == [("X", 0, 2), ("Z", 6, 8), ("X", 8, 9)]
     tags = resolve.tagged_spans(["B-X", "E-X", "O", "S-Y", "I-Z", "I-Z", "B-X"], [(k * 2, k * 2 + 2) for k in range(7)])
     assert [(s["type"], s["start"], s["end"]) for s in tags] == [("X", 0, 4), ("Y", 6, 8), ("Z", 8, 12), ("X", 12, 14)]
     for answer in ('{"City": ["Rome"]}', '```json\n{"City": [{"text": "Rome", "context": "in Rome"}]}\n```', 'So: [{"entity_type": "City", "entity_string": "Rome"}] ok', json.dumps('{"City": "Rome"}')):
