@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake import consts
@@ -20,6 +20,26 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, made).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def with_gram_hashes(frame: DataFrame, words: str, sizes: int, name: str = "h", seed: int = 0) -> DataFrame:
+    """``frame`` with columns ``name``1 .. : the 64-bit hashes of the n-grams of a column of words, each from the hash of the gram that is a word shorter; no gram is built."""
+    out = frame.withColumn(f"{name}1", F.transform(words, lambda w: F.xxhash64(F.lit(seed), w)))
+    for n in range(2, sizes + 1):
+        left = F.greatest(F.size(words) - n + 1, F.lit(0))
+        out = out.withColumn(f"{name}{n}", F.zip_with(F.slice(f"{name}{n - 1}", F.lit(1), left), F.slice(words, F.lit(n), left), lambda h, w: F.xxhash64(h, w)))
+    return out
+
+
+def run_lengths(values: Column) -> Column:
+    """Distinct values (v) of an array of longs and how often each stands in it (c), by one sort."""
+    ordered = F.sort_array(values)
+
+    def counted(xs: Column) -> Column:
+        new = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.get(xs, i - 1)), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(new), lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(xs, s).alias("v"), (F.coalesce(F.get(starts, k + 1), F.size(xs)) - s).alias("c"))))
+
+    return F.flatten(F.flatten(F.transform(F.array(ordered), counted)))
+
+
 def occurrences(text: Column, needle: Column) -> Column:
     """0-based starts of all occurrences, overlapping ones too; none for an empty needle.
 

@@ -16,18 +16,12 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 def distinct_n(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """n, distinct and total n-grams of a corpus; counted within partitions before the shuffle.
-
-    Each size is made from the one below by appending words, without slices.
-    """
-    grams = docs.select(T.tokens(F.col("text")).alias("g1"))
-    for n in range(2, max(sizes) + 1):
-        left = F.greatest(F.size("g1") - n + 1, F.lit(0))
-        longer = F.zip_with(F.slice(f"g{n - 1}", F.lit(1), left), F.slice("g1", F.lit(n), left), lambda a, b: F.concat(a, F.lit(" "), b))
-        grams = grams.withColumn(f"g{n}", longer)
-    # what is shuffled is two 64-bit hashes of a gram, not the gram
-    hashed = lambda n: F.transform(f"g{n}", lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
-    counted = grams.select(F.explode(F.concat(*map(hashed, sizes))).alias("g")).groupBy("g.n", "g.a", "g.b").agg(F.count("*").alias("k"))
+    """n, distinct and total n-grams of a corpus, told apart by two chained 64-bit hashes; counted within partitions before the shuffle."""
+    words = docs.select(T.tokens(F.col("text")).alias("w"))
+    for seed, name in enumerate("ab"):
+        words = T.with_gram_hashes(words, "w", max(sizes), name, seed)
+    hashed = lambda n: F.zip_with(f"a{n}", f"b{n}", lambda a, b: F.struct(F.lit(n).alias("n"), a.alias("a"), b.alias("b")))
+    counted = words.select(F.explode(F.concat(*map(hashed, sizes))).alias("g")).groupBy("g.n", "g.a", "g.b").agg(F.count("*").alias("k"))
     return counted.groupBy("n").agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
 
 

@@ -167,17 +167,19 @@ def self_bleu(docs: DataFrame, order: int = 4, key: str = "doc_id") -> DataFrame
     """Mean BLEU of each document against all others: self_bleu and n_docs.
 
     The references' clipped count of an n-gram is the most any other document has, so the two highest counts of each
-    n-gram serve all documents: no pairs are made. Zero counts are smoothed to 0.1; without a common word the score is
-    0; the brevity penalty takes the closest reference length, the shorter of ties.
+    n-gram serve all documents: no pairs are made. Grams are 64-bit hashes, counted within their document's row. Zero
+    counts are smoothed to 0.1; without a common word the score is 0; the brevity penalty takes the closest reference
+    length, the shorter of ties.
     """
     words = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    sized = lambda n: F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    grams = words.select("id", F.explode(F.concat(*map(sized, range(1, order + 1)))).alias("x")).groupBy("id", "x.n", "x.g").agg(F.count("*").alias("c"))
+    hashed = T.with_gram_hashes(words, "w", order)
+    sized = lambda n: F.transform(T.run_lengths(F.col(f"h{n}")), lambda x: F.struct(F.lit(n).alias("n"), x["v"].alias("g"), x["c"].alias("c")))
+    grams = hashed.select("id", F.explode(F.concat(*map(sized, range(1, order + 1)))).alias("x")).select("id", "x.*")
     # the two highest counts of an n-gram: the highest, how many documents reach it, and the next below
     counts = grams.groupBy("n", "g", "c").agg(F.count("*").alias("docs"))
-    first = counts.groupBy("n", "g").agg(F.max(F.struct("c", "docs")).alias("top"), F.sum("docs").alias("all"))
-    second = counts.join(first, ["n", "g"]).filter("c < top.c").groupBy("n", "g").agg(F.max("c").alias("next"))
-    best = first.join(second, ["n", "g"], "left").select("n", "g", "top", F.coalesce("next", F.lit(0)).alias("next"))
+    by_count = Window.partitionBy("n", "g").orderBy(F.desc("c"))  # distinct counts of one gram
+    ranked = counts.select("n", "g", "c", "docs", F.lead("c").over(by_count).alias("next"), F.row_number().over(by_count).alias("k"))
+    best = ranked.filter("k = 1").select("n", "g", F.struct("c", "docs").alias("top"), F.coalesce("next", F.lit(0)).alias("next"))
     other = F.when((F.col("c") == F.col("top.c")) & (F.col("top.docs") == 1), F.col("next")).otherwise(F.col("top.c"))
     sums = grams.join(best, ["n", "g"]).groupBy("id", "n").agg(F.sum(F.least("c", other)).alias("hit"), F.sum("c").alias("all"))
     wide = sums.groupBy("id").pivot("n", list(range(1, order + 1))).agg(F.first("hit").alias("hit"), F.first("all").alias("all"))
