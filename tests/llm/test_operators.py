@@ -252,4 +252,5 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in queries.queries()} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in queries.queries()} >= {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert set(queries.oracle_sql()) <= set(queries.queries())
