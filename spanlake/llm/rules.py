@@ -11,7 +11,7 @@ and the smaller one wins. One reweighting step follows. Scatters carry the facto
 consistent for normal rows, and ``FLOOR`` is added to their diagonals, without which groups whose
 rows mostly agree in a coordinate would be singular; the determinants compared include it.
 
-A step is one aggregation with map-side combining. Rows are summed by bins of distance (0.3 % wide),
+A step is one aggregation with map-side combining. Rows are summed by bins of distance (1 % wide),
 bins are taken from the nearest on until they hold exactly the core's number of rows, and the bin
 that exceeds it counts in part: memory is bounded for any group and rows' order has no influence.
 A text's distance is the mean of those under its group's estimate, its language's and that of all
@@ -43,7 +43,7 @@ LEAST = 50
 #: Estimates (about 400 bytes each at most) that are broadcast.
 GROUPS = 100_000
 #: Bins of an octave of squared distance, and bins of a unit of a coordinate.
-OCTAVE, UNIT = 256, 1024
+OCTAVE, UNIT = 64, 1024
 SPACE = " \t\n\x0b\f\r"
 DIM = ("x0", "x1", "x2", "x3")
 _LOWER = [(i, j) for i in range(len(DIM)) for j in range(i + 1)]
