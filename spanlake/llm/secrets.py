@@ -1,11 +1,11 @@
 """Secret scans through a trigram inverted index, in DataFrame and SQL functions alone.
 
-Each rule's regular expression yields a Boolean trigram query. The index has, for every trigram that
-some query names, its posting lists: the sorted numbers of the rows that hold it, in blocks of about
-``BLOCK`` rows, so that no list grows with a hot trigram. Texts are read once for it. A query is
-answered block by block: AND intersects posting lists, OR unites them. The rows found are the rule's
-candidates; these, joined to their texts, are verified by the expression. Rules without mandatory
-trigrams scan every text.
+Each rule's regular expression yields a Boolean trigram query, of whose conjunctions the two rarest
+trigrams by their letters are kept. The index has, for every trigram that some query names, its
+posting lists: the sorted numbers of the rows that hold it, in blocks of about ``BLOCK`` rows, so that
+no list grows with a hot trigram. Texts are read once for it. A query is answered block by block: AND
+intersects posting lists, OR unites them. The rows found are the rule's candidates; these, joined to
+their texts, are verified by the expression. Rules without mandatory trigrams scan every text.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, carry: list[str
     """
     own = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit("")
     held = docs.select(whole_row(docs, carry), text_or_empty().alias("text"), numbered(text_or_empty(), own).alias("number"))
-    queries = {k: q for k, r in enumerate(rules) if (q := T.derive(r.pattern)) is not True}
+    queries = {k: T.thinned(q) for k, r in enumerate(rules) if (q := T.derive(r.pattern)) is not True}
     if queries:
         lists = index(held.select("number", "text"), sorted(set().union(*map(T.trigrams, queries.values()))))
         held = held.join(stage(candidates(lists, queries), "candidates"), "number", "left")
