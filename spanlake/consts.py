@@ -39,6 +39,48 @@ SPOKEN_LABELS = {
     "gender": "Gender",
     "nationality": "Nationality",
 }
+#: Categories of types. Fixed values.
+CATEGORIES = {
+    "Name Family": "Full_Name First_Given_Name Last_Family_Name Preferred_Name Business_Title".split(),
+    "Contact Information": "Address_Work Address_Personal Telephone_Numbers_Work Telephone_Numbers_Personal Work_Email_Address Personal_Email_Address".split(),
+    "Demographic and Identity": "Date_of_Birth Age Place_of_Birth Gender Marital_Status Nationality Citizenship_Status Sex_Orientation Religion Political_Party".split(),
+    "Geographic": "Country_of_Residence State City Location Geolocation_Data".split(),
+    "Government IDs": "National_Identification_Number Passport_Number Driving_License_Number Tax_Reference_Number".split(),
+    "Financial": "Compensation_and_Salary Credit_Card_Numbers Customer_Reference_Number Account_Statements".split(),
+    "Employment and Organization": "Employee_ID_Number Building_Badge_Card_Number Performance_Assessment Disciplinary_Action Sickness_Day_Records Professional_Background Org_Name".split(),
+    "Sensitive Compliance": "Crime PEP_Status Trade_Union_Membership".split(),
+    "Health": "Allergy_Information Medical_Information".split(),
+    "Digital and Other": "Social_Media_Identifiers Static_IP_Address Password Date_Time Emergency_Contact_Details".split(),
+}
+#: What hints at a pattern's language, in order. Fixed values.
+LANGUAGE_TOKENS = {
+    "EN": ("english", "western canonical", "us standard"),
+    "FR": ("french", "français", "canadian french"),
+    "DE": ("german", "deutsch"),
+    "IT": ("italian", "italiano"),
+    "ES": ("spanish", "español"),
+    "PT": ("portuguese", "brazilian", "português"),
+    "JA": ("japanese", "japan", "kanji", "hiragana", "katakana", "tokyo", "yamada"),
+    "ZH": ("chinese", "hanzi", "pinyin", "traditional chinese", "simplified chinese"),
+    "KO": ("korean", "hangul"),
+    "AR": ("arabic", "ibn", "bint", "kunya", "nasab"),
+    "HE": ("hebrew",),
+    "TH": ("thai", "buddhist era"),
+    "RU": ("russian", "cyrillic", "patronymic"),
+    "TR": ("turkish",),
+    "PL": ("polish",),
+    "NL": ("dutch",),
+    "CS": ("czech",),
+    "HU": ("hungarian",),
+    "SV": ("swedish",),
+    "FI": ("finnish",),
+    "NO": ("norwegian",),
+    "DA": ("danish",),
+    "EL": ("greek",),
+    "HI": ("hindi", "devanagari"),
+    "VI": ("vietnamese",),
+    "IS": ("icelandic",),
+}
 #: Languages by priority. Fixed values.
 LANGUAGE_TIERS = {
     "P1": ("EN", "FR", "DE", "IT", "ES", "PT_BR"),

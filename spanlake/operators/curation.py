@@ -138,6 +138,23 @@ def record_summary(text: Column, entities: Column, fields: dict[str, Column], wi
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], body.alias("text"), own.alias("annotated_entities")), {"ignoreNullFields": "false"})
 
 
+def config_hash(frame: DataFrame, without: tuple[str, ...] = ("record_id",)) -> Column:
+    """SHA-256 of a row's other columns as JSON, by name, so that it doesn't depend on their order; nulls count."""
+    return F.sha2(F.to_json(F.struct(*sorted(c for c in frame.columns if c not in without)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def drop_details(reasons: DataFrame, key: str = "record_id", most: int = 200) -> DataFrame:
+    """The first ``most`` dropped records by key, with their reasons (an array); each task passes on at most ``most``."""
+    return reasons.filter(F.size("reasons") > 0).orderBy(key).limit(most)
+
+
+def anchor_completeness(plan: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """sweep_axis, anchors and how many of them have all variants that the sweep makes."""
+    each = plan.groupBy("sweep_axis", "anchor_id").agg(F.countDistinct("sweep_value").alias("n"))
+    wanted = lookup({k: str(v) for k, v in sizes.items()}, F.col("sweep_axis")).cast("int")
+    return each.groupBy("sweep_axis").agg(F.count("*").alias("anchors"), F.count_if(F.col("n") == wanted).alias("whole"))
+
+
 def run_multiplicity(frame: DataFrame, key: str, wanted: int = 3) -> DataFrame:
     """Keys that don't have exactly ``wanted`` rows, and how many they have."""
     return frame.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") != wanted)

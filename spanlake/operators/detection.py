@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake import consts
+from spanlake.functions import text as T
 
 MODES = ("exact", "partial", "fuzzy")
 
@@ -87,3 +88,12 @@ def response_texts(raw: DataFrame, column: str, key: str) -> DataFrame:
     typed = "coalesce(try_variant_get(b, '$.type', 'string') = 'text', false)"
     shapes = [first("$.output.message.content", has), string("$.output.message.content"), string("$.choices[0].message.content"), first("$.choices[0].message.content", typed), f"nullif({string('$.choices[0].text')}, '')", string("$.content"), first("$.content", f"({typed} or {has})"), string("$.text")]
     return held.select(key, F.expr(f"case when v is null then r when schema_of_variant(v) like 'OBJECT<%' then coalesce({', '.join(shapes)}) end").alias("content"))
+
+
+def answered_spans(raw: Column, text: Column) -> Column:
+    """Spans of every occurrence, overlapping ones too, of the entities in the outermost braces of a model's answer; each (start, end, type) once."""
+    made = F.from_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0), "entities array<struct<entity_type:string,entity_string:string>>")["entities"]
+    told = F.filter(F.coalesce(made, F.array().cast("array<struct<entity_type:string,entity_string:string>>")), lambda e: (F.coalesce(e["entity_type"], F.lit("")) != "") & (F.coalesce(e["entity_string"], F.lit("")) != ""))
+    body = F.coalesce(text, F.lit(""))
+    each = F.transform(told, lambda e: F.transform(T.occurrences(body, e["entity_string"]), lambda at: F.struct(e["entity_type"], e["entity_string"], at.alias("start"), (at + F.length(e["entity_string"])).alias("end"))))
+    return F.array_distinct(F.flatten(each))

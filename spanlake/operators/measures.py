@@ -125,6 +125,20 @@ def type_token_ratio(docs: DataFrame) -> DataFrame:
     return words.agg(F.round(F.try_divide(F.count("*").cast("double"), n), 9).alias("ttr"), F.round(F.try_divide(1e4 * (F.sum(F.col("c") * F.col("c")) - n), n.cast("double") * n), 6).alias("yule_k"), n.alias("n_words"))
 
 
+def vocabulary_overlap(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Distinct words of two corpora, those in both, and their Jaccard similarity."""
+    words = lambda d, k: d.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w")).distinct().withColumn(k, F.lit(1))
+    both = words(one, "a").join(words(two, "b"), "w", "full")
+    shared = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return both.agg(F.count("a").alias("n_one"), F.count("b").alias("n_two"), shared.alias("n_shared"), F.round(F.coalesce(F.try_divide(shared.cast("double"), F.count("*")), F.lit(1.0)), 9).alias("jaccard"))
+
+
+def record_ttr(docs: DataFrame, key: str) -> DataFrame:
+    """``key`` and ttr: distinct words over words of each record; null without words."""
+    words = T.tokens(F.coalesce("text", F.lit("")))
+    return docs.select(key, words.alias("w")).select(key, F.round(F.try_divide(F.size(F.array_distinct("w")).cast("double"), F.size("w")), 9).alias("ttr"))
+
+
 def density(entities: DataFrame, language: str, kind: str, pattern: str) -> DataFrame:
     """Distinct patterns summed over types, and types, of each language."""
     each = entities.groupBy(language, kind).agg(F.countDistinct(pattern).alias("p"))

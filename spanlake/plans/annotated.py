@@ -16,6 +16,7 @@ from spanlake.functions import text as T
 from spanlake.operators import corpus, curation, detection, measures, resolve, validation
 from spanlake.operators import records as R
 from spanlake.plans import planning
+from spanlake.plans.analytics import _TOKS
 from spanlake.plans.registry import _ENT, _OCC, _REP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +234,18 @@ def _reconciled(s: SparkSession, d: str) -> DataFrame:
     return held.select("record_id", F.explode(resolve.per_record(work, F.col("text"), F.col("e"))).alias("x")).select("record_id", "x.start", "x.end", "x.type", "x.source")
 
 
+def _answered(s: SparkSession, d: str) -> DataFrame:
+    """Places of the strings that an answer made from each document names."""
+    raw = F.format_string('Here: {"entities": [{"entity_type": "City", "entity_string": "%s"}, {"entity_type": "City", "entity_string": "%s"}, {"entity_type": "", "entity_string": "x"}]} done', F.lit("an"), F.when(F.col("doc_id") % 2 == 0, "ana").otherwise("an"))
+    own = _t(s, d, "documents").select("doc_id", F.explode(detection.answered_spans(raw, F.col("text"))).alias("x"))
+    return own.groupBy("doc_id", "x.entity_string").agg(F.count("*").alias("n"), F.min("x.start").alias("first"), F.sum("x.end").alias("total"))
+
+
+def _dropped(s: SparkSession, d: str) -> DataFrame:
+    reasons = corpus.filter_reasons(F.when(F.col("record_id") % 13 == 0, "json_error").otherwise("ok"), F.col("text"), F.col("entities"))
+    return curation.drop_details(dirty(s, d).select("record_id", reasons.alias("reasons")), most=50).select("record_id", F.array_join("reasons", "|").alias("reasons"))
+
+
 def queries() -> dict[str, Query]:
     axes = list(AXES)
     docs = lambda s, d: _t(s, d, "documents").select("doc_id", "lang")
@@ -271,6 +284,12 @@ def queries() -> dict[str, Query]:
         "short_strata": lambda s, d: measures.short_strata(_t(s, d, "documents"), "source", 60),
         "kappa_matrix": lambda s, d: measures.kappa_matrix(scored(s, d)),
         "record_verdicts": lambda s, d: measures.record_verdicts(scored(s, d), WEIGHTS),
+        "answered_spans": _answered,
+        "drop_details": _dropped,
+        "anchor_completeness": lambda s, d: curation.anchor_completeness(planning.paired_plan(planning.anchors(s)), {"text_format": 7, "text_domain": 12, "difficulty_x_density": 9}),
+        "vocabulary_overlap": lambda s, d: measures.vocabulary_overlap(_t(s, d, "documents").filter("lang = 'en'"), _t(s, d, "documents").filter("lang <> 'en'")),
+        "record_ttr": lambda s, d: measures.record_ttr(_t(s, d, "documents"), "doc_id"),
+        "config_hashes": lambda s, d: _t(s, d, "part").select("p_partkey", curation.config_hash(_t(s, d, "part").select("p_partkey", "p_brand", "p_name"), ("p_partkey",)).alias("config_id")),
         "merged_spans": _merged,
         "reconciled_spans": _reconciled,
     }
@@ -386,5 +405,11 @@ def oracle_sql() -> dict[str, str]:
         "short_strata": "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) < 60",
         "kappa_matrix": f"WITH {scores}, b AS (SELECT record_id, judge, dim, {bin_} AS b FROM sc WHERE score IS NOT NULL), p AS (SELECT x.judge AS judge_x, y.judge AS judge_y, x.dim, x.b AS x, y.b AS y FROM b x JOIN b y ON x.record_id = y.record_id AND x.dim = y.dim AND x.judge < y.judge), o AS (SELECT judge_x, judge_y, dim, count(*) AS n, count(*) FILTER (x = y) / count(*) AS po, (count(*) FILTER (x = 0) / count(*)) * (count(*) FILTER (y = 0) / count(*)) + (count(*) FILTER (x = 1) / count(*)) * (count(*) FILTER (y = 1) / count(*)) + (count(*) FILTER (x = 2) / count(*)) * (count(*) FILTER (y = 2) / count(*)) AS pe FROM p GROUP BY ALL) SELECT judge_x, judge_y, dim, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 9) AS kappa, n FROM o",
         "record_verdicts": f"WITH {scores}, m AS (SELECT record_id, dim, avg(score) AS m, CASE dim {weight} END AS w FROM sc WHERE score IS NOT NULL GROUP BY record_id, dim), v AS (SELECT record_id, round(sum(w * m) / sum(w), 9) AS weighted FROM m GROUP BY record_id) SELECT *, CASE WHEN weighted >= 8.5 THEN 'EXCELLENT' WHEN weighted >= 7 THEN 'GOOD' WHEN weighted >= 5.5 THEN 'ACCEPTABLE' WHEN weighted >= 3.5 THEN 'POOR' ELSE 'FAIL' END AS verdict FROM v",
+        "answered_spans": "WITH k AS (SELECT doc_id, text, unnest(CASE WHEN doc_id % 2 = 0 THEN ['an', 'ana'] ELSE ['an'] END) AS entity_string FROM documents), o AS (SELECT doc_id, entity_string, unnest(list_filter(range(1, length(text) - length(entity_string) + 2), lambda i: substring(text, i, length(entity_string)) = entity_string)) AS i FROM k) SELECT doc_id, entity_string, count(*) AS n, CAST(min(i) - 1 AS INTEGER) AS first, CAST(sum(i - 1 + length(entity_string)) AS BIGINT) AS total FROM o GROUP BY doc_id, entity_string",
+        "drop_details": f"WITH {dirty_}, b AS (SELECT record_id, arg_min(CASE WHEN coalesce(sensitivity_tier, '') NOT IN ('HIGH', 'MEDIUM', 'LOW') THEN 'F3_invalid_sensitivity' WHEN entity_type NOT IN ({canonical}) THEN 'F4_non_canonical_type' ELSE 'F5_invalid_form' END, pos) AS x FROM ent WHERE coalesce(sensitivity_tier, '') NOT IN ('HIGH', 'MEDIUM', 'LOW') OR entity_type NOT IN ({canonical}) OR disclosure_form NOT IN ('complete', 'partial', 'obfuscated') GROUP BY record_id), r AS (SELECT d.record_id, concat_ws('|', CASE WHEN d.record_id % 13 = 0 THEN 'F1_json_error' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'F2_empty_text' ELSE x END) AS reasons FROM d LEFT JOIN b USING (record_id)) SELECT record_id, reasons FROM r WHERE reasons <> '' ORDER BY record_id LIMIT 50",
+        "anchor_completeness": "SELECT 'text_format' AS sweep_axis, CAST(50 AS BIGINT) AS anchors, CAST(50 AS BIGINT) AS whole UNION ALL SELECT 'text_domain', 30, 30 UNION ALL SELECT 'difficulty_x_density', 20, 20",
+        "vocabulary_overlap": f"WITH a AS (SELECT DISTINCT unnest({_TOKS}) AS w FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT unnest({_TOKS}) AS w FROM documents WHERE lang <> 'en'), n AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y, (SELECT count(*) FROM a JOIN b USING (w)) AS z) SELECT x AS n_one, y AS n_two, z AS n_shared, round(z / CAST(x + y - z AS DOUBLE), 9) AS jaccard FROM n",
+        "record_ttr": f"SELECT doc_id, round(len(list_distinct(w)) / nullif(CAST(len(w) AS DOUBLE), 0), 9) AS ttr FROM (SELECT doc_id, {_TOKS} AS w FROM documents)",
+        "config_hashes": "SELECT p_partkey, sha256(concat('{\"p_brand\":\"', p_brand, '\",\"p_name\":\"', p_name, '\"}')) AS config_id FROM part",
         "merged_spans": f'WITH {_REP}, own AS (SELECT record_id, entity_type, start, start + length(entity_string) AS e FROM rep) SELECT record_id, start, CAST(e AS INTEGER) AS "end", entity_type AS type FROM own',
     }

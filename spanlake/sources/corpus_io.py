@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-ENTITY = "struct<entity_type:string,entity_string:string,mention_index:int,disclosed:boolean,disclosure_form:string,sensitivity_tier:string>"
+from spanlake import consts
+from spanlake.operators import records, validation
+
 AXES = "struct<domain:string,format:string,difficulty:string,length:string,density:string,code_switching:string,language:string,adjacency:string,co_occurrence_pattern:string>"
-RECORD = f"record_id bigint, mode string, axes {AXES}, target_entity_type string, target_pattern_id string, behavioral_frame string, text string, entities array<{ENTITY}>, entity_count int, generation_status string"
+RECORD = f"record_id bigint, mode string, axes {AXES}, target_entity_type string, target_pattern_id string, behavioral_frame string, text string, entities array<{records.ENTITY}>, entity_count int, generation_status string"
 
 
 def _schema(ddl: str) -> StructType:
@@ -58,22 +60,47 @@ def split_examples(cell):
     return F.filter(F.transform(F.aggregate(chars, start, step, lambda a: a["parts"]), lambda c: F.trim(c)), lambda p: p != "")
 
 
+def _catalog_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, at, line, head (the section's title) and part (``head`` or ``sweep``) of the lines of a catalog's sections."""
+    whole = spark.read.text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    head, sweep = F.rlike("line", F.lit(r"^## Entity [0-9]+: \w+")), F.contains("line", F.lit("### Cross-Cutting")) | F.contains("line", F.lit("Cross-Cutting Consistency Sweep"))
+    upto = Window.partitionBy("file").orderBy("at")  # a catalog has a few thousand lines
+    marked = lines.withColumn("head", F.last(F.when(head, F.col("line")), ignorenulls=True).over(upto))
+    return marked.withColumn("part", F.last(F.when(head, "head").when(sweep, "sweep"), ignorenulls=True).over(upto)).filter("head is not null")
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """The table rows among lines, with their cells c."""
+    row = F.rlike(F.trim("line"), F.lit(r"^\|.*\|$"))
+    return lines.filter(row).withColumn("c", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|", -1), lambda c: F.trim(c)))
+
+
 def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Patterns of Markdown catalogs: entity_number, entity_type, pattern_id, name, description, examples_raw and examples.
+    """Patterns of Markdown catalogs: entity_number, entity_type, entity_category, pattern_id, name, description, examples_raw, examples, language_hint, dimensions and declared.
 
-    Sections start with ``## Entity <n>: <type>``; rows are table lines whose first cell is a pattern id.
+    Sections start with ``## Entity <n>: <type>``; patterns are table rows whose first cell is a pattern id. The rows of
+    a section's sweep table (dimension, status, pattern ids) give its patterns their dimensions where the status is
+    positive; ``declared`` is the number of patterns that the section claims.
     """
-    whole = spark.read.text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    head = F.rlike("line", F.lit(r"^## Entity [0-9]+: \w+"))
-    upto = Window.partitionBy("file").orderBy("at")
-    titled = lines.withColumn("head", F.last(F.when(head, F.col("line")), ignorenulls=True).over(upto)).filter("head is not null")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
-    rows = titled.filter(F.rlike(F.trim("line"), F.lit(r"^\|.*\|$"))).select("file", "at", "head", cells.alias("c"))
-    rows = rows.filter((F.size("c") >= 4) & F.rlike(F.get("c", F.lit(0)), F.lit(r"^[A-Z]{2,6}-[0-9]{3}$")))
-    number = F.regexp_extract("head", r"^## Entity ([0-9]+): (\w+)", 1).cast("int")
-    kind = F.regexp_extract("head", r"^## Entity ([0-9]+): (\w+)", 2)
-    return rows.select(number.alias("entity_number"), kind.alias("entity_type"), *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("pattern_id", "name", "description", "examples_raw"))], split_examples(F.get("c", F.lit(3))).alias("examples"))
+    lines = _catalog_lines(spark, paths)
+    rows = _cells(lines.filter("part = 'head'")).filter((F.size("c") >= 4) & F.rlike(F.get("c", F.lit(0)), F.lit(r"^[A-Z]{2,6}-[0-9]{3}$")))
+    cell = lambda i: F.get("c", F.lit(i))
+    positive = F.contains(cell(1), F.lit("✓")) | F.lower(cell(1)).isin("yes", "true")
+    title = F.lower(cell(0)).startswith("cross-cutting") | F.lower(cell(0)).startswith("dimension")
+    swept = _cells(lines.filter("part = 'sweep'")).filter((F.size("c") >= 3) & positive & ~title)
+    swept = swept.select("file", "head", "at", cell(0).alias("dimension"), F.explode(F.regexp_extract_all(cell(2), F.lit("[A-Z]{2,6}-[0-9]{3}"), F.lit(0))).alias("pattern_id"))
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "dimension"))), lambda x: x["dimension"]))
+    swept = swept.groupBy("file", "head", "pattern_id").agg(listed.alias("dimensions"))
+    claimed = F.regexp_extract("line", r"\*\*Total patterns for [^:]+:\s*([0-9]+)\*\*", 1)
+    declared = lines.filter(claimed != "").groupBy("file", "head").agg(F.min_by(claimed, "at").cast("int").alias("declared"))
+    number, kind = (F.regexp_extract("head", r"^## Entity ([0-9]+): (\w+)", k) for k in (1, 2))
+    category = F.create_map(*[F.lit(x) for c, own in consts.CATEGORIES.items() for t in own for x in (t, c)])
+    tokens = [(language, token) for language, own in consts.LANGUAGE_TOKENS.items() for token in own]
+    out = rows.select("file", "head", "at", number.cast("int").alias("entity_number"), kind.alias("entity_type"), *[cell(i).alias(n) for i, n in enumerate(("pattern_id", "name", "description", "examples_raw"))], split_examples(cell(3)).alias("examples"))
+    out = out.withColumn("entity_category", F.coalesce(F.try_element_at(category, F.col("entity_type")), F.lit("Unknown"))).withColumn("language_hint", validation.language_hint(F.concat_ws(" ", "name", "description"), tokens))
+    out = out.join(swept, ["file", "head", "pattern_id"], "left").join(declared, ["file", "head"], "left")
+    return out.select("entity_number", "entity_type", "entity_category", "pattern_id", "name", "description", "examples_raw", "examples", "language_hint", F.coalesce("dimensions", F.expr("cast(array() as array<string>)")).alias("dimensions"), "declared")
 
 
 def write_corpus(frame: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:

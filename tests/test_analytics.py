@@ -197,6 +197,29 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.md").write_text('# T\n## Entity 3: City\n| ID | P | D | E |\n|---|---|---|---|\n| CI-001 | name | words | Rome, Bern (a, b), "x, y" |\n')
     row = corpus_io.read_catalog(spark, str(tmp_path / "c.md")).first()
     assert (row.entity_number, row.entity_type, row.pattern_id, row.examples) == (3, "City", "CI-001", ["Rome", "Bern (a, b)", '"x, y"'])
+    assert (row.entity_category, row.language_hint, row.dimensions, row.declared) == ("Geographic", None, [], None)
+    (tmp_path / "d.md").write_text("## Entity 1: Password\n### Natural Patterns\n| ID | P | D | E |\n|---|---|---|---|\n| PW-001 | German word | x | a |\n| PW-002 | y | kanji | b |\n**Total patterns for Password: 3**\n### Cross-Cutting Consistency Sweep\n| Dimension | S | IDs |\n|---|---|---|\n| Masked | ✓ | PW-002, PW-001 |\n| Nested | ✗ | PW-001 |\n| Old | yes | PW-002 |\n## Entity 2: Foo\n| FO-001 | a | b | c |\n")
+    got = {r.pattern_id: (r.entity_category, r.language_hint, r.dimensions, r.declared) for r in corpus_io.read_catalog(spark, str(tmp_path / "d.md")).collect()}
+    assert got == {"PW-001": ("Digital and Other", "DE", ["Masked"], 3), "PW-002": ("Digital and Other", "JA", ["Masked", "Old"], 3), "FO-001": ("Unknown", None, [], None)}
+    corpus_io.write_report(array.groupBy().count(), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first()["count"] == 2
+    raw = corpus_io.raw_lines(spark, str(tmp_path / "l.jsonl"))
+    assert [r.raw[:13] for r in raw.orderBy("record_index").collect()] == [json.dumps(good())[:13], '{"record_id":'] and raw.select("record_index").distinct().count() == 2
+
+
+def test_stream_windows(spark, tmp_path):
+    source = tmp_path / "events"
+    source.mkdir()
+    rows = [("a", "2024-01-01 00:10:00", "x"), ("a", "2024-01-01 00:20:00", "x"), ("b", "2024-01-01 01:10:00", "y")]
+    (source / "1.json").write_text("\n".join(json.dumps({"k": k, "at": t, "g": g}) for k, t, g in rows))
+    lines = spark.readStream.schema("k string, at timestamp, g string").json(str(source))
+
+    def run(frame, name, mode):
+        frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.k for r in run(resume.distinct_records(lines, "k", "at"), "once", "append")) == ["a", "b"]
+    assert sorted((str(r.start)[11:16], r.g, r.n) for r in run(resume.windowed_counts(lines, "at", "g"), "counts", "complete")) == [("00:00", "x", 2), ("01:00", "y", 1)]
 
 
 def test_stream_resumes(spark, tmp_path):
