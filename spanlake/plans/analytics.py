@@ -52,7 +52,8 @@ def _by_record(s: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(frame: DataFrame, made) -> DataFrame:
-    return frame.select("record_id", F.explode(made).alias("x")).select("record_id", "x.start", "x.end", "x.type", "x.source", "x.agreement")
+    each = frame.select("record_id", F.explode(made).alias("x"))
+    return each.select("record_id", "x.start", "x.end", "x.type", "x.source", F.coalesce("x.agreement", F.lit(-1)).alias("agreement"))
 
 
 def _wanted(es: list[dict]) -> list[tuple[str, str]]:
@@ -173,8 +174,28 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _greedy_sql(ent: str, every: bool, some: str = "true") -> str:
+    """Greedy placing as a recursion over each record's queue, longest strings first: places that stand free and are not yet claimed."""
+    letter = "[\\p{L}\\p{N}]"
+    near = lambda c, beyond: f"(regexp_full_match({c}, '{letter}|@') OR ({c} = '.' AND regexp_full_match({beyond}, '{letter}')))"
+    char = lambda at: f"CASE WHEN {at} > 0 THEN substring(text, {at}, 1) ELSE '' END"
+    size = "length(q[k + 1].v)"
+    free = f"substring(text, i, {size}) = q[k + 1].v AND NOT {near(char('i - 1'), char('i - 2'))} AND NOT {near(char(f'i + {size}'), char(f'i + {size} + 1'))} AND len(list_filter(c, lambda x: x.s < i + {size} AND i < x.e)) = 0"
+    took = f"list_transform(list_filter(range(1, length(text) - {size} + 2), lambda i: {free}){'' if every else '[1:1]'}, lambda i: {{'s': i, 'e': i + {size}, 't': q[k + 1].t}})"
+    wanted = f"SELECT record_id, text, entity_type, entity_string, min(o) AS o FROM w WHERE {some} GROUP BY ALL" if every else f"SELECT * FROM w WHERE {some}"
+    return (
+        f"WITH RECURSIVE {ent}, w AS (SELECT record_id, text, entity_type, entity_string, row_number() OVER (PARTITION BY record_id ORDER BY entity_type, pos, entity_string) AS o FROM e), u AS ({wanted}), "
+        "qs AS (SELECT record_id, text, list({'t': entity_type, 'v': entity_string} ORDER BY length(entity_string) DESC, o) AS q FROM u GROUP BY record_id, text), "
+        f"st AS (SELECT record_id, text, q, 0 AS k, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR)[]) AS c FROM qs UNION ALL SELECT record_id, text, q, k + 1, list_concat(c, {took}) FROM st WHERE k < len(q)), "
+        "f AS (SELECT record_id, unnest(c) AS x FROM st WHERE k = len(q)) SELECT record_id, CAST(x.s - 1 AS INTEGER) AS start, CAST(x.e - 1 AS INTEGER) AS \"end\", x.t AS type, 'greedy' AS source, -1 AS agreement FROM f"
+    )
+
+
 _TOKS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
 
+#: Pairs of documents by their shared distinct words.
+_PAIRS = f"s AS (SELECT doc_id, lang, source, list_distinct({_TOKS}) AS s FROM documents), x AS (SELECT doc_id, lang, source, len(s) AS n, unnest(s) AS t FROM s), p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared, a.n + b.n - count(*) AS united FROM x a JOIN x b ON a.t = b.t AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)"
+
 
 def oracle_sql() -> dict[str, str]:
     from spanlake.plans.registry import _ENT, _MEN, _OCC, _REP
@@ -227,11 +248,16 @@ def oracle_sql() -> dict[str, str]:
         "paired_sweep": "SELECT 'text_format' AS sweep_axis, CAST(350 AS BIGINT) AS n, CAST(7 AS BIGINT) AS n_values, CAST(50 AS BIGINT) AS n_anchors UNION ALL SELECT 'text_domain', 360, 12, 30 UNION ALL SELECT 'difficulty_x_density', 180, 9, 20",
         "anchor_strata": "SELECT 'stress_test' AS category, CAST(30 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_patterns, CAST(0 AS BIGINT) AS n_wrong UNION ALL SELECT 'article_9', 30, 0, 0 UNION ALL SELECT 'non_latin', 25, 0, 0 UNION ALL SELECT 'co_pattern', 15, 15, 0",
         "plan_invariants": "SELECT CAST(5510 AS BIGINT) AS n_rows, CAST(5510 AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS n_wrong, CAST(51 AS BIGINT) AS n_target_entity_type, true AS floored, CAST(15 AS BIGINT) AS n_co_occurrence_pattern, true AS patterned, true AS covers",
+        "greedy_spans": _greedy_sql(_ENT, False),
+        "all_spans": _greedy_sql(_ENT, True),
+        # the models agree where the second one, which has every other entity, places what the first one places; the third one's strings end inside words
+        "voted_spans": f"SELECT a.record_id, a.start, a.\"end\", a.type, 'span_consensus' AS source, 2 AS agreement FROM ({_greedy_sql(_ENT, False)}) a JOIN ({_greedy_sql(_ENT, False, 'o % 2 = 1')}) b USING (record_id, start, \"end\", type)",
+        "swept_spans": f"SELECT a.record_id, a.start, a.\"end\", a.type, CASE WHEN b.start IS NULL THEN 'string_match' ELSE 'greedy' END AS source, CASE WHEN b.start IS NULL THEN 2 ELSE -1 END AS agreement FROM ({_greedy_sql(_ENT, True)}) a LEFT JOIN ({_greedy_sql(_ENT, False, 'o = 1')}) b USING (record_id, start, \"end\", type)",
         "language_hints": f"SELECT doc_id, CASE {hints} END AS hint FROM documents",
         "offset_accuracy": f"WITH {_MEN} SELECT entity_type, count(*) AS n, count(*) FILTER (len({_OCC}) > mention_index) AS aligned FROM em GROUP BY entity_type",
         "critical_gates": f"WITH {_MEN}, a AS (SELECT count(*) FILTER (len({_OCC}) > mention_index) AS aligned, count(*) AS n FROM em), z AS (SELECT count(*) FILTER (doc_id NOT IN (SELECT record_id FROM em)) AS zero, count(*) AS records FROM documents) SELECT aligned, n, zero, records, aligned = n AND zero * 1000 <= records * 5 AS pass FROM a, z",
         "cosine_pairs": "WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT i, j, round(c, 6) AS cosine FROM p WHERE c > 0.35",
-        "token_set_pairs": f"WITH s AS (SELECT doc_id, lang, source, list_distinct({_TOKS}) AS s FROM documents), x AS (SELECT doc_id, lang, source, len(s) AS n, unnest(s) AS t FROM s), p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared, a.n + b.n - count(*) AS united FROM x a JOIN x b ON a.t = b.t AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n) SELECT i, j, CAST(shared AS INTEGER) AS shared, CAST(united AS INTEGER) AS united FROM p WHERE shared * 100 > united * 90",
+        "token_set_pairs": f"WITH {_PAIRS} SELECT i, j, CAST(shared AS INTEGER) AS shared, CAST(united AS INTEGER) AS united FROM p WHERE shared * 100 > united * 90",
         "self_bleu": f"WITH tok AS (SELECT doc_id, {_TOKS} AS w FROM documents), x AS ({grams}), c AS (SELECT doc_id, n, g, count(*) AS c FROM x GROUP BY ALL), b AS (SELECT n, g, max(c, 2) AS top FROM c GROUP BY n, g), h AS (SELECT doc_id, n, sum(least(c, CASE WHEN c = top[1] THEN coalesce(top[2], 0) ELSE top[1] END)) AS hit, sum(c) AS total FROM c JOIN b USING (n, g) GROUP BY doc_id, n), f AS (SELECT t.doc_id, o.n, coalesce(hit, 0) AS hit, greatest(coalesce(total, 0), 1) AS total FROM tok t CROSS JOIN (VALUES (1), (2), (3), (4)) o(n) LEFT JOIN h ON h.doc_id = t.doc_id AND h.n = o.n), l AS (SELECT doc_id, len(w) AS len FROM tok), r AS (SELECT a.doc_id, a.len, arg_min(b.len, (abs(b.len - a.len), b.len)) AS ref FROM l a JOIN l b ON a.doc_id <> b.doc_id GROUP BY a.doc_id, a.len), s AS (SELECT r.doc_id, r.len, ref, sum(ln(CASE WHEN hit > 0 THEN hit ELSE 0.1 END / total)) / 4 AS lg, max(CASE WHEN f.n = 1 THEN hit END) AS uni FROM r JOIN f USING (doc_id) GROUP BY r.doc_id, r.len, ref) SELECT round(avg(CASE WHEN len = 0 OR uni = 0 THEN 0.0 ELSE exp(lg + CASE WHEN len > ref THEN 0 ELSE 1 - ref / len END) END), 6) AS self_bleu, count(*) AS n_docs FROM s",
         "type_token_ratio": f"WITH w AS (SELECT unnest({_TOKS}) AS w FROM documents), c AS (SELECT count(*) AS c FROM w GROUP BY w) SELECT round(count(*) / sum(c), 9) AS ttr, round(1e4 * (sum(c * c) - sum(c)) / (CAST(sum(c) AS DOUBLE) * CAST(sum(c) AS DOUBLE)), 6) AS yule_k, CAST(sum(c) AS BIGINT) AS n_words FROM c",
         "pattern_density": f"WITH {_ENT}, k AS (SELECT lang, entity_type, count(DISTINCT entity_string) AS p FROM e GROUP BY lang, entity_type) SELECT lang, CAST(sum(p) AS BIGINT) AS n_patterns, count(*) AS n_types FROM k GROUP BY lang",

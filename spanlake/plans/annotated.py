@@ -411,5 +411,7 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary_overlap": f"WITH a AS (SELECT DISTINCT unnest({_TOKS}) AS w FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT unnest({_TOKS}) AS w FROM documents WHERE lang <> 'en'), n AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y, (SELECT count(*) FROM a JOIN b USING (w)) AS z) SELECT x AS n_one, y AS n_two, z AS n_shared, round(z / CAST(x + y - z AS DOUBLE), 9) AS jaccard FROM n",
         "record_ttr": f"SELECT doc_id, round(len(list_distinct(w)) / nullif(CAST(len(w) AS DOUBLE), 0), 9) AS ttr FROM (SELECT doc_id, {_TOKS} AS w FROM documents)",
         "config_hashes": "SELECT p_partkey, sha256(concat('{\"p_brand\":\"', p_brand, '\",\"p_name\":\"', p_name, '\"}')) AS config_id FROM part",
+        # the marker is the first span, two models give it its own type back, and every other span is found by its context
+        "reconciled_spans": f"WITH {_REP} SELECT record_id, start, CAST(start + length(entity_string) AS INTEGER) AS \"end\", entity_type AS type, CASE WHEN row_number() OVER (PARTITION BY record_id ORDER BY start) = 1 THEN 'consensus_override' ELSE 'consensus' END AS source FROM rep",
         "merged_spans": f'WITH {_REP}, own AS (SELECT record_id, entity_type, start, start + length(entity_string) AS e FROM rep) SELECT record_id, start, CAST(e AS INTEGER) AS "end", entity_type AS type FROM own',
     }
