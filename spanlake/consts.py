@@ -13,6 +13,10 @@ MODES = ("coverage", "paired_sweep")
 STATUSES = ("ok", "verified", "repaired", "failed")
 #: What detectors call a type. Fixed values.
 LABELS = {"PERSON": "Full_Name", "EMAIL_ADDRESS": "Work_Email_Address", "PHONE_NUMBER": "Telephone_Numbers_Personal", "CREDIT_CARD": "Credit_Card_Numbers", "IBAN_CODE": "Customer_Reference_Number", "IP_ADDRESS": "Static_IP_Address", "DATE_TIME": "Date_Time", "US_SSN": "National_Identification_Number", "US_DRIVER_LICENSE": "Driving_License_Number", "US_PASSPORT": "Passport_Number", "LOCATION": "Location", "ORGANIZATION": "Org_Name", "MEDICAL_LICENSE": "Medical_Information", "URL": "Social_Media_Identifiers", "NRP": "Nationality"}
+#: Coarse labels of the models whose answers are spans by type. Fixed values.
+COARSE_LABELS = (
+    "PERSON ORGANIZATION LOCATION CITY STATE COUNTRY ADDRESS DATE_TIME DOB AGE JOB_POSITION SALARY PASSWORD RELIGION NATIONALITY POLITICAL_PARTY CRIME SEX_ORIENTATION EMAIL PHONE SSN"
+).split()
 #: What a zero-shot span model is asked for. Fixed values.
 SPOKEN_LABELS = {
     "person name": "Full_Name",

@@ -106,17 +106,27 @@ def statistics(records: DataFrame, axes: list[str]) -> DataFrame:
     """section, name and n: counts of each axis's values, and of the entities' types, tiers, forms, disclosure and identifier classes.
 
     Null values count as '?'. ``article_9`` has the entities of those types and the records that hold one; ``overall``
-    records and entities. One scan, one aggregation. ``records`` may have direct_indirect_classification.
+    records and entities. One scan: entities are counted by their fields first, map-side, and these few counts become the
+    sections; a record's own cells ride on its first row. ``records`` may have direct_indirect_classification.
     """
-    cell = lambda section, name: F.struct(F.lit(section).alias("section"), F.coalesce(name.cast("string"), F.lit("?")).alias("name"))
-    special = F.filter("entities", lambda e: e["entity_type"].isin(*consts.ARTICLE_9))
-    cells = [F.array(*[cell(a, F.col(a)) for a in axes], cell("overall", F.lit("records")))]
-    cells.append(F.flatten(F.transform("entities", lambda e: F.array(cell("entity_type", e["entity_type"]), cell("sensitivity_tier", e["sensitivity_tier"]), cell("disclosure_form", e["disclosure_form"]), cell("disclosed", F.coalesce(e["disclosed"], F.lit(False))), cell("overall", F.lit("entities"))))))
-    cells.append(F.transform(special, lambda e: cell("article_9", F.lit("entities"))))
-    cells.append(F.when(F.size(special) > 0, F.array(cell("article_9", F.lit("records")))).otherwise(F.filter(F.array(cell("article_9", F.lit(""))), lambda x: F.lit(False))))
+    kind = "struct<section:string,name:string>"
+    cell = lambda section, name: F.struct(F.lit(section).alias("section"), F.coalesce(name.cast("string"), F.lit("?")).alias("name")).cast(kind)
+    none = F.lit(None).cast(kind)  # marks an entity's row
+    special = lambda t: F.coalesce(t.isin(*consts.ARTICLE_9), F.lit(False))
+    holds = F.exists("entities", lambda e: special(e["entity_type"]))
+    cells = [F.array(none, *[cell(a, F.col(a)) for a in axes], cell("overall", F.lit("records"))), F.when(holds, F.array(cell("article_9", F.lit("records")))).otherwise(R.empty(kind))]
     if "direct_indirect_classification" in records.columns:
         cells.append(F.transform(F.coalesce("direct_indirect_classification", R.empty(R.CLASSES)), lambda c: cell("identifier_class", c["identifier_class"])))
-    return records.select(F.explode(F.concat(*cells)).alias("c")).groupBy("c.section", "c.name").agg(F.count("*").alias("n"))
+    each = records.select(F.concat(*cells).alias("cells"), "entities").select("cells", F.posexplode_outer("entities").alias("pos", "e"))
+    rows = each.select("pos", "e", F.explode(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("cells")).otherwise(F.array(none))).alias("c"))
+    entity = F.col("c").isNull()
+    fields = [F.when(entity, F.col(f"e.{f}").cast("string")).alias(f) for f in ("entity_type", "sensitivity_tier", "disclosure_form")]
+    fields.append(F.when(entity, F.coalesce("e.disclosed", F.lit(False)).cast("string")).alias("disclosed"))
+    counted = rows.filter(~entity | F.col("pos").isNotNull()).groupBy("c", *fields).agg(F.count("*").alias("n"))
+    told = F.array(*[cell(f, F.col(f)) for f in ("entity_type", "sensitivity_tier", "disclosure_form", "disclosed")], cell("overall", F.lit("entities")))
+    told = F.concat(told, F.when(special(F.col("entity_type")), F.array(cell("article_9", F.lit("entities")))).otherwise(R.empty(kind)))
+    shown = counted.select("n", F.explode(F.when(entity, told).otherwise(F.array("c"))).alias("c"))
+    return shown.groupBy("c.section", "c.name").agg(F.sum("n").alias("n"))
 
 
 def _checked(entities: DataFrame, checkers: dict) -> tuple[Column, Column]:

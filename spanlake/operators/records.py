@@ -121,15 +121,13 @@ def multi_mention(records: DataFrame) -> DataFrame:
 def added_mentions(text: Column, entities: Column) -> Column:
     """Entities that give each string as many mentions as the text holds apart: clones of the string's first entity, of whatever type, with ascending indices."""
 
-    def lacking(s: Column) -> Column:
-        own = F.filter(entities, lambda e: e["entity_string"] == s)
-        needed = T.count_apart(F.coalesce(text, F.lit("")), s) - F.size(own)
-        first, top = F.get(own, F.lit(0)), F.coalesce(F.array_max(F.transform(own, lambda e: F.coalesce(e["mention_index"], F.lit(0)))), F.lit(0))
-        more = F.when(needed > 0, F.sequence(F.lit(1), needed.cast("int"))).otherwise(empty("int"))
-        return F.transform(more, lambda i: first.withField("mention_index", (top + i).cast("int")))
-
+    # arrays of structs, so that inner lambdas read a string's values instead of working them out for each new mention
     strings = F.filter(F.array_distinct(F.transform(entities, lambda e: e["entity_string"])), lambda s: F.length(s) > 0)
-    return F.flatten(F.transform(strings, lacking))
+    held = F.transform(strings, lambda s: F.struct(F.filter(entities, lambda e: e["entity_string"] == s).alias("own"), T.count_apart(F.coalesce(text, F.lit("")), s).alias("apart")))
+    short = F.filter(held, lambda g: g["apart"] > F.size(g["own"]))
+    top = lambda own: F.coalesce(F.array_max(F.transform(own, lambda e: F.coalesce(e["mention_index"], F.lit(0)))), F.lit(0))
+    firsts = F.transform(short, lambda g: F.struct(F.get(g["own"], F.lit(0)).alias("e"), top(g["own"]).alias("top"), (g["apart"] - F.size(g["own"])).cast("int").alias("n")))
+    return F.flatten(F.transform(firsts, lambda g: F.transform(F.sequence(F.lit(1), g["n"]), lambda i: g["e"].withField("mention_index", (g["top"] + i).cast("int")))))
 
 
 def _listed(entities: Column, held: Column, made) -> Column:
@@ -170,8 +168,9 @@ def postprocessed(records: DataFrame) -> DataFrame:
         F.filter(F.transform("__kept", lambda e: e["entity_type"]), lambda t: ~t.isin(*known)).alias("unknown_types"),
     )
     direct = lambda t: F.when(F.coalesce(t.isin(*(k for k, v in consts.TIERS.items() if v != "LOW")), F.lit(False)), "direct").otherwise("indirect")
-    classes = _listed(F.col("__all"), F.coalesce("direct_indirect_classification", empty(CLASSES)), lambda t, s: F.struct(t.alias("entity_type"), s.alias("entity_string"), direct(t).alias("identifier_class")))
-    policies = _listed(F.col("__all"), F.coalesce("disclosure_policy", empty(POLICIES)), lambda t, s: F.struct(t.alias("entity_type"), s.alias("entity_string"), F.lit("may_disclose").alias("policy")))
+    # added mentions are clones, so the strings and their first entities are those of ``__full``
+    classes = _listed(F.col("__full"), F.coalesce("direct_indirect_classification", empty(CLASSES)), lambda t, s: F.struct(t.alias("entity_type"), s.alias("entity_string"), direct(t).alias("identifier_class")))
+    policies = _listed(F.col("__full"), F.coalesce("disclosure_policy", empty(POLICIES)), lambda t, s: F.struct(t.alias("entity_type"), s.alias("entity_string"), F.lit("may_disclose").alias("policy")))
     out = held.withColumns({"direct_indirect_classification": classes, "disclosure_policy": policies, "entities": F.col("__all"), "entity_count": F.size("__all"), "sums": sums})
     return out.drop("__moved", "__kept", "__full", "__more", "__all")
 

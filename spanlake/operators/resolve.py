@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -258,12 +258,19 @@ def parse_response(content: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def listed_entities(answer: dict) -> list[dict]:
-    """type, text and context from {"entities": [...]} or from {type: [string or {text, context}]}."""
+def listed_entities(answer: dict, labels: Collection[str] | None = None) -> list[dict]:
+    """type, text and context from {"entities": [...]}, from {"entities_extracted": {type: ...}} or from {type: [string or {text, context}]}.
+
+    With ``labels`` (upper-case) the last form's types are folded to upper case, and types beyond these labels go.
+    """
+    inner = answer.get("entities_extracted")
     if isinstance(answer.get("entities"), list):
         rows = [(e.get("entity_type") or e.get("type"), e) for e in answer["entities"] if isinstance(e, dict)]
     else:
-        rows = [(t, e) for t, own in answer.items() for e in (own if isinstance(own, list) else [own])]
+        told = inner if isinstance(inner, dict) else answer
+        if labels is not None and told is answer:
+            told = {t.upper(): own for t, own in answer.items() if t.upper() in labels and isinstance(own, (list, str))}
+        rows = [(t, e) for t, own in told.items() for e in (own if isinstance(own, list) else [own])]
     out = []
     for kind, e in rows:
         value = e if isinstance(e, str) else (e.get("text") or e.get("entity_string")) if isinstance(e, dict) else None
@@ -272,9 +279,9 @@ def listed_entities(answer: dict) -> list[dict]:
     return out
 
 
-def responses_to_spans(text: str, responses: dict[str, str], least: int = 2) -> list[dict]:
+def responses_to_spans(text: str, responses: dict[str, str], least: int = 2, labels: Collection[str] | None = None) -> list[dict]:
     """The voted spans of several models' raw answers on one text."""
-    return vote([model_spans(text, listed_entities(parse_response(r))) for _, r in sorted(responses.items())], least)
+    return vote([model_spans(text, listed_entities(parse_response(r), labels)) for _, r in sorted(responses.items())], least)
 
 
 def tagged_spans(labels: list[str | None], offsets: list[tuple[int, int]]) -> list[dict]:

@@ -150,6 +150,9 @@ def test_resolution(spark):
     for answer in ('{"City": ["Rome"]}', '```json\n{"City": [{"text": "Rome", "context": "in Rome"}]}\n```', 'So: [{"entity_type": "City", "entity_string": "Rome"}] ok', json.dumps('{"City": "Rome"}')):
         assert [s["start"] for s in resolve.model_spans("to Rome in Rome", resolve.listed_entities(resolve.parse_response(answer)))] == [11 if "context" in answer else 3]
     assert resolve.parse_response("no json") == {} and resolve.parse_response(None) == {}
+    coarse = resolve.parse_response('{"city": ["Rome", {"text": "Bern", "context": "in Bern"}], "Person": "Ann", "FOO": ["x"], "AGE": {"text": "7"}}')
+    assert resolve.listed_entities(coarse, consts.COARSE_LABELS) == [{"type": "CITY", "text": "Rome", "context": None}, {"type": "CITY", "text": "Bern", "context": "in Bern"}, {"type": "PERSON", "text": "Ann", "context": None}]
+    assert [e["type"] for e in resolve.listed_entities({"entities_extracted": {"Foo": ["x"]}}, consts.COARSE_LABELS)] == ["Foo"] and len(consts.COARSE_LABELS) == 21
     assert resolve.responses_to_spans("in Rome", {"a": '{"City": ["Rome"]}', "b": '{"City": ["Rome"]}', "c": ""})[0]["agreement"] == 2
     frame = spark.createDataFrame([(1, "x y x", ["x"]), (2, "", None)], "record_id long, t string, v array<string>")
     made = frame.select(resolve.per_record(lambda t, v: resolve.greedy(t, [("A", x) for x in v or []], every=True), F.col("t"), F.col("v")).alias("s")).collect()

@@ -19,6 +19,8 @@ def test_text_functions(spark):
     assert value(spark, T.occurrences(t, s), t="aaaa", s="") == []
     assert value(spark, T.occurrences(t, s), t="a\\Eb x\\Eb", s="\\Eb") == [1, 6]
     assert value(spark, T.occurrences(t, s), t="\U0001f600é.é.", s="é.") == [1, 3] and value(spark, T.occurrences(t, s), t="ab", s="abc") == []
+    for n in (256, 257, 258, 400, 3000):
+        assert value(spark, T.occurrences(t, s), t="ba" * n, s="a") == list(range(1, 2 * n, 2)) and value(spark, T.occurrences(t, s), t="ab" * n, s="a") == list(range(0, 2 * n, 2))
     assert value(spark, T.occurrences(t, s), t=None, s="a") == [] and value(spark, T.occurrences(t, s), t="x", s="x") == [0]
     assert value(spark, T.count_apart(t, s), t="aaaa", s="aa") == 2
     assert value(spark, T.tokens(t), t="हिन्दी ok") == ["ह", "न", "द", "ok"]
