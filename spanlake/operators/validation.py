@@ -88,7 +88,8 @@ def validation_errors(raw: DataFrame, column: str = "raw", key: str = "record_in
 
 def error_categories(errors: DataFrame, top: int = 20) -> DataFrame:
     """The ``top`` most frequent error categories (what precedes the first colon); ties by name."""
-    each = errors.select(F.explode("errors").alias("e")).select(F.substring_index("e", ":", 1).alias("category"))
+    # outer: from an inner explode the optimizer infers a filter on the array, and works its expressions out again in each condition
+    each = errors.select(F.explode_outer("errors").alias("e")).filter(F.col("e").isNotNull()).select(F.substring_index("e", ":", 1).alias("category"))
     return each.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(top)
 
 
