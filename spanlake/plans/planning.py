@@ -245,16 +245,30 @@ def attach_patterns(plan: DataFrame, catalog: DataFrame, key: str = "record_id",
     """``plan`` with target_pattern_id: a hashed choice among the patterns of its type; other languages than EN and tight
     rows prefer patterns of theirs, where the type has any. Null without patterns.
 
-    ``catalog`` (pattern_id, entity_type, language_hint, dimensions) is gathered to one row a type: a few thousand patterns.
+    ``catalog`` (pattern_id, entity_type, language_hint, dimensions) is numbered within each pool (a type's patterns, those
+    of a language, the tight ones of either), so a row needs its pool's size and one join to the drawn number; only sizes
+    are broadcast.
     """
-    item = F.struct("pattern_id", F.col("language_hint").alias("hint"), F.coalesce(F.array_contains("dimensions", "Adjacency-tight"), F.lit(False)).alias("tight"))
-    pools = catalog.groupBy(F.col("entity_type").alias("target_entity_type")).agg(F.array_sort(F.collect_list(item)).alias("__all"))
-    narrow = lambda wanted, found, rest: F.when(wanted & (F.size(found) > 0), found).otherwise(rest)
-    spoken = narrow(F.col("language") != "EN", F.filter("__all", lambda p: F.coalesce(p["hint"] == F.col("language"), F.lit(False))), F.col("__all"))
-    out = plan.join(pools, "target_entity_type", "left").withColumn("__own", spoken)
-    out = out.withColumn("__own", narrow(F.col("adjacency") == "tight", F.filter("__own", lambda p: p["tight"]), F.col("__own")))
-    at = F.floor(_draw(F.col(key).cast("string"), "pattern", seed) * F.size("__own")).cast("int")
-    return out.withColumn("target_pattern_id", F.get("__own", at)["pattern_id"]).drop("__all", "__own")
+    hint, tight = F.col("language_hint"), F.coalesce(F.array_contains("dimensions", "Adjacency-tight"), F.lit(False))
+    pool = lambda when, h, t: F.when(when, F.struct(h.cast("string").alias("__hint"), F.lit(t).alias("__tight")))
+    own = F.array_compact(F.array(pool(F.lit(True), F.lit(None), False), pool(tight, F.lit(None), True), pool(hint.isNotNull(), hint, False), pool(tight & hint.isNotNull(), hint, True)))
+    kind = F.col("entity_type").alias("target_entity_type")
+    pooled = catalog.select(kind, F.col("pattern_id").alias("__id"), F.explode(own).alias("p")).select("target_entity_type", "__id", "p.*")
+    number = F.row_number().over(Window.partitionBy("target_entity_type", "__hint", "__tight").orderBy("__id")) - 1
+    numbered = pooled.select(F.col("target_entity_type").alias("__type"), "__hint", "__tight", "__id", number.alias("__at"))
+    sizes = pooled.groupBy("target_entity_type", "__hint").agg(F.count_if(~F.col("__tight")).alias("n"), F.count_if("__tight").alias("nt"))
+    whole = sizes.filter(F.col("__hint").isNull()).select("target_entity_type", F.col("n").alias("__n"), F.col("nt").alias("__nt"))
+    spoken = sizes.filter(F.col("__hint").isNotNull()).select("target_entity_type", F.col("__hint").alias("language"), F.col("n").alias("__ln"), F.col("nt").alias("__lnt"))
+    out = plan.join(F.broadcast(whole), "target_entity_type", "left").join(F.broadcast(spoken), ["target_entity_type", "language"], "left")
+    by_hint = F.coalesce((F.col("language") != "EN") & (F.col("__ln") > 0), F.lit(False))
+    tights = F.when(by_hint, F.col("__lnt")).otherwise(F.col("__nt"))
+    by_tight = F.coalesce((F.col("adjacency") == "tight") & (tights > 0), F.lit(False))
+    size = F.when(by_tight, tights).when(by_hint, F.col("__ln")).otherwise(F.col("__n"))
+    at = F.floor(_draw(F.col(key).cast("string"), "pattern", seed) * size).cast("int")
+    out = out.withColumns({"__h": F.when(by_hint, F.col("language")), "__t": by_tight, "__k": at})
+    same = (F.col("target_entity_type") == F.col("__type")) & F.col("__h").eqNullSafe(F.col("__hint")) & (F.col("__t") == F.col("__tight")) & (F.col("__k") == F.col("__at"))
+    kept = [c for c in plan.columns if c not in ("target_entity_type", "target_pattern_id")]
+    return out.join(numbered, same, "left").select("target_entity_type", *kept, F.col("__id").alias("target_pattern_id"))
 
 
 #: Pairs of axes whose coverage a plan's report shows. Fixed values.
