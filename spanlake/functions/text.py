@@ -1,9 +1,12 @@
-"""Column functions: tokens, n-grams, occurrences, format checks. All stay in the JVM."""
+"""Column functions: tokens, n-grams, occurrences, format checks. All but those of a row's many needles stay in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from spanlake import consts
 
@@ -66,6 +69,54 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(fits, F.concat(F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(none), later)).otherwise(none)
 
 
+def _starts(text: str, needle: str) -> list[int]:
+    found, at = [], text.find(needle)
+    while at >= 0:
+        found.append(at)
+        at = text.find(needle, at + 1)
+    return found
+
+
+def _count(text: str, needle: str) -> int:
+    if any(needle.startswith(needle[i:]) for i in range(1, len(needle))):  # it can overlap itself
+        return len(_starts(text, needle))
+    return text.count(needle)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def occurrence_counts(texts: pa.Array, needles: pa.Array) -> pa.Array:
+    """How often each of a row's needles (none empty) stands in its text, overlapping places too."""
+    return pa.array([[_count(t.as_py(), n) for n in ns.as_py() or []] for t, ns in zip(texts, needles)], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(n, IntegerType()) for n in ("at", "which", "nth")])))
+def merged_occurrences(texts: pa.Array, needles: pa.Array) -> pa.Array:
+    """All places of a row's needles (none empty) in its text, by start, end and needle: start, the needle's number, and how many of its places come before.
+
+    One scan for each needle and one sort a row: time is in proportion to text and places but for the sort.
+    """
+    columns: list[list[np.ndarray]] = [[], [], []]
+    ends = [0]
+    for t, ns in zip(texts, needles):
+        text, own = t.as_py(), ns.as_py() or []
+        found = [np.array(_starts(text, n), dtype=np.int32) for n in own]
+        sizes = [len(f) for f in found]
+        ends.append(ends[-1] + sum(sizes))
+        if not sum(sizes):
+            continue
+        at, which = np.concatenate(found), np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        nth = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        order = np.lexsort((which, np.repeat([len(n) for n in own], sizes), at))
+        for column, values in zip(columns, (at, which, nth)):
+            column.append(values[order])
+    flat = [pa.array(np.concatenate(c) if c else np.empty(0, np.int32), pa.int32()) for c in columns]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["at", "which", "nth"]))
+
+
+# so that no filter on what is made of them is pushed below, where they would be worked out again
+occurrence_counts, merged_occurrences = occurrence_counts.asNondeterministic(), merged_occurrences.asNondeterministic()
+
+
 def count_apart(text: Column, needle: Column) -> Column:
     """Number of non-overlapping occurrences."""
     return F.when(F.length(needle) > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))

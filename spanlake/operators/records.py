@@ -39,7 +39,9 @@ def proposed(text: Column) -> Column:
 
 def exploded(records: DataFrame, *more: str) -> DataFrame:
     """One row for each entity: record_id, ``more`` columns of the record, pos and the entity's fields."""
-    return records.select("record_id", *more, F.posexplode("entities").alias("pos", "e")).select("record_id", *more, "pos", "e.*")
+    # outer: from an inner explode the optimizer infers a filter on the array, which works its expression out a second time
+    each = records.select("record_id", *more, F.posexplode_outer("entities").alias("pos", "e")).filter(F.col("pos").isNotNull())
+    return each.select("record_id", *more, "pos", "e.*")
 
 
 def groups(entities: Column) -> Column:
@@ -51,6 +53,10 @@ def members(entities: Column, group: Column) -> Column:
     return F.filter(entities, lambda e: e["entity_type"].eqNullSafe(group["entity_type"]) & e["entity_string"].eqNullSafe(group["entity_string"]))
 
 
+def _named(entities: Column) -> Column:
+    return F.filter(groups(entities), lambda g: F.length(g["entity_string"]) > 0)
+
+
 def repaired(text: Column, entities: Column) -> Column:
     """Entities with start, end and repair_status, by place.
 
@@ -59,24 +65,28 @@ def repaired(text: Column, entities: Column) -> Column:
     entities, without offsets and last; groups without a string vanish.
     """
 
-    def placed(e: Column, index: Column, start: Column, end: Column, status: Column, group: Column, nth: Column) -> Column:
+    def placed(e: Column, index: Column, start: Column, end: Column, status: Column) -> Column:
         own = [index.alias(c) if c == "mention_index" else e[c].alias(c) for c in _OWN]
-        entity = F.struct(*own, start.alias("start"), end.alias("end"), status.alias("repair_status"))
-        return F.struct(F.coalesce(start, F.lit(2**31 - 1)).alias("s"), F.coalesce(end, F.lit(2**31 - 1)).alias("t"), group.alias("g"), nth.alias("n"), entity.alias("e"))
+        return F.struct(*own, start.alias("start"), end.alias("end"), status.alias("repair_status"))
 
-    def whole(g: Column, k: Column) -> Column:
-        size = F.length(g["e"]["entity_string"])
-        status = F.when(F.size(g["own"]) < F.size(g["at"]), "ok").otherwise("no_change")
-        found = F.transform(g["at"], lambda at, i: placed(g["e"], i, at, at + size, status, k, i))
-        none = F.lit(None).cast("int")
-        lost = F.transform(g["own"], lambda e, i: placed(e, e["mention_index"], none, none, F.lit("string_not_in_text"), k, i))
-        return F.when(F.size(g["at"]) > 0, found).otherwise(lost)
+    none = F.lit(None).cast("int")
 
-    body = F.coalesce(text, F.lit(""))
-    named = F.filter(groups(entities), lambda g: F.length(g["entity_string"]) > 0)
-    held = F.transform(named, lambda g: F.struct(members(entities, g).alias("own"), T.occurrences(body, g["entity_string"]).alias("at")))
-    held = F.transform(held, lambda h: F.struct(h["own"].alias("own"), h["at"].alias("at"), F.get(h["own"], F.lit(0)).alias("e")))
-    return F.transform(F.array_sort(F.flatten(F.transform(held, whole))), lambda x: x["e"])
+    def whole(x: Column) -> Column:
+        # one-row arrays, so that inner lambdas read the groups instead of working them out for each place
+        counts = F.transform(x["held"], lambda h, k: F.size(F.filter(x["places"], lambda p: p["which"] == k)))
+        return F.flatten(F.transform(F.array(F.zip_with(x["held"], counts, lambda h, n: F.struct(h["own"].alias("own"), h["e"].alias("e"), n.alias("n"), F.length(h["e"]["entity_string"]).alias("size"), F.when(F.size(h["own"]) < n, "ok").otherwise("no_change").alias("status")))), lambda gs: listed(x, gs)))
+
+    def listed(x: Column, gs: Column) -> Column:
+        at = lambda p: F.get(gs, p["which"])
+        found = F.transform(x["places"], lambda p: placed(at(p)["e"], p["nth"], p["at"], p["at"] + at(p)["size"], at(p)["status"]))
+        lost = F.transform(F.filter(gs, lambda g: g["n"] == 0), lambda g: F.transform(g["own"], lambda e: placed(e, e["mention_index"], none, none, F.lit("string_not_in_text"))))
+        return F.concat(found, F.flatten(lost))
+
+    named = _named(entities)
+    held = F.transform(named, lambda g: F.struct(members(entities, g).alias("own")))
+    held = F.transform(held, lambda h: F.struct(h["own"].alias("own"), F.get(h["own"], F.lit(0)).alias("e")))
+    places = T.merged_occurrences(F.coalesce(text, F.lit("")), F.transform(named, lambda g: g["entity_string"]))
+    return F.flatten(F.transform(F.array(F.struct(held.alias("held"), places.alias("places"))), whole))
 
 
 def repair(records: DataFrame) -> DataFrame:
@@ -86,12 +96,15 @@ def repair(records: DataFrame) -> DataFrame:
 
 def repair_sums(records: DataFrame) -> DataFrame:
     """Of each record: entities before and after repair, groups that grew, entities they gained, and entities left without offsets."""
-    held = records.select("record_id", "entities", repaired(F.col("text"), F.col("entities")).alias("after"))
-    size = lambda which, g: F.size(members(F.col(which), g))
-    grown = F.filter(F.transform(groups(F.col("entities")), lambda g: size("after", g) - size("entities", g)), lambda d: d > 0)
-    lost = F.size(F.filter("after", lambda e: e["start"].isNull()))
-    held = held.select("record_id", F.size("entities").alias("original_entities"), F.size("after").alias("repaired_entities"), grown.alias("grown"), lost.alias("offset_mismatches"))
-    return held.select("record_id", "original_entities", "repaired_entities", F.size("grown").alias("groups_expanded"), F.aggregate("grown", F.lit(0), lambda a, d: a + d).alias("entities_added"), "offset_mismatches")
+    named = _named(F.col("entities"))
+    counts = T.occurrence_counts(F.coalesce("text", F.lit("")), F.transform(named, lambda g: g["entity_string"]))
+    sizes = F.zip_with(F.transform(named, lambda g: F.size(members(F.col("entities"), g))), counts, lambda m, n: F.struct(m.alias("m"), n.alias("n")))
+    held = records.select("record_id", "entities", sizes.alias("sizes"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    more = F.filter(F.transform("sizes", lambda s: s["n"] - s["m"]), lambda d: d > 0)
+    after = total(F.transform("sizes", lambda s: F.when(s["n"] > 0, s["n"]).otherwise(s["m"])))
+    lost = total(F.transform("sizes", lambda s: F.when(s["n"] > 0, 0).otherwise(s["m"])))
+    return held.select("record_id", F.size("entities").alias("original_entities"), after.alias("repaired_entities"), F.size(more).alias("groups_expanded"), total(more).alias("entities_added"), lost.alias("offset_mismatches"))
 
 
 def repair_totals(records: DataFrame) -> DataFrame:
