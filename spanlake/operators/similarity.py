@@ -18,6 +18,8 @@ from spanlake.functions import text as T
 BLOCK = 512
 #: Most pivots of the cosine join: a bounded model of the space.
 PIVOTS = 4096
+#: Jaccard percent from which sets meet by parts: below it a part has less than four tokens.
+PARTS_FROM = 80
 
 
 def _unit(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -127,16 +129,84 @@ def mean_rouge(docs: DataFrame, key: str = "doc_id", sample: int = 300) -> DataF
     return rouge_pairs(pairs, own.withColumnRenamed("k", key), key).agg(F.round(F.avg("rouge_l"), 6).alias("mean_rouge_l"), F.count("*").alias("n_pairs"))
 
 
-def token_set_pairs(docs: DataFrame, keys: list[str], percent: int, key: str = "doc_id") -> DataFrame:
-    """i, j, shared and united of all pairs i < j with equal ``keys`` (null-safe) and Jaccard above ``percent`` of their token sets.
+def _kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, in the folder of spark.checkpoint.dir; without one, on the executors' disks."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
 
-    A prefix-filter join: sets of the Jaccard sought share one of their |x| - ceil(|x| percent / 100) + 1 rarest tokens,
-    so only these are joined. Equal sets are one node, joined on its digest, and pairs expand from their nodes at the end.
+def _size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least sizes of the classes, and into how many parts a class's sets are cut.
+
+    A set's partner of a Jaccard above ``percent`` that is no larger is of its class or the one before. The two differ in
+    fewer tokens than the class has parts, so some part is the same in both.
+    """
+    least = [1]
+    while least[-1] < 1 << 31:
+        n = max(least[-1] + 1, ((least[-1] - 1) * 100 + percent - 1) // percent)
+        least.append(n)
+    parts = []
+    for n in (x - 1 for x in least[1:]):  # the largest of a class, and its largest partner
+        larger = (n * 100 - 1) // percent
+        parts.append(((n + larger) * (100 - percent) - 1) // (100 + percent) + 1)
+    return np.array(least[:-1], dtype=np.int64), np.array(parts, dtype=np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finish of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _part_keys(g: np.ndarray, values: np.ndarray, sizes: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """One key for each part of each set, empty ones too. ``values``: the sets' sorted token hashes, end to end; a part is a range of hashes."""
+    first = np.cumsum(parts) - parts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = ((values.astype(np.float64) / 2.0**64 + 0.5) * parts[owner]).astype(np.int64)
+    at = first[owner] + np.minimum(place, parts[owner] - 1)
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    held = np.zeros(int(parts.sum()), dtype=np.uint64)
+    held[at[starts]] = np.add.reduceat(_mixed(values.view(np.uint64)), starts)
+    of = np.repeat(np.arange(len(sizes)), parts)
+    number = (np.arange(len(of)) - first[of]).astype(np.uint64)
+    salt = _mixed(_mixed(g.view(np.uint64)[of] + cls.astype(np.uint64)[of] * np.uint64(0x9E3779B97F4A7C15)) + number)
+    return _mixed(held + salt).view(np.int64)
+
+
+def _by_parts(nodes: DataFrame, percent: int) -> DataFrame:
+    """a < b of sets of which a part is equal: every pair above ``percent``, and few others.
+
+    A part of some tokens is far rarer than any one token of a prefix, so a larger corpus brings few more chance meetings.
     """
-    group = F.to_json(F.struct(*[F.col(k) for k in keys]))
-    sets = docs.select(F.col(key).alias("id"), group.alias("g"), F.array_sort(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("s")).filter(F.size("s") > 0)
-    sets = sets.withColumn("h", F.sha2(F.array_join("s", " ").cast("binary"), 256))
-    nodes = sets.groupBy("g", "h").agg(F.min("id").alias("rep"), F.first("s").alias("s"))
+    least, cut = _size_classes(percent)
+    kind = nodes.schema["rep"].dataType
+
+    def work(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                rows = batch.slice(k, 256)
+                g = rows.column("g").to_numpy()
+                sizes, values = np.diff(rows.column("s").offsets.to_numpy()), rows.column("s").flatten().to_numpy()
+                home = np.searchsorted(least, sizes, side="right") - 1
+                for probe in (0, 1):  # as one of its class, and as one that seeks smaller ones
+                    some = np.flatnonzero(home >= probe)
+                    cls = home[some] - probe
+                    times = cut[cls]
+                    keys = _part_keys(g[some], values[np.repeat(home >= probe, sizes)], sizes[some], cls, times)
+                    who = np.repeat(some, times)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), rows.column("rep").take(pa.array(who)), pa.array(sizes[who].astype(np.int32)), pa.array(np.full(len(who), bool(probe)))], names=["key", "rep", "n", "probe"])
+
+    keyed = nodes.select("g", "rep", "s").mapInArrow(work, f"key long, rep {kind.simpleString()}, n int, probe boolean")
+    met = _kept_apart(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").drop("c"))
+    left = met.filter("not probe").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"))
+    right = met.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "probe")
+    close = F.least("nx", "ny") * 100 > F.greatest("nx", "ny") * percent
+    both = left.join(right, "key").filter((F.col("probe") | (F.col("x") < F.col("y"))) & close)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _by_prefix(nodes: DataFrame, percent: int) -> DataFrame:
+    """a < b of sets that share one of their |x| - ceil(|x| percent / 100) + 1 rarest tokens, as all pairs above ``percent`` do."""
     each = nodes.select("g", "rep", F.size("s").alias("n"), F.explode("s").alias("t"))
     rarity = each.groupBy("g", "t").agg(F.count("*").alias("f"))
     order = Window.partitionBy("rep").orderBy("f", "t")
@@ -144,13 +214,28 @@ def token_set_pairs(docs: DataFrame, keys: list[str], percent: int, key: str = "
     prefix = ranked.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1)).select("g", "t", "rep", "n")
     left, right = (prefix.select("g", "t", F.col("rep").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
     close = F.least("na", "nb") * 100 > F.greatest("na", "nb") * percent
-    pairs = left.join(right, ["g", "t"]).filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    own = nodes.select(F.col("rep"), "s")
-    met = pairs.join(own.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    return left.join(right, ["g", "t"]).filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+
+
+def token_set_pairs(docs: DataFrame, keys: list[str], percent: int, key: str = "doc_id") -> DataFrame:
+    """i, j, shared and united of all pairs i < j with equal ``keys`` (null-safe) and Jaccard above ``percent`` of their token sets.
+
+    From ``PARTS_FROM`` on, sets meet in an equal part, below it in a rare token; both miss no pair, and what they find is
+    confirmed on the sets. Equal sets are one node, and pairs expand from their nodes at the end. Tokens are 64-bit hashes,
+    sets two of them; texts are read once.
+    """
+    group = F.xxhash64(F.to_json(F.struct(*[F.col(k) for k in keys])))
+    hashed = F.transform(T.tokens(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w))
+    sets = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), group.alias("g"), F.array_sort(F.array_distinct(hashed)).alias("s")).filter(F.size("s") > 0)
+    sets = sets.select("id", "g", F.xxhash64(F.lit(0), "s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"), "s")
+    nodes = _kept_apart(sets.groupBy("g", "h0", "h1").agg(F.min("id").alias("rep"), F.first("s").alias("s"), F.collect_list("id").alias("ids")).select("g", "rep", "s", "ids"))
+    pairs = nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0) if percent >= 100 else (_by_parts if percent >= PARTS_FROM else _by_prefix)(nodes, percent)
+    own = nodes.select("rep", "g", "s")
+    met = pairs.join(own.select(F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("s").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    met = met.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("united")).filter(F.col("shared") * 100 > F.col("united") * percent)
-    same = nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.size("s").alias("shared"), F.size("s").alias("united"))
-    member = sets.join(nodes.select("g", "h", "rep"), ["g", "h"]).select("rep", "id")
+    met = met.filter("ga = gb").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("united")).filter(F.col("shared") * 100 > F.col("united") * percent)
+    same = nodes.filter(F.size("ids") > 1).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.size("s").alias("shared"), F.size("s").alias("united"))
+    member = nodes.select("rep", F.explode("ids").alias("id"))
     both = met.unionByName(same if percent < 100 else same.limit(0)).join(member.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     out = both.filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return out.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "shared", "united")
@@ -161,11 +246,6 @@ def drop_later(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return records.join(pairs.select(F.col("j").alias(key)).distinct(), key, "left_anti")
 
 
-def _kept_apart(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the folder of spark.checkpoint.dir; without one, on the executors' disks."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def _later(candidates: DataFrame, records: DataFrame, rouge: float, key: str) -> DataFrame:
     """j: each later record of a candidate pair whose ROUGE-L exceeds ``rouge``. Exact, without the texts of all pairs at once.
 
