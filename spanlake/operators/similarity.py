@@ -20,6 +20,8 @@ BLOCK = 512
 PIVOTS = 4096
 #: Jaccard percent from which sets meet by parts: below it a part has less than four tokens.
 PARTS_FROM = 80
+#: Keys up to this number are broadcast (8 bytes each).
+FEW_KEYS = 500_000
 
 
 def _unit(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -89,6 +91,11 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", colu
     return met.groupBy("i", "j").agg(F.max("cosine").alias("cosine"))
 
 
+def _kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, in the folder of spark.checkpoint.dir; without one, on the executors' disks."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
     """Longest common subsequence, one big-integer step for each element of ``b``."""
     where: dict[str, int] = {}
@@ -102,10 +109,19 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def _lcs_between(x: np.ndarray, y: np.ndarray) -> int:
+    """The same of arrays: what both begin and end with is counted without steps."""
+    n = min(len(x), len(y))
+    head = int(np.argmax(np.append(x[:n] != y[:n], True)))
+    n -= head
+    tail = int(np.argmax(np.append(x[len(x) - n :][::-1] != y[len(y) - n :][::-1], True)))
+    return head + tail + _lcs(x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist())
+
+
 @F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays."""
-    return pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)])
+    return pd.Series([_lcs_between(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b)])
 
 
 def rouge_l(a: Column, b: Column) -> Column:
@@ -115,10 +131,25 @@ def rouge_l(a: Column, b: Column) -> Column:
 
 
 def rouge_pairs(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """i, j and rouge_l of the given pairs of documents."""
-    words = docs.select(F.col(key).alias("k"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    both = pairs.join(words.select(F.col("k").alias("i"), F.col("w").alias("wi")), "i").join(words.select(F.col("k").alias("j"), F.col("w").alias("wj")), "j")
-    return both.select("i", "j", F.round(rouge_l(F.col("wi"), F.col("wj")), 9).alias("rouge_l"))
+    """i, j and rouge_l of the given pairs of documents.
+
+    Only the texts of pairs are read, once, and the measure is computed once for each two different sequences of words, however
+    many copies of them meet. Words are 64-bit hashes, sequences two of them.
+    """
+    pairs = _kept_apart(pairs.select("i", "j"))
+    ids = _kept_apart(pairs.select(F.col("i").alias("k")).union(pairs.select(F.col("j").alias("k"))).distinct())
+    hashed = F.transform(T.tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w")
+    met = docs.select(F.col(key).alias("k"), F.col(text)).join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, "k", "left_semi")
+    digest = F.struct(F.xxhash64(F.lit(0), "w").alias("h0"), F.xxhash64(F.lit(1), "w").alias("h1"), F.size("w").alias("n"))
+    texts = _kept_apart(met.select("k", hashed).select("k", digest.alias("d"), "w"))
+    words = _kept_apart(texts.groupBy("d").agg(F.first("w").alias("w")))
+    own = texts.select("k", "d")
+    both = _kept_apart(pairs.join(own.select(F.col("k").alias("i"), F.col("d").alias("di")), "i").join(own.select(F.col("k").alias("j"), F.col("d").alias("dj")), "j").select("i", "j", F.least("di", "dj").alias("da"), F.greatest("di", "dj").alias("db")))
+    unlike = both.filter((F.col("da") != F.col("db")) & (F.col("da")["n"] > 0) & (F.col("db")["n"] > 0)).select("da", "db").distinct()
+    side = lambda d, w: words.select(F.col("d").alias(d), F.col("w").alias(w))
+    scored = unlike.join(side("da", "wa"), "da").join(side("db", "wb"), "db").select("da", "db", F.round(rouge_l(F.col("wa"), F.col("wb")), 9).alias("rouge_l"))
+    like = F.when((F.col("da") == F.col("db")) & (F.col("da")["n"] > 0), 1.0).otherwise(0.0)
+    return both.join(scored, ["da", "db"], "left").select("i", "j", F.coalesce("rouge_l", like).alias("rouge_l"))
 
 
 def mean_rouge(docs: DataFrame, key: str = "doc_id", sample: int = 300) -> DataFrame:
@@ -129,11 +160,6 @@ def mean_rouge(docs: DataFrame, key: str = "doc_id", sample: int = 300) -> DataF
     return rouge_pairs(pairs, own.withColumnRenamed("k", key), key).agg(F.round(F.avg("rouge_l"), 6).alias("mean_rouge_l"), F.count("*").alias("n_pairs"))
 
 
-def _kept_apart(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the folder of spark.checkpoint.dir; without one, on the executors' disks."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def _size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Least sizes of the classes, and into how many parts a class's sets are cut.
 
