@@ -7,11 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
+from spanlake.functions import grams as G
 from spanlake.functions import text as T
 
 #: Rows of a block in the blocked cosine join: a block is one row of a few hundred kilobytes.
@@ -177,13 +179,6 @@ def _size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(least[:-1], dtype=np.int64), np.array(parts, dtype=np.int64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The finish of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _part_keys(g: np.ndarray, values: np.ndarray, sizes: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """One key for each part of each set, empty ones too. ``values``: the sets' sorted token hashes, end to end; a part is a range of hashes."""
     first = np.cumsum(parts) - parts
@@ -192,11 +187,11 @@ def _part_keys(g: np.ndarray, values: np.ndarray, sizes: np.ndarray, cls: np.nda
     at = first[owner] + np.minimum(place, parts[owner] - 1)
     starts = np.flatnonzero(np.diff(at, prepend=-1))
     held = np.zeros(int(parts.sum()), dtype=np.uint64)
-    held[at[starts]] = np.add.reduceat(_mixed(values.view(np.uint64)), starts)
+    held[at[starts]] = np.add.reduceat(G.mixed(values.view(np.uint64)), starts)
     of = np.repeat(np.arange(len(sizes)), parts)
     number = (np.arange(len(of)) - first[of]).astype(np.uint64)
-    salt = _mixed(_mixed(g.view(np.uint64)[of] + cls.astype(np.uint64)[of] * np.uint64(0x9E3779B97F4A7C15)) + number)
-    return _mixed(held + salt).view(np.int64)
+    salt = G.mixed(G.mixed(g.view(np.uint64)[of] + cls.astype(np.uint64)[of] * np.uint64(0x9E3779B97F4A7C15)) + number)
+    return G.mixed(held + salt).view(np.int64)
 
 
 def _by_parts(nodes: DataFrame, percent: int) -> DataFrame:
@@ -313,34 +308,86 @@ def similarity_dedup(records: DataFrame, vectors: DataFrame, cosine: float = 0.8
     return drop_later(records, _later(candidates, records, rouge, key), key)
 
 
+def _clipped_hits(words: DataFrame, order: int) -> DataFrame:
+    """len and ``1_hit`` .. of each row of a column of hashed words: its n-grams, clipped to the most any other row has.
+
+    Grams go by buckets of their hashes, packed chunk by chunk; a task adds up what its buckets give for each chunk's rows.
+    """
+
+    def pack(batches):
+        for k, (sizes, (hashes,)) in enumerate(G.chunks(batches)):
+            chunk = (TaskContext.get().partitionId() << 32) + k
+            made = [(-1 - chunk, 0, sizes.astype(np.int32).tobytes(), None, None), *G.counted(sizes, hashes, order)]
+            for i in range(0, len(made), 1024):
+                bucket, n, g, doc, c = zip(*made[i : i + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(n, pa.int32()), pa.array([chunk] * len(n), pa.int64()), pa.array([len(sizes)] * len(n), pa.int32()), pa.array(g, pa.binary()), pa.array(doc, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "n", "chunk", "docs", "g", "doc", "c"])
+
+    def meet(batches):
+        base, docs = {}, 0  # chunks' first rows
+        hits = np.zeros((order, 0), dtype=np.int64)
+        held, own = [], None
+
+        def flush():
+            if held:
+                g, who, c = (np.concatenate(x) for x in zip(*held))
+                at, hit = G.clipped(g, c)
+                hits[own[1] - 1, :docs] += np.bincount(who[at], weights=hit, minlength=docs).astype(np.int64)
+                held.clear()
+
+        def row(chunk, data):
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data.dtype.itemsize], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "width", "data"])
+
+        for batch in batches:
+            for bucket, n, chunk, size, g, doc, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if not n:
+                    yield row(chunk, np.append(0, np.frombuffer(g, dtype=np.int32)).astype(np.int64))  # lengths, after a mark
+                    continue
+                if own != (bucket, n):
+                    flush()
+                    own = bucket, n
+                if chunk not in base:
+                    base[chunk], docs = (docs, size), docs + size
+                    if docs > hits.shape[1]:
+                        hits = np.pad(hits, ((0, 0), (0, 2 * docs - hits.shape[1])))
+                held.append((G.from_low_bytes(g, 6), base[chunk][0] + G.from_gaps(doc), np.diff(G.from_gaps(c), prepend=0) + 1))
+        flush()
+        for chunk, (first, size) in base.items():
+            own_hits = np.append(1, hits[:, first : first + size].ravel())
+            yield row(chunk, own_hits.astype(np.min_scalar_type(int(own_hits.max()))))
+
+    def add(table):
+        hit, sizes = 0, None
+        for width, data in zip(table.column("width").to_pylist(), table.column("data").to_pylist()):
+            x = np.frombuffer(data, dtype=f"u{width}").astype(np.int64)
+            if x[0]:
+                hit = hit + x[1:]
+            else:
+                sizes = x[1:]
+        hit = (np.zeros(order * len(sizes), dtype=np.int64) + hit).reshape(order, -1)
+        return pa.table([pa.array(sizes), *map(pa.array, hit)], names=["len", *(f"{n}_hit" for n in range(1, order + 1))])
+
+    packed = words.mapInArrow(pack, "bucket long, n int, chunk long, docs int, g binary, doc binary, c binary")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(meet, "chunk long, width int, data binary")
+    return met.groupBy("chunk").applyInArrow(add, "len long, " + ", ".join(f"{n}_hit long" for n in range(1, order + 1)))
+
+
 def self_bleu(docs: DataFrame, order: int = 4, key: str = "doc_id") -> DataFrame:
     """Mean BLEU of each document against all others: self_bleu and n_docs.
 
     The references' clipped count of an n-gram is the most any other document has, so the two highest counts of each
-    n-gram serve all documents: no pairs are made. Grams are 64-bit hashes, counted within their document's row. Zero
+    n-gram serve all documents: no pairs are made. Grams are 60-bit hashes, counted within their document. Zero
     counts are smoothed to 0.1; without a common word the score is 0; the brevity penalty takes the closest reference
     length, the shorter of ties.
     """
-    words = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    hashed = T.with_gram_hashes(words, "w", order)
-    sized = lambda n: F.transform(T.run_lengths(F.col(f"h{n}")), lambda x: F.struct(F.lit(n).alias("n"), x["v"].alias("g"), x["c"].alias("c")))
-    grams = hashed.select("id", F.explode(F.concat(*map(sized, range(1, order + 1)))).alias("x")).select("id", "x.*")
-    # the two highest counts of an n-gram: the highest, how many documents reach it, and the next below
-    counts = grams.groupBy("n", "g", "c").agg(F.count("*").alias("docs"))
-    by_count = Window.partitionBy("n", "g").orderBy(F.desc("c"))  # distinct counts of one gram
-    ranked = counts.select("n", "g", "c", "docs", F.lead("c").over(by_count).alias("next"), F.row_number().over(by_count).alias("k"))
-    best = ranked.filter("k = 1").select("n", "g", F.struct("c", "docs").alias("top"), F.coalesce("next", F.lit(0)).alias("next"))
-    other = F.when((F.col("c") == F.col("top.c")) & (F.col("top.docs") == 1), F.col("next")).otherwise(F.col("top.c"))
-    sums = grams.join(best, ["n", "g"]).groupBy("id", "n").agg(F.sum(F.least("c", other)).alias("hit"), F.sum("c").alias("all"))
-    wide = sums.groupBy("id").pivot("n", list(range(1, order + 1))).agg(F.first("hit").alias("hit"), F.first("all").alias("all"))
-    sizes = words.select("id", F.size("w").alias("len"))
+    words = docs.select(F.transform(T.tokens(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
+    sizes = _kept_apart(_clipped_hits(words, order))
     lengths = sizes.groupBy("len").agg(F.count("*").alias("docs"))  # distinct lengths, few
     run = Window.orderBy("len")
     near = lengths.withColumn("below", F.lag("len").over(run)).withColumn("above", F.lead("len").over(run))
     closest = F.when(F.col("docs") > 1, F.col("len")).when(F.col("above").isNull() | (F.col("len") - F.col("below") <= F.col("above") - F.col("len")), F.col("below")).otherwise(F.col("above"))
-    joined = sizes.join(near.select("len", closest.alias("ref")), "len").join(wide, "id", "left")
-    hit = lambda n: F.coalesce(F.col(f"{n}_hit"), F.lit(0))
-    whole = lambda n: F.greatest(F.coalesce(F.col(f"{n}_all"), F.lit(0)), F.lit(1))
+    joined = sizes.join(near.select("len", closest.alias("ref")), "len")
+    hit = lambda n: F.col(f"{n}_hit")
+    whole = lambda n: F.greatest(F.col("len") - (n - 1), F.lit(1))
     logs = sum((F.log(F.when(hit(n) > 0, hit(n).cast("double")).otherwise(F.lit(0.1)) / whole(n)) for n in range(1, order + 1)), F.lit(0.0)) / order
     penalty = F.when(F.col("len") > F.coalesce("ref", F.lit(0)), 0.0).otherwise(1 - F.col("ref") / F.col("len"))
     score = F.when((F.col("len") == 0) | (hit(1) == 0), 0.0).otherwise(F.exp(logs + penalty))
