@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions import grams as G
 from spanlake.functions import text as T
 from spanlake.operators import detection
 
@@ -15,14 +18,49 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg(F.round(-F.sum(F.col(n) / F.col("t") * F.log2(F.col(n) / F.col("t"))), 9).alias("entropy"), F.round(F.log2(F.count("*").cast("double")), 9).alias("max_entropy"), F.count("*").alias("n_classes"))  # one row is broadcast
 
 
+def _hashed(seed: int) -> Column:
+    return F.transform("w", lambda w: F.xxhash64(F.lit(seed), w))
+
+
 def distinct_n(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """n, distinct and total n-grams of a corpus, told apart by two chained 64-bit hashes; counted within partitions before the shuffle."""
-    words = docs.select(T.tokens(F.col("text")).alias("w"))
-    for seed, name in enumerate("ab"):
-        words = T.with_gram_hashes(words, "w", max(sizes), name, seed)
-    hashed = lambda n: F.zip_with(f"a{n}", f"b{n}", lambda a, b: F.struct(F.lit(n).alias("n"), a.alias("a"), b.alias("b")))
-    counted = words.select(F.explode(F.concat(*map(hashed, sizes))).alias("g")).groupBy("g.n", "g.a", "g.b").agg(F.count("*").alias("k"))
-    return counted.groupBy("n").agg(F.count("*").alias("distinct_grams"), F.sum("k").alias("total_grams"))
+    """n, distinct and total n-grams of a corpus, told apart by 90 bits of two chained hashes.
+
+    A task packs each chunk's distinct grams by buckets of their hashes, ten bytes a gram; a bucket is counted by one sort.
+    """
+    sizes = tuple(sizes)
+
+    def pack(batches):
+        for lengths, (words, others) in G.chunks(batches):
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            # totals go with a bucket that no gram has
+            made = [*((-1, n, int(np.maximum(lengths - n + 1, 0).sum()), None) for n in sizes), *((k, n, 0, g) for k, n, g in G.distinct(words, others, owner, sizes))]
+            for i in range(0, len(made), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made[i : i + 1024]), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "n", "total", "g"])
+
+    def count(batches):
+        found, held, own = {n: [0, 0] for n in sizes}, [], None
+
+        def flush():
+            if held:
+                found[own[1]][0] += G.n_distinct(b"".join(held))
+                held.clear()
+
+        for batch in batches:
+            for bucket, n, total, g in zip(*(x.to_pylist() for x in batch.columns)):
+                found[n][1] += total
+                if g is not None:
+                    if own != (bucket, n):
+                        flush()
+                        own = bucket, n
+                    held.append(g)
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([d for d, _ in found.values()], pa.int64()), pa.array([t for _, t in found.values()], pa.int64())], names=["n", "d", "t"])
+
+    tokens = docs.select(T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    hashed = tokens.select(*[_hashed(seed).alias(f"h{seed}") for seed in (0, 1)])
+    packed = hashed.mapInArrow(pack, "bucket long, n int, total long, g binary")
+    counted = packed.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(count, "n int, d long, t long")
+    return counted.groupBy("n").agg(F.sum("d").alias("distinct_grams"), F.sum("t").alias("total_grams")).filter("total_grams > 0")
 
 
 def mean_cosine_distance(vectors: DataFrame, column: str) -> DataFrame:
