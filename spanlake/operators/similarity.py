@@ -98,6 +98,13 @@ def _kept_apart(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
 
 
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    """The distinct keys of a table of pairs, as ``name``; broadcast if they are few."""
+    one, two = pairs.columns
+    keys = _kept_apart(pairs.select(F.col(one).alias(name)).union(pairs.select(F.col(two).alias(name))).distinct())
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
     """Longest common subsequence, one big-integer step for each element of ``b``."""
     where: dict[str, int] = {}
@@ -139,9 +146,8 @@ def rouge_pairs(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
     many copies of them meet. Words are 64-bit hashes, sequences two of them.
     """
     pairs = _kept_apart(pairs.select("i", "j"))
-    ids = _kept_apart(pairs.select(F.col("i").alias("k")).union(pairs.select(F.col("j").alias("k"))).distinct())
     hashed = F.transform(T.tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w")
-    met = docs.select(F.col(key).alias("k"), F.col(text)).join(F.broadcast(ids) if ids.count() <= FEW_KEYS else ids, "k", "left_semi")
+    met = docs.select(F.col(key).alias("k"), F.col(text)).join(_ends(pairs, "k"), "k", "left_semi")
     digest = F.struct(F.xxhash64(F.lit(0), "w").alias("h0"), F.xxhash64(F.lit(1), "w").alias("h1"), F.size("w").alias("n"))
     texts = _kept_apart(met.select("k", hashed).select("k", digest.alias("d"), "w"))
     words = _kept_apart(texts.groupBy("d").agg(F.first("w").alias("w")))
@@ -251,7 +257,8 @@ def token_set_pairs(docs: DataFrame, keys: list[str], percent: int, key: str = "
     sets = sets.select("id", "g", F.xxhash64(F.lit(0), "s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"), "s")
     nodes = _kept_apart(sets.groupBy("g", "h0", "h1").agg(F.min("id").alias("rep"), F.first("s").alias("s"), F.collect_list("id").alias("ids")).select("g", "rep", "s", "ids"))
     pairs = nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0) if percent >= 100 else (_by_parts if percent >= PARTS_FROM else _by_prefix)(nodes, percent)
-    own = nodes.select("rep", "g", "s")
+    pairs = _kept_apart(pairs)
+    own = nodes.select("rep", "g", "s").join(_ends(pairs, "rep"), "rep", "left_semi")  # most sets meet no other
     met = pairs.join(own.select(F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("s").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     met = met.filter("ga = gb").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("united")).filter(F.col("shared") * 100 > F.col("united") * percent)
